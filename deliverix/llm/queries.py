@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deliverix.llm import quality, toxicity
+from deliverix.llm import near_dup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_near_dup": near_dup.op4_near_dup,
         "op6_quality": quality.op6_quality,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_near_dup": near_dup.ORACLE_SQL}
