@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -77,6 +78,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def keep_rows(docs: DataFrame, wanted: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of docs, all columns, whose texts wanted (texts to booleans) marks."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(wanted(text_bytes(b.column(at))), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LONG_WORD = 2048
 

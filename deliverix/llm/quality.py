@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import held_out, small_batches, stored, table, text_bytes
+from deliverix.llm.common import held_out, keep_rows, small_batches, stored, table, text_bytes
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
@@ -165,12 +165,24 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05, ridg
     return model
 
 
+def learn(stats: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fits on the rows of stats(doc_id, f) that labels(doc_id, quality) marks and that are not held out."""
+    known = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return fit(stats.join(known, "doc_id"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that are predicted to be of label 1."""
+    small_batches(docs.sparkSession)
+    model = learn(stored(statistics(docs), "quality-statistics"), labels)
+    return keep_rows(docs, lambda texts: model.score(np.array([_statistics(t) for t in texts]).reshape(-1, len(NAMES))) >= THRESHOLD)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; learns from the rows of labels(doc_id, quality) that are not held out."""
+    """doc_id, held_out, score, predicted for every row of docs."""
     small_batches(docs.sparkSession)
     stats = stored(statistics(docs), "quality-statistics")
-    known = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    model = fit(stats.join(known, "doc_id"))
+    model = learn(stats, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deliverix.llm import near_dup, quality, toxicity
+import corpus_pipeline
+from deliverix.llm import near_dup, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_near_dup": near_dup.op4_near_dup,
+        "op7_packing": packing.op7_packing,
+        "pipeline": corpus_pipeline.run,
         "op6_quality": quality.op6_quality,
         "op10_toxicity": toxicity.op10_toxicity,
     }

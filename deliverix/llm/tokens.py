@@ -79,7 +79,8 @@ class Encoder:
         big = b"".join(texts) + b"\0" * 8
         edge = np.cumsum([0] + [len(t) for t in texts])
         total = int(edge[-1])
-        start = np.unique(np.concatenate([edge[:-1][np.diff(edge) > 0], _cuts(np.frombuffer(big, np.uint8))]))
+        start = np.sort(np.concatenate([edge[:-1][np.diff(edge) > 0], _cuts(np.frombuffer(big, np.uint8))]))
+        start = start[np.diff(start, prepend=-1) > 0]
         end = np.append(start[1:], total)[: len(start)]
         slot = np.zeros(len(start), np.int64)
         short = np.flatnonzero(end - start <= _LONGEST)

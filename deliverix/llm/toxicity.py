@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import held_out, mix, small_batches, stored, table, text_bytes
+from deliverix.llm.common import held_out, keep_rows, mix, small_batches, stored, table, text_bytes
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.5
@@ -178,6 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
     return PositiveUnlabelled(features, weights, offset)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that are not predicted to be toxic."""
+    small_batches(docs.sparkSession)
+    model = fit(docs, labels)
+    return keep_rows(docs, lambda texts: model.score(texts) < THRESHOLD) if model else docs
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     small_batches(docs.sparkSession)
