@@ -9,8 +9,9 @@ full it is emptied, which changes no result.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,22 @@ def _cuts(a: np.ndarray) -> np.ndarray:
     return at[ok_after & ok_before]
 
 
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after the other."""
+    stop = np.cumsum(sizes)
+    n = int(stop[-1]) if len(stop) else 0
+    return values[np.arange(n) + np.repeat(starts - stop + sizes, sizes)]
+
+
+def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and the lists' lengths."""
+    return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
+
+
 class Encoder:
-    """Encodes texts (UTF-8) by chunks; encode gets distinct new chunks and returns the ids of each."""
+    """Encodes texts (UTF-8) by chunks; encode gets distinct new chunks and returns all their ids in a row, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]]) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
         self.clear()
 
@@ -50,9 +63,7 @@ class Encoder:
         self.n = self.used = 0
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
-        lists = self.encode(new)
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if isinstance(lists[0], np.ndarray) else np.array([i for x in lists for i in x], np.uint32)
+        flat, sizes = self.encode(new)
         n, k = self.n, len(new)
         while n + k > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
@@ -107,10 +118,8 @@ class Encoder:
                 self.keys, self.slots = np.insert(self.keys, place[new], key[new]), np.insert(self.slots, place[new], found[new])
             slot[short] = found[rank][code]
         sizes = self.sizes[slot]
-        stop = np.cumsum(sizes)
-        n = int(stop[-1]) if len(stop) else 0
-        ids = self.ids[np.arange(n) + np.repeat(self.starts[slot] - stop + sizes, sizes)]
-        cut = np.concatenate([[0], stop])[np.searchsorted(start, edge)]
+        ids = gather(self.ids, self.starts[slot], sizes)
+        cut = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, edge)]
         for a, b in zip(cut, cut[1:]):
             yield ids[a:b]
 
@@ -128,7 +137,7 @@ def rank_file_encoder(path: str, pattern: str) -> Encoder:
     import tiktoken
 
     e = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
-    return Encoder(lambda new: [e.encode_ordinary(x.decode()) for x in new])
+    return Encoder(lambda new: in_a_row([e.encode_ordinary(x.decode()) for x in new]))
 
 
 @lru_cache(maxsize=4)
@@ -138,4 +147,4 @@ def library_encoder(path: str) -> Encoder:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return Encoder(lambda new: [e.ids for e in t.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)])
+    return Encoder(lambda new: in_a_row([e.ids for e in t.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]))
