@@ -181,7 +181,7 @@ def write_ids(docs: DataFrame, ranks: str, pattern: str, end: int = END) -> Data
             ids = np.concatenate(tokens)
             store.create_dir(top, recursive=True)
             path = f"{top}/{part:06d}-{n:06d}-{uuid.uuid4().hex}.ids"
-            with store.open_output_stream(path) as f:
+            with store.open_output_stream(path, compression=None) as f:
                 f.write(write_archive(ids, doc_ids, [len(t) for t in tokens]))
             row = [[part], [n], [path], [len(ids)]]
             doc_ids, tokens, held, n = [], [], 0, n + 1

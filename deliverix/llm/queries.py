@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from deliverix.llm import near_dup, packing, quality, toxicity
+from deliverix.llm import ans, bpe, fingerprints, licenses, near_dup, neighbours, packing, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.op1_warc,
+        "op2_licenses": licenses.op2_licenses,
+        "op3_bpe": bpe.op3_bpe,
         "op4_near_dup": near_dup.op4_near_dup,
-        "op7_packing": packing.op7_packing,
-        "pipeline": corpus_pipeline.run,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_quality": quality.op6_quality,
+        "op7_packing": packing.op7_packing,
+        "op8_ids": ans.op8_ids,
+        "op9_nearest": neighbours.op9_nearest,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
