@@ -168,9 +168,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K) -> DataFrame:
     blocks, groups = -(-n // BLOCK), -(-m // QUERIES)
     h = F.xxhash64("vec_id", "v")
     rows = marked.withColumn("block", F.pmod(h, F.lit(blocks))).withColumn("group", F.pmod(F.xxhash64(h), F.lit(groups)))
-    to_all = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    to_all = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     index = rows.select("vec_id", "v", "block", to_all(groups).alias("group"), F.lit(False).alias("query"))
-    queries = rows.filter("query").select("vec_id", "v", to_all(blocks).cast("long").alias("block"), "group", F.lit(True).alias("query"))
+    queries = rows.filter("query").select("vec_id", "v", to_all(blocks).alias("block"), "group", F.lit(True).alias("query"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         x = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims)
@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K) -> DataFrame:
         found = search(model, ids[~q], x[~q], ids[q], x[q], k)
         return pa.Table.from_pandas(found, preserve_index=False, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    pairs = index.withColumn("group", F.col("group").cast("long")).unionByName(queries)
+    pairs = index.unionByName(queries)
     best = pairs.groupBy("block", "group").applyInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
