@@ -5,11 +5,159 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from deliverix.functions import scalars as s
+from deliverix.functions import time as t
+from deliverix.operators import activity, deltas, metrics
+from deliverix.plans import views
+from deliverix.plans.views import DELTAS_SQL, EDGES_SQL, EVENTS_SQL, ORDERS_SQL
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: The look-back of the registered queries, the size of a bucket, and the instant of "recent" ones.
+WEEKS_BACK, BUCKET, AS_OF = 4, 100, 1706572800
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _queries[name] = query
+    if sql:
+        _sql[name] = sql
+
+
+def _orders(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None, ctes: str = "") -> None:
+    _add(name, lambda spark, d: f(views.commits_orders(spark, d)), sql and f"WITH {ORDERS_SQL}{ctes} {sql}")
+
+
+def _events(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None, ctes: str = "") -> None:
+    _add(name, lambda spark, d: f(views.commits_events(spark, d)), sql and f"WITH {EVENTS_SQL}{ctes} {sql}")
+
+
+# cycle time
+_STATS = """count(*) AS sample_count, sum(cycle_minutes) AS sum_minutes, avg(cycle_minutes) AS avg_minutes,
+  CAST(round_even(quantile_cont(cycle_minutes, 0.75), 0) AS BIGINT) AS p75_minutes, CAST(round_even(stddev_samp(cycle_minutes), 0) AS BIGINT) AS std_minutes"""
+_events("d1_commit_deltas", deltas.commit_deltas, "SELECT repo_slug, author_ref, committed_at, cycle_minutes, log_ordinal FROM deltas", "," + DELTAS_SQL)
+_events(
+    "d2_commit_deltas_by_time",
+    deltas.commit_deltas_by_time,
+    """SELECT repo_slug, author_ref, committed_at, sha, cycle_minutes FROM (
+      SELECT *, round((committed_at - lag(committed_at) OVER w) / 60.0, 2)::DOUBLE AS cycle_minutes FROM local
+      WINDOW w AS (PARTITION BY repo_slug, author_ref ORDER BY committed_at, sha)) WHERE cycle_minutes IS NOT NULL""",
+)
+_orders("d3_delta_events", deltas.delta_events, "SELECT repo_slug, author_ref, committed_at, child_sha, prev_sha, cycle_minutes, log_ordinal FROM deltas", "," + DELTAS_SQL)
+_orders(
+    "d4_consecutive_pairs",
+    deltas.consecutive_pairs,
+    """SELECT d.repo_slug, d.author_ref, d.child_sha AS newer_sha, d.prev_sha AS older_sha, d.committed_at AS newer_at, p.committed_at AS older_at, d.log_ordinal
+    FROM deltas d JOIN commits p ON p.repo_slug = d.repo_slug AND p.sha = d.prev_sha""",
+    "," + DELTAS_SQL,
+)
+_orders(
+    "d5_cycle_stats_by_bucket",
+    lambda c: deltas.cycle_stats_by_bucket(c, BUCKET),
+    f"""SELECT repo_slug, bucket, arg_min(period_month, n) AS period_month, {_STATS} FROM (
+      SELECT *, n // {BUCKET} AS bucket FROM (
+        SELECT d.*, row_number() OVER (PARTITION BY d.repo_slug ORDER BY d.committed_at, a.author_ord, d.log_ordinal) - 1 AS n
+        FROM deltas d JOIN (SELECT repo_slug, author_ref, min(log_ordinal) AS author_ord FROM commits GROUP BY ALL) a USING (repo_slug, author_ref)))
+    GROUP BY repo_slug, bucket HAVING count(*) >= 2""",
+    "," + DELTAS_SQL,
+)
+_orders("d6_cycle_stats_by_month", deltas.cycle_stats_by_month, f"SELECT repo_slug, period_month, {_STATS} FROM deltas GROUP BY ALL HAVING count(*) >= 2", "," + DELTAS_SQL)
+_orders(
+    "d7_cycle_chart_series",
+    deltas.cycle_chart_series,
+    f"SELECT *, p75_minutes / 1440 AS p75_days, std_minutes / 1440 AS std_days FROM (SELECT repo_slug, period_month, {_STATS} FROM deltas GROUP BY ALL HAVING count(*) >= 2)",
+    "," + DELTAS_SQL,
+)
+_orders(
+    "d8_cycle_time_between_commits_by_author",
+    deltas.cycle_time_between_commits_by_author,
+    _sql["d5_cycle_stats_by_bucket"].split(" SELECT repo_slug, bucket,", 1)[1].join(["SELECT repo_slug, bucket,", ""]).replace(f"n // {BUCKET}", "n // 1000"),
+    "," + DELTAS_SQL,
+)
+
+# counts and rates
+_COUNTS = "count(*) AS commit_count, count(DISTINCT author_ref) AS unique_authors"
+_orders("a2_throughput_monthly", metrics.throughput_monthly, f"SELECT repo_slug, period_month, {_COUNTS} FROM local GROUP BY ALL")
+_events("a3_throughput_weekly", metrics.throughput_weekly, f"SELECT repo_slug, period_week, {_COUNTS} FROM local GROUP BY ALL")
+_orders("a4_throughput_rate_monthly", metrics.throughput_rate_monthly, "SELECT repo_slug, period_month, count(*) / count(DISTINCT author_ref) AS commits_per_author FROM local GROUP BY ALL")
+_orders("a5_active_developers_monthly", metrics.active_developers_monthly, "SELECT repo_slug, period_month, count(DISTINCT author_ref) AS unique_authors FROM local GROUP BY ALL")
+_WINDOW = f"""
+weeks AS (SELECT DISTINCT repo_slug, period_week, monday FROM local),
+window_authors AS (
+  SELECT DISTINCT w.repo_slug, w.period_week, c.author_ref FROM weeks w JOIN local c ON c.repo_slug = w.repo_slug
+    AND c.at >= w.monday - INTERVAL '{WEEKS_BACK * 7} days' AND c.at <= w.monday + INTERVAL '7 days'
+)"""
+_events(
+    "a6_active_developers_weekly",
+    lambda c: activity.active_developers_weekly(c, WEEKS_BACK),
+    f"""SELECT l.repo_slug, l.period_week, {WEEKS_BACK} AS weeks_back, count(*) AS commit_count,
+      (SELECT count(*) FROM window_authors a WHERE a.repo_slug = l.repo_slug AND a.period_week = l.period_week) AS active_developers
+    FROM local l GROUP BY ALL""",
+    "," + _WINDOW,
+)
+_events(
+    "a7_throughput_per_active_dev_weekly",
+    lambda c: activity.throughput_per_active_dev_weekly(c, WEEKS_BACK),
+    f"""SELECT l.repo_slug, l.period_week, {WEEKS_BACK} AS weeks_back, count(*) AS commit_count, count(DISTINCT a.author_ref) AS active_authors,
+      CASE WHEN count(DISTINCT a.author_ref) > 0 THEN count(*) / count(DISTINCT a.author_ref) ELSE 0 END AS commits_per_author
+    FROM local l LEFT JOIN window_authors a USING (repo_slug, period_week, author_ref) GROUP BY ALL""",
+    "," + _WINDOW,
+)
+_orders(
+    "a8_throughput_per_active_dev_monthly",
+    lambda c: activity.throughput_per_active_dev_monthly(c, WEEKS_BACK),
+    f"""SELECT l.repo_slug, l.period_month, {WEEKS_BACK} AS weeks_back, count(*) AS commit_count, count(DISTINCT l.author_ref) FILTER (active) AS active_authors,
+      CASE WHEN count(DISTINCT l.author_ref) FILTER (active) > 0 THEN count(*) / count(DISTINCT l.author_ref) FILTER (active) ELSE 0 END AS commits_per_author
+    FROM (SELECT m.*, EXISTS (SELECT 1 FROM local p WHERE p.repo_slug = m.repo_slug AND p.author_ref = m.author_ref
+      AND p.at <= date_trunc('month', m.at) AND p.at >= date_trunc('month', m.at) - INTERVAL '{WEEKS_BACK * 7} days') AS active FROM local m) l GROUP BY ALL""",
+)
+_events(
+    "a9_active_authors_recent",
+    lambda c: metrics.active_authors_recent(c, F.lit(AS_OF), 1),
+    f"SELECT DISTINCT repo_slug, author_ref FROM local WHERE committed_at >= {AS_OF} - 604800",
+)
+_FAILURE = """SELECT *, round_even(100.0::DOUBLE * fix_like_commits / total_commits, 1) AS failure_rate FROM (
+  SELECT repo_slug, period_month, count(*) AS total_commits, count(*) FILTER ({}) AS fix_like_commits FROM local GROUP BY ALL)"""
+_EITHER = _FAILURE.format("subject_has_keywords = 1 OR body_has_keywords = 1")
+_orders("a10_change_failure_monthly", metrics.change_failure_monthly, _EITHER)
+_orders("a10_change_failure_monthly_squash", lambda c: metrics.change_failure_monthly(c, s.SQUASH), _FAILURE.format("subject_has_keywords = 1"))
+_orders("p4_change_failure_from_messages", metrics.change_failure_from_messages, _EITHER)
+_orders("p5_change_failure_from_first_lines", lambda c: metrics.change_failure_from_messages(c, s.SQUASH), _FAILURE.format("subject_has_keywords = 1"))
+_orders("a11_author_commit_totals", metrics.author_commit_totals, "SELECT repo_slug, author_ref, count(*) AS commit_count FROM commits GROUP BY ALL")
+_orders(
+    "w4_author_commit_percentiles",
+    metrics.author_commit_percentiles,
+    """SELECT *, cume_dist() OVER (PARTITION BY repo_slug ORDER BY commit_count) * 100 AS percentile FROM (
+      SELECT repo_slug, author_ref, count(*) AS commit_count FROM commits GROUP BY ALL)""",
+)
+_orders(
+    "a12_repo_summary",
+    metrics.repo_summary,
+    """SELECT repo_slug, count(*) AS total_commits, count(DISTINCT author_ref) AS unique_authors, strftime(min(local.at), '%Y-%m-%dT%H:%M:%S') AS first_commit,
+      strftime(max(local.at), '%Y-%m-%dT%H:%M:%S') AS last_commit FROM local GROUP BY ALL""",
+)
+_orders(
+    "a13_avg_p75",
+    lambda c: metrics.avg_p75(deltas.cycle_stats_by_month(c)),
+    f"SELECT repo_slug, avg(p75_minutes) AS avg_p75_minutes FROM (SELECT repo_slug, period_month, {_STATS} FROM deltas GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL",
+    "," + DELTAS_SQL,
+)
+_orders("a13_avg_rate", lambda c: metrics.avg_rate(metrics.change_failure_monthly(c)).withColumn("avg_failure_rate", F.round("avg_failure_rate", 6)), f"SELECT repo_slug, round(avg(failure_rate), 6) AS avg_failure_rate FROM ({_EITHER}) GROUP BY ALL")
+_RUNS = """
+marked AS (SELECT *, CASE WHEN author_ref = lag(author_ref) OVER w THEN 0 ELSE 1 END AS new FROM local
+  WINDOW w AS (PARTITION BY repo_slug, period_week ORDER BY committed_at, log_ordinal)),
+runs AS (SELECT repo_slug, period_week AS week, run, any_value(author_ref) AS author_ref, count(*) AS commits, min(committed_at) AS started_at FROM (
+  SELECT *, CAST(sum(new) OVER (PARTITION BY repo_slug, period_week ORDER BY committed_at, log_ordinal) AS BIGINT) AS run FROM marked) GROUP BY ALL)"""
+_events("a15_commit_runs", metrics.commit_runs, "SELECT * FROM runs", "," + _RUNS)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
