@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deliverix.functions import scalars as s
 from deliverix.functions import time as t
-from deliverix.operators import activity, deltas, metrics
-from deliverix.plans import views
+from deliverix.operators import activity, deltas, graph, metrics, reconcile, rollup, series
+from deliverix.plans import registry, views
 from deliverix.plans.views import DELTAS_SQL, EDGES_SQL, EVENTS_SQL, ORDERS_SQL
+from deliverix.sources import export, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,6 +156,373 @@ runs AS (SELECT repo_slug, period_week AS week, run, any_value(author_ref) AS au
 _events("a15_commit_runs", metrics.commit_runs, "SELECT * FROM runs", "," + _RUNS)
 
 
+# merges and edges
+def _edged(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], sql: str | None = None, ctes: str = "") -> None:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        commits = views.commits_orders(spark, d)
+        return f(commits, views.edges_orders(commits))
+
+    _add(name, query, sql and f"WITH RECURSIVE {ORDERS_SQL}, {EDGES_SQL}{ctes} {sql}")
+
+
+def _tips(commits: DataFrame, at: int = 0) -> DataFrame:
+    return commits.filter(F.col("log_ordinal") == at).select("repo_slug", F.col("sha").alias("tip_sha"))
+
+
+_PARENTS = """
+lists AS (SELECT repo_slug, child_sha AS sha, CAST(count(*) AS INTEGER) AS parent_count, string_agg(parent_sha, ' ' ORDER BY parent_ord) AS parent_shas FROM edges GROUP BY ALL),
+parented AS (SELECT c.*, coalesce(l.parent_count, 0) AS parent_count, coalesce(l.parent_shas, '') AS parent_shas FROM local c LEFT JOIN lists l USING (repo_slug, sha))"""
+_edged("e3_build_parent_edges", lambda c, e: graph.build_parent_edges(graph.with_parents(c, e)), "SELECT repo_slug, child_sha, CAST(row_number() OVER (PARTITION BY repo_slug, child_sha ORDER BY parent_ord) - 1 AS INTEGER) AS parent_ord, parent_sha FROM edges")
+_edged("a16_parent_count_share", lambda c, e: metrics.parent_count_share(graph.with_parents(c, e)), "SELECT *, commits / sum(commits) OVER (PARTITION BY repo_slug) AS share FROM (SELECT repo_slug, parent_count, count(*) AS commits FROM parented GROUP BY ALL)", "," + _PARENTS)
+_edged("a17_edge_count", lambda c, e: metrics.edge_count(e), "SELECT repo_slug, count(*) AS edges FROM edges GROUP BY ALL")
+_edged("g1_link_children", graph.link_children, "SELECT c.repo_slug, c.sha, count(e.child_sha) AS children FROM commits c LEFT JOIN edges e ON e.repo_slug = c.repo_slug AND e.parent_sha = c.sha GROUP BY ALL")
+_edged(
+    "g2_reachable_from",
+    lambda c, e: graph.reachable_from(_tips(c), c, e),
+    "SELECT repo_slug, sha FROM reach",
+    """, reach AS (SELECT repo_slug, sha FROM commits WHERE log_ordinal = 0
+      UNION SELECT r.repo_slug, e.parent_sha FROM reach r JOIN edges e ON e.repo_slug = r.repo_slug AND e.child_sha = r.sha)""",
+)
+
+
+def _squash(c: DataFrame, e: DataFrame) -> DataFrame:
+    refs = _tips(c, 1).withColumn("ref_name", F.lit("main")).unionByName(_tips(c, 0).withColumn("ref_name", F.lit("topic")))
+    return metrics.change_failure_monthly(graph.squash_commits(refs, c, e), s.SQUASH)
+
+
+_edged(
+    "p13_squash_change_failure",
+    _squash,
+    _FAILURE.format("subject_has_keywords = 1").replace("FROM local", "FROM local SEMI JOIN reach USING (repo_slug, sha)"),
+    """, reach AS (SELECT repo_slug, sha FROM commits WHERE log_ordinal = 1
+      UNION SELECT r.repo_slug, e.parent_sha FROM reach r JOIN edges e ON e.repo_slug = r.repo_slug AND e.child_sha = r.sha)""",
+)
+for _strategy in ("top", "reverse", "narrow", "stop"):
+    _edged(f"g3_branch_lines_{_strategy}", lambda c, e, k=_strategy: graph.branch_lines(c, e, _tips(c), k)[0].withColumn("key", F.concat_ws(".", F.transform("key", lambda x: x.cast("string")))))
+_edged("g9_materialize_branch_lines", lambda c, e: graph.materialize_branch_lines(c, e, _tips(c)))
+_edged("a14_branch_cycle_summary", lambda c, e: graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c))))
+
+
+def _lines(f: Callable[..., DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda c, e: f(*graph.branch_lines(c, e, _tips(c)), c, e)
+
+
+_edged("g4_branch_phases", _lines(lambda lines, members, c, e: graph.branch_phases(lines, members, c)))
+_edged("g5_line_order", _lines(lambda lines, members, c, e: graph.line_order(lines, "top").drop("key")))
+_edged("g7_line_nodes", _lines(lambda lines, members, c, e: graph.line_nodes(lines, members)))
+_edged("g8_commits_until_first_merge", lambda c, e: graph.line_commits_until_first_merge(graph.branch_lines(c, e, _tips(c), "reverse")[1], graph.link_children(c, e), "reverse"))
+_edged("g11_hidden_run_compression", _lines(lambda lines, members, c, e: graph.hidden_run_compression(lines, members)))
+_edged("o5_longest_branch_lines", _lines(lambda lines, members, c, e: graph.longest_branch_lines(lines).drop("key")))
+
+# builders and readers, through tables and files that Spark makes from the orders
+_WEEK = """period_week, CAST(epoch(monday) AS BIGINT) AS week_monday_unix, CAST(epoch(monday) AS BIGINT) + 604800 AS week_end_unix"""
+
+
+def _log(c: DataFrame) -> DataFrame:
+    return c.select("repo_slug", "sha", F.col("author_ref").alias("author_email"), "committed_at", "log_ordinal")
+
+
+def _messages(c: DataFrame) -> DataFrame:
+    return c.select("sha", "subject", "body", F.concat(F.lit("  "), F.col("message"), F.lit("\n")).alias("raw"))
+
+
+_edged(
+    "e1_build_commits_export",
+    lambda c, e: export.build_commits_export(_log(c), _messages(c), e),
+    f"""SELECT repo_slug, sha, parent_shas, parent_count, committed_at, {_WEEK}, log_ordinal, CAST(NULL AS VARCHAR) AS committer_tz_offset, 'none' AS pii_protection_profile,
+      author_ref, CAST(NULL AS VARCHAR) AS author_label_pii, subject_has_keywords, body_has_keywords, nullif(regexp_extract(subject, '^(feat|chore):', 1), '') AS conventional_type,
+      CASE WHEN regexp_matches(subject, '^(feat|chore):') THEN 'subject' END AS conventional_type_scope, 3 AS schema_version, CAST(NULL AS VARCHAR) AS tenant_id FROM parented""",
+    "," + _PARENTS,
+)
+_orders(
+    "e2_build_lake_commits",
+    lambda c: export.build_lake_commits(_log(c), _messages(c)),
+    """SELECT sha, author_ref AS author_email, committed_at AS committed_date, repo_slug AS _raw_data_params,
+      CASE WHEN body = '' THEN subject ELSE subject || chr(10) || chr(10) || body END AS message, log_ordinal FROM commits""",
+)
+_orders("e4_week_bounds", lambda c: c.select("repo_slug", "sha", *(v.alias(k) for k, v in t.week_bounds(F.col("committed_at")).items())), f"SELECT repo_slug, sha, {_WEEK} FROM local")
+_orders("e5_keyword_flags", lambda c: c.select("repo_slug", "sha", *(v.alias(k) for k, v in s.keyword_flags(F.col("subject"), F.col("body")).items())), "SELECT repo_slug, sha, subject_has_keywords, body_has_keywords FROM commits")
+_HMAC_KEY = b"a key for tests"
+_pad = lambda x: bytes(b ^ x for b in _HMAC_KEY.ljust(64, b"\0")).hex()
+_orders(
+    "e6_pseudonymize_authors",
+    lambda c: c.select("repo_slug", "author_ref").distinct().select("repo_slug", F.col("author_ref").alias("email"), s.pseudonymize("pseudonym_hmac_strict", _HMAC_KEY, F.lit("t1"), F.col("repo_slug"), F.col("author_ref"), F.lit(None))["author_ref"].alias("author_ref")),
+    f"""SELECT repo_slug, author_ref AS email, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || CAST('t:t1|r:' || repo_slug || '|e:' || author_ref AS BLOB)))) AS author_ref
+    FROM (SELECT DISTINCT repo_slug, author_ref FROM commits)""",
+)
+_orders("e7_conventional_type", lambda c: c.select("repo_slug", "sha", s.conventional_type(F.col("subject")).alias("kind")), "SELECT repo_slug, sha, nullif(regexp_extract(subject, '^(feat|chore):', 1), '') AS kind FROM commits")
+
+
+def _in_path() -> Column:
+    """The repository of a partitioned file."""
+    return F.regexp_extract("file", "repo_slug=([^/]+)", 1)
+
+
+def _text_files(rows: DataFrame, order: str) -> str:
+    """Writes (repo_slug, line, order) as one ordered text file for each repository."""
+    path = graph.new_path(rows.sparkSession)
+    rows.repartition("repo_slug").sortWithinPartitions("repo_slug", order).select("repo_slug", "line").write.partitionBy("repo_slug").text(path)
+    return path
+
+
+def _git_log(spark: SparkSession, d: str) -> DataFrame:
+    c = views.commits_orders(spark, d)
+    line = F.concat_ws("|", F.col("committed_at").cast("string"), "sha", F.lit("tree"), F.lit("p1 p2"), "author_ref", F.concat(F.lit("A|"), "author_ref"))
+    path = _text_files(c.select("repo_slug", line.alias("line"), "log_ordinal"), "log_ordinal")
+    return readers.read_git_log(spark, path, _in_path()).withColumn("parents", F.size("parents")).drop("tree")
+
+
+_add(
+    "s1_read_git_log",
+    _git_log,
+    f"WITH {ORDERS_SQL} SELECT repo_slug, sha, 2 AS parents, author_ref AS author_email, 'A|' || author_ref AS author_name, committed_at, log_ordinal FROM commits",
+)
+
+
+def _message_file(spark: SparkSession, d: str) -> DataFrame:
+    c = views.commits_orders(spark, d)
+    path = graph.new_path(spark)
+    c.select(F.concat_ws("\x1f", F.lpad("sha", 40, "0"), "subject", "body", "message").alias("value")).write.option("lineSep", "\0").text(path)
+    return readers.read_commit_messages(spark, path)
+
+
+_add(
+    "s2_read_commit_messages",
+    _message_file,
+    f"WITH {ORDERS_SQL} SELECT lpad(sha, 40, '0') AS sha, subject, body, CASE WHEN body = '' THEN subject ELSE subject || chr(10) || chr(10) || body END AS raw FROM commits",
+)
+
+
+def _edge_file(spark: SparkSession, d: str) -> DataFrame:
+    c = views.commits_orders(spark, d)
+    rows = graph.with_parents(c, views.edges_orders(c))
+    path = _text_files(rows.select("repo_slug", F.concat_ws(" ", "sha", "parent_shas").alias("line"), "log_ordinal"), "log_ordinal")
+    return readers.read_parent_edges(spark, path, _in_path())
+
+
+_add("s3_read_parent_edges", _edge_file, f"WITH {ORDERS_SQL}, {EDGES_SQL} SELECT repo_slug, child_sha, CAST(row_number() OVER (PARTITION BY repo_slug, child_sha ORDER BY parent_ord) - 1 AS INTEGER) AS parent_ord, parent_sha FROM edges")
+
+
+def _ref_file(spark: SparkSession, d: str) -> DataFrame:
+    c = views.commits_orders(spark, d)
+    line = F.concat_ws(" ", F.concat(F.lit("t"), F.floor(F.col("log_ordinal") / 3)), F.lit("commit"), F.concat(F.lit("refs/heads/b "), "log_ordinal"))
+    return readers.refs_by_tip(readers.read_refs(spark, _text_files(c.select("repo_slug", line.alias("line"), "log_ordinal"), "log_ordinal"), _in_path()))
+
+
+_add("s4_read_refs", _ref_file, f"WITH {ORDERS_SQL} SELECT repo_slug, 't' || (log_ordinal // 3) AS tip_sha, 'refs/heads/b ' || max(log_ordinal) AS ref_name FROM commits GROUP BY repo_slug, log_ordinal // 3")
+
+
+def _object_file(spark: SparkSession, d: str) -> DataFrame:
+    c = views.commits_orders(spark, d)
+    return readers.read_object_ids(spark, _text_files(c.select("repo_slug", F.concat_ws(" ", "author_ref", "sha").alias("line"), "log_ordinal"), "log_ordinal"), _in_path())
+
+
+_add("s5_read_object_ids", _object_file, f"WITH {ORDERS_SQL} SELECT repo_slug, author_ref AS object_id, min(log_ordinal) AS ordinal FROM commits GROUP BY ALL")
+
+
+def _export_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = graph.new_path(spark)
+    views.commits_orders(spark, d).select("repo_slug", "sha", "committed_at").write.partitionBy("repo_slug").parquet(path)
+    return readers.read_commits_export(spark, path, "repo1").select("repo_slug", "sha", "committed_at")
+
+
+_add("s10_commits_export_scan", _export_scan, f"WITH {ORDERS_SQL} SELECT repo_slug, sha, committed_at FROM commits WHERE repo_slug = 'repo1'")
+_orders("s11_lake_commits_scan", lambda c: readers.from_lake(export.build_lake_commits(_log(c), _messages(c)), "repo2").drop("message"), "SELECT repo_slug, sha, author_ref, committed_at, log_ordinal FROM commits WHERE repo_slug = 'repo2'")
+
+
+def _devlake(c: DataFrame, e: DataFrame) -> DataFrame:
+    lake = c.select("sha", F.col("author_ref").alias("author_email"), F.timestamp_seconds("committed_at").alias("committed_date"), F.col("repo_slug").alias("_raw_data_params"), "message")
+    parents = e.select(F.col("child_sha").alias("commit_sha"), F.col("parent_sha").alias("parent_commit_sha"), "parent_ord")
+    refs = _tips(c).select(F.col("repo_slug").alias("repo_id"), F.lit("main").alias("name"), F.col("tip_sha").alias("commit_sha"))
+    commits, edges, _ = readers.from_devlake(lake, parents, refs, ["repo0", "repo3"])
+    return commits.groupBy("repo_slug").agg(F.count("*").alias("commits"), F.sum("committed_at").alias("seconds")).join(edges.groupBy("repo_slug").agg(F.count("*").alias("edges")), "repo_slug")
+
+
+_edged("s12_from_devlake", _devlake, "SELECT c.*, (SELECT count(*) FROM edges e WHERE e.repo_slug = c.repo_slug) AS edges FROM (SELECT repo_slug, count(*) AS commits, CAST(sum(committed_at) AS BIGINT) AS seconds FROM commits WHERE repo_slug IN ('repo0', 'repo3') GROUP BY ALL) c")
+_orders("s13_first_repo_id", readers.first_repo_id, "SELECT min(repo_slug) AS repo_slug FROM commits")
+_orders("s14_list_repo_ids", readers.list_repo_ids, "SELECT DISTINCT repo_slug FROM commits")
+_edged(
+    "r13_validate_interchange",
+    lambda c, e: reconcile.validate_interchange(graph.with_parents(c, e), e.filter("parent_ord = 0")),
+    "SELECT 'edges match parent_count' AS rule, repo_slug, sha FROM parented JOIN (SELECT repo_slug, child_sha AS sha FROM edges WHERE parent_ord = 1) USING (repo_slug, sha)",
+    "," + _PARENTS,
+)
+
+# shas, names and labels
+_SHAS = "shas AS (SELECT repo_slug, md5(sha) AS sha, log_ordinal FROM commits)"
+_shas = lambda c: c.select("repo_slug", F.md5("sha").alias("sha"), "log_ordinal")
+_orders(
+    "f15_short_sha",
+    lambda c: export.short_sha(_shas(c)),
+    """SELECT repo_slug, sha, CAST(min(k) AS INTEGER) AS length FROM (
+      SELECT repo_slug, sha, k, count(*) OVER (PARTITION BY repo_slug, k, sha[:k]) AS same FROM shas, range(4, 33) r(k)) WHERE same = 1 GROUP BY ALL""",
+    ", " + _SHAS,
+)
+_orders(
+    "j10_resolve_sha_prefix",
+    lambda c: export.resolve_sha_prefix(_shas(c).select("repo_slug", F.left("sha", F.lit(4)).alias("prefix")).distinct(), _shas(c).select("repo_slug", F.col("sha").alias("object_id"), F.col("log_ordinal").alias("ordinal"))),
+    "SELECT repo_slug, sha[:4] AS prefix, arg_min(sha, log_ordinal) AS object_id FROM shas GROUP BY ALL",
+    ", " + _SHAS,
+)
+_add(
+    "f13_repo_names",
+    lambda spark, d: spark.read.parquet(f"{d}/customer.parquet").select(
+        "c_custkey", *(f(F.concat(F.when(F.col("c_custkey") % 2 == 0, "https://host/team/").otherwise("/srv/"), "c_name", F.when(F.col("c_custkey") % 3 == 0, ".git").otherwise(""))).alias(n) for f, n in ((s.repo_name_from_url, "name"), (s.is_remote, "remote")))
+    ).withColumn("repo_id", s.repo_id(F.col("name"))),
+    "SELECT c_custkey, c_name AS name, c_custkey % 2 = 0 AS remote, 'local:' || c_name AS repo_id FROM customer",
+)
+_orders(
+    "f7_week_labels",
+    lambda c: c.select(t.period_week(t.to_local(F.col("committed_at"))).alias("week")).distinct().select("week", F.date_format(t.week_label_to_monday(F.col("week")), "yyyy-MM-dd").alias("monday"), t.week_tick(F.col("week")).alias("tick")),
+    "SELECT DISTINCT period_week AS week, strftime(monday, '%Y-%m-%d') AS monday, strftime(monday, '%m/%d') AS tick FROM local",
+)
+_orders(
+    "f8_normalize_date",
+    lambda c: c.select("sha", t.normalize_date(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.year(t.to_local(F.col("committed_at"))), F.lit("-"), F.month(t.to_local(F.col("committed_at"))))).when(F.col("o_orderkey") % 3 == 1, F.date_format(t.to_local(F.col("committed_at")), "EEE MMM dd HH:mm:ss yyyy")).otherwise(F.concat(F.lit("x"), "sha"))).alias("month")),
+    "SELECT sha, CASE WHEN o_orderkey % 3 = 2 THEN 'x' || sha ELSE period_month END AS month FROM local",
+)
+_orders("f6_month_start_unix", lambda c: c.select("sha", t.month_start_unix(F.col("committed_at")).alias("start")), "SELECT sha, CAST(epoch(date_trunc('month', local.at)) AS BIGINT) AS start FROM local")
+_orders("f3_local_days_shift", lambda c: c.select("sha", t.local_days_shift(F.col("committed_at"), -28).alias("shifted")), "SELECT sha, committed_at - 2419200 AS shifted FROM local")
+_orders("f16_branch_line_id", lambda c: c.select("sha", s.branch_line_id("top", F.lit(None), F.col("sha")).alias("id")), "SELECT sha, sha256('top' || chr(10) || chr(10) || sha) AS id FROM commits")
+_orders("f17_cohort_id", lambda c: c.agg(s.cohort_id(F.col("repo_slug")).alias("cohort_id")), "SELECT sha256(string_agg(repo_slug, chr(10) ORDER BY repo_slug))[:24] AS cohort_id FROM (SELECT DISTINCT repo_slug FROM commits)")
+_orders("f19_commit_type", lambda c: c.select("sha", s.commit_type(F.split("body", " ")).alias("kind")), "SELECT sha, CASE WHEN body = '' THEN '<' ELSE '<<' END AS kind FROM commits")
+_orders("w2_rank_in_period", lambda c: series.period_ranks(metrics.throughput_monthly(c).withColumn("v", F.col("commit_count") * 1000 + F.month(F.concat("period_month", F.lit("-01")))), ["repo_slug", F.left("period_month", F.lit(4))], "v").drop("v"),
+    """SELECT repo_slug, period_month, commit_count, unique_authors, CAST(row_number() OVER (PARTITION BY repo_slug, period_month[:4] ORDER BY commit_count, period_month) AS INTEGER) AS rank_in_period
+    FROM (SELECT repo_slug, period_month, count(*) AS commit_count, count(DISTINCT author_ref) AS unique_authors FROM local GROUP BY ALL)""")
+
+# roll-ups
+_MONTHLY = f"cycle AS (SELECT repo_slug, period_month, {_STATS} FROM deltas GROUP BY ALL HAVING count(*) >= 2)"
+_near = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})
+_orders("r3_aggregate_cycle_time", lambda c: _near(rollup.aggregate_cycle_time(deltas.cycle_stats_by_month(c)), *rollup.CYCLE),
+    "SELECT period_month, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in rollup.CYCLE) + " FROM cycle GROUP BY ALL", f", {DELTAS_SQL}, {_MONTHLY}")
+_orders("r4_aggregate_failure_rate", lambda c: _near(rollup.aggregate_failure_rate(metrics.change_failure_monthly(c)), "failure_rate"), f"SELECT period_month, round(avg(failure_rate), 6) AS failure_rate FROM ({_EITHER}) GROUP BY ALL")
+_orders("r5_aggregate_active_developers", lambda c: rollup.aggregate_active_developers(metrics.authors_by_month(c)), "SELECT period_month, count(DISTINCT author_ref) AS unique_authors FROM local GROUP BY ALL")
+_orders("r6_aggregate_throughput", lambda c: rollup.aggregate_throughput(metrics.throughput_monthly(c)), "SELECT period_month, count(*) AS commit_count FROM local GROUP BY ALL")
+_COMBINED = """SELECT period_week, commit_count, active_authors, commit_count / active_authors AS commits_per_author FROM (SELECT period_week, count(*) AS commit_count FROM local GROUP BY ALL)
+  JOIN (SELECT period_week, count(DISTINCT author_ref) AS active_authors FROM window_authors GROUP BY ALL) USING (period_week)"""
+_events("r7_aggregate_throughput_per_active_dev", lambda c: series.tpad_weekly_combined(c, WEEKS_BACK), _COMBINED, "," + _WINDOW)
+_events("v6_active_devs_weekly_combined", lambda c: series.active_devs_weekly_combined(c, WEEKS_BACK), f"SELECT period_week, active_authors, commit_count FROM ({_COMBINED})", "," + _WINDOW)
+_long = lambda name, key, value, source: f"SELECT '{name}' AS metric_name, {key} AS period_key, round({value}, 6)::DOUBLE AS value_real FROM ({source})"
+_events(
+    "r8_cohort_rows",
+    lambda c: _near(rollup.cohort_rows_of(c, WEEKS_BACK), "value_real").drop("value_json"),
+    "SELECT 'default' AS batch_id, 'all' AS cohort_id, * FROM ("
+    + " UNION ALL ".join(
+        [
+            *(_long(name, "period_month", k, f"SELECT period_month, avg({k}) AS {k} FROM cycle GROUP BY ALL") for k, name in rollup.CYCLE.items()),
+            _long(rollup.FAILURE, "period_month", "r", f"SELECT period_month, avg(failure_rate) AS r FROM ({_EITHER}) GROUP BY ALL"),
+            _long(rollup.AUTHORS, "period_month", "n", "SELECT period_month, count(DISTINCT author_ref) AS n FROM local GROUP BY ALL"),
+            _long(rollup.THROUGHPUT, "period_month", "n", "SELECT period_month, count(*) AS n FROM local GROUP BY ALL"),
+            _long(rollup.PER_ACTIVE_DEV, "period_week", "commits_per_author", _COMBINED),
+        ]
+    )
+    + ")",
+    f", {DELTAS_SQL}, {_MONTHLY}, {_WINDOW}",
+)
+_SUMMARY = """SELECT repo_slug, count(*) AS n, count(DISTINCT author_ref) AS k, min(local.at) AS lo, max(local.at) AS hi FROM local GROUP BY ALL"""
+_orders(
+    "r9_summary_report",
+    rollup.summary_report,
+    f"""SELECT count(*) AS repositories, CAST(sum(n) AS BIGINT) AS total_commits, (SELECT count(DISTINCT author_ref) FROM commits) AS unique_authors, strftime(min(lo), '%Y-%m-%dT%H:%M:%S') AS first_commit,
+      strftime(max(hi), '%Y-%m-%dT%H:%M:%S') AS last_commit, avg(n) AS commits_per_repo, avg(k) AS authors_per_repo FROM ({_SUMMARY})""",
+)
+_orders(
+    "r10_reconcile",
+    lambda c: reconcile.reconcile_metric("change_failure_monthly", metrics.change_failure_monthly(c), metrics.change_failure_monthly(c.filter("o_orderkey % 50 > 0"), s.SQUASH), ["repo_slug", "period_month"]).groupBy("repo_slug", "problem", "column").agg(F.count("*").alias("n")),
+    """SELECT repo_slug, d.p AS problem, d.c AS "column", count(*) AS n FROM (
+      SELECT coalesce(a.repo_slug, b.repo_slug) AS repo_slug, unnest(CASE WHEN b.repo_slug IS NULL THEN [{'p': 'only left', 'c': NULL}] WHEN a.repo_slug IS NULL THEN [{'p': 'only right', 'c': NULL}] ELSE list_filter([
+        CASE WHEN a.total_commits <> b.total_commits THEN {'p': 'value mismatch', 'c': 'total_commits'} END, CASE WHEN a.fix_like_commits <> b.fix_like_commits THEN {'p': 'value mismatch', 'c': 'fix_like_commits'} END,
+        CASE WHEN abs(a.failure_rate - b.failure_rate) > 0.05 THEN {'p': 'value mismatch', 'c': 'failure_rate'} END], lambda x: x IS NOT NULL) END) AS d
+      FROM (""" + _EITHER + ") a FULL JOIN (" + _FAILURE.format("subject_has_keywords = 1").replace("FROM local", "FROM local WHERE o_orderkey % 50 > 0") + ") b USING (repo_slug, period_month)) GROUP BY ALL",
+)
+_events("r11_audit_line", lambda c: reconcile.audit_line(metrics.with_month(c), "period_month", "author_ref"), "SELECT count(*) AS row_count, min(period_month) AS first_period, max(period_month) AS last_period, count(DISTINCT author_ref) AS authors FROM local")
+_orders("r12_run_metrics", lambda c: _row_counts(registry.run_metrics(c)))
+
+
+def _row_counts(found: dict[str, DataFrame]) -> DataFrame:
+    """A row for each metric with its number of rows."""
+    parts = [df.agg(F.lit(n).alias("metric"), F.count("*").alias("row_count")) for n, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+# series
+_TREND = "regr_slope({v}, x) OVER w AS slope, regr_intercept({v}, x) OVER w AS cut, max(x) OVER w AS last"
+_trended = lambda v, source: f"""SELECT * EXCLUDE (x, slope, cut, last), round(cut + slope * x, 6) AS trend, round(cut + slope * last, 6) AS trend_end FROM (
+  SELECT *, {_TREND.format(v=v)} FROM (SELECT *, row_number() OVER (PARTITION BY repo_slug ORDER BY period_month) - 1 AS x FROM ({source})) WINDOW w AS (PARTITION BY repo_slug))"""
+_orders("v1_cycle_time_series", lambda c: _near(series.cycle_time_series(c), "trend", "trend_end"),
+    _trended("p75_days", "SELECT repo_slug, period_month, p75_minutes / 1440 AS p75_days, std_minutes / 1440 AS std_days, p75_minutes / 1440 - std_minutes / 1440 AS band_low, p75_minutes / 1440 + std_minutes / 1440 AS band_high FROM cycle"), f", {DELTAS_SQL}, {_MONTHLY}")
+_orders("v2_failure_rate_series", lambda c: _near(series.failure_rate_series(c), "trend", "trend_end"), _trended("failure_rate", f"SELECT repo_slug, period_month, failure_rate, failure_rate > 10 AS above_10pct FROM ({_EITHER})"))
+_orders("v3_active_dev_series", series.active_dev_series, "SELECT period_month, repo_slug, count(DISTINCT author_ref) AS value FROM local GROUP BY ALL")
+_orders("v3_throughput_series", series.throughput_series, "SELECT period_month, repo_slug, count(*) AS value FROM local GROUP BY ALL")
+_PER_DEV = "SELECT strftime(l.monday, '%Y-%m-%d') AS week_monday, l.repo_slug, count(*) / count(DISTINCT author_ref) AS value FROM local l GROUP BY ALL"
+_events("v4_tpad_weekly_series", lambda c: series.tpad_weekly_series(c, WEEKS_BACK), _PER_DEV)
+_events("v5_tpad_stacked_matrix", lambda c: _near(series.tpad_stacked_matrix(c, WEEKS_BACK), "total", "base"),
+    f"""SELECT w.week_monday, r.repo_slug, coalesce(p.value, 0) AS value, round(sum(coalesce(p.value, 0)) OVER (PARTITION BY w.week_monday), 6) AS total,
+      round(coalesce(sum(coalesce(p.value, 0)) OVER (PARTITION BY w.week_monday ORDER BY r.repo_slug ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS base
+    FROM (SELECT DISTINCT week_monday FROM per_dev) w CROSS JOIN (SELECT DISTINCT repo_slug FROM per_dev) r LEFT JOIN per_dev p USING (week_monday, repo_slug)""", f", per_dev AS ({_PER_DEV})")
+_events("v7_active_devs_weekly_comparison", lambda c: series.active_devs_weekly_comparison(c, WEEKS_BACK),
+    """SELECT strftime(w.monday, '%Y-%m-%d') AS week_monday, w.repo_slug, (SELECT count(*) FROM window_authors a WHERE a.repo_slug = w.repo_slug AND a.period_week = w.period_week) AS value FROM weeks w""", "," + _WINDOW)
+_orders("v8_repository_summary", lambda c: _near(series.repository_summary(c), "avg_p75_days", "avg_failure_rate"),
+    f"""SELECT repo_slug, n AS total_commits, k AS unique_authors, round((SELECT avg(p75_minutes) FROM cycle c WHERE c.repo_slug = s.repo_slug) / 1440, 6) AS avg_p75_days,
+      round((SELECT avg(failure_rate) FROM ({_EITHER}) f WHERE f.repo_slug = s.repo_slug), 6) AS avg_failure_rate FROM ({_SUMMARY}) s""", f", {DELTAS_SQL}, {_MONTHLY}")
+
+
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM").alias("Month"), "o_orderstatus")
+    wide = o.groupBy("Month").agg(*(F.count_if(F.col("o_orderstatus") == k).alias(k) for k in "FOP"), F.count("*").alias("Total"))
+    return series.work_category_stack(wide)
+
+
+_add("v9_work_category_stack", _categories, """WITH n AS (SELECT strftime(o_orderdate, '%Y-%m') AS "Month", k AS category, count(*) FILTER (o_orderstatus = k)::DOUBLE AS value FROM orders, (VALUES ('F'), ('O'), ('P')) v(k) GROUP BY ALL)
+  SELECT *, coalesce(sum(value) OVER (PARTITION BY "Month" ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM n""")
+
+
+def _sprints(spark: SparkSession, d: str) -> DataFrame:
+    e = views.commits_events(spark, d)
+    weeks = metrics.with_week(e).groupBy(F.col("period_week").alias("Week")).agg(F.count("*").cast("double").alias("Committed"), F.count_if(F.col("log_ordinal") % 5 > 0).cast("double").alias("Completed"))
+    return series.sprint_completion_series(weeks.withColumn("Percentage Completed", F.round(F.col("Completed") / F.col("Committed") * 100, 3)))
+
+
+_add("v10_sprint_completion_series", _sprints, f"""WITH {EVENTS_SQL} SELECT *, "Percentage Completed" < 80 AS below_target FROM (SELECT *, round("Completed" / "Committed" * 100, 3) AS "Percentage Completed" FROM (
+  SELECT period_week AS "Week", count(*)::DOUBLE AS "Committed", count(*) FILTER (log_ordinal % 5 > 0)::DOUBLE AS "Completed" FROM local GROUP BY ALL))""")
+_events("v11_commit_trend_rows", series.commit_trend_rows, "SELECT week AS date, commits, author_ref AS author, repo_slug FROM runs", "," + _RUNS)
+
+
+# writers, read back
+def _metric_table(c: DataFrame) -> DataFrame:
+    path = graph.new_path(c.sparkSession)
+    found = sinks.with_lineage(deltas.cycle_stats_by_month(c), "all", AS_OF)
+    sinks.write_metric_table(found, path)
+    sinks.write_metric_table(found, path)  # a second snapshot replaces the first
+    return c.sparkSession.read.parquet(path).select("repo_slug", "dataset_id", "period_month", "sample_count", "sum_minutes", "p75_minutes", "computed_at")
+
+
+_orders("k1_write_metric_table", _metric_table, f"SELECT repo_slug, 'all' AS dataset_id, period_month, sample_count, sum_minutes, p75_minutes, {AS_OF}::BIGINT AS computed_at FROM cycle", f", {DELTAS_SQL}, {_MONTHLY}")
+
+
+def _csv_back(write: Callable[[DataFrame, str], None], schema: str) -> Callable[[DataFrame], DataFrame]:
+    def query(df: DataFrame) -> DataFrame:
+        path = graph.new_path(df.sparkSession)
+        write(df, path)
+        return df.sparkSession.read.csv(path, header=True, schema=schema, enforceSchema=False)
+
+    return query
+
+
+_one = lambda c: c.filter("repo_slug = 'repo0'")
+_orders("k3_write_cycle_csv", lambda c: _csv_back(sinks.write_cycle_csv, "`INTERVAL START` string, SUM double, AVERAGE double, `p75 CYCLE TIME (minutes)` long, `std CYCLE TIME` long")(deltas.cycle_stats_by_month(_one(c))).drop("AVERAGE"),
+    """SELECT period_month AS "INTERVAL START", sum_minutes AS "SUM", p75_minutes AS "p75 CYCLE TIME (minutes)", std_minutes AS "std CYCLE TIME" FROM cycle WHERE repo_slug = 'repo0'""", f", {DELTAS_SQL}, {_MONTHLY}")
+_orders("k4_write_failure_csv", lambda c: _csv_back(sinks.write_failure_csv, "Month string, `Change Failure Rate (%)` double")(metrics.change_failure_monthly(_one(c))),
+    f"""SELECT period_month AS "Month", failure_rate AS "Change Failure Rate (%)" FROM ({_EITHER}) WHERE repo_slug = 'repo0'""")
+_orders("k5_write_authors_csv", lambda c: _csv_back(sinks.write_authors_csv, "Month string, `Unique Authors` long")(metrics.active_developers_monthly(_one(c))),
+    """SELECT period_month AS "Month", count(DISTINCT author_ref) AS "Unique Authors" FROM local WHERE repo_slug = 'repo0' GROUP BY ALL""")
+_orders("k10_write_canonical_csv", lambda c: _csv_back(sinks.write_canonical_csv, "repo_slug string, period_month string, sample_count long, sum_minutes double, avg_minutes double, p75_minutes long, std_minutes long")(deltas.cycle_stats_by_month(c)),
+    "SELECT repo_slug, period_month, sample_count, sum_minutes, avg_minutes, p75_minutes, std_minutes FROM cycle", f", {DELTAS_SQL}, {_MONTHLY}")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
