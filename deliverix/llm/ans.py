@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deliverix.llm.common import new_path, small_batches, stored, table, text_bytes
-from deliverix.llm.tokens import rank_file_encoder
+from deliverix.llm.tokens import encoder_for
 
 MAGIC = b"IDANS001"
 #: Ids of a file (a document is never split), ids of a block, states of a block, bits of the frequency sum.
@@ -165,14 +165,14 @@ class Archive:
         return ids[first - lo * block : first - lo * block + count]
 
 
-def write_ids(docs: DataFrame, ranks: str, pattern: str, end: int = END) -> DataFrame:
+def write_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
     """Writes the ids of docs(doc_id, text) in ascending doc_id; returns the stored table of files (path, ids, start)."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = new_path(spark, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_file_encoder(ranks, pattern)
+        encoder = encoder_for(vocabulary)
         store, top = fs.FileSystem.from_uri(folder)
         part, doc_ids, tokens, held, n = TaskContext.get().partitionId(), [], [], 0, 0
 
@@ -223,6 +223,5 @@ def read_ids(files: DataFrame) -> DataFrame:
 
 
 def op8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranks are those of byte_bpe_50k.json; the tests hold their ids against the tokenizers library's."""
-    files = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    files = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_ids(stored(files, "id-index"))

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -149,7 +149,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", v.alias("v")).filter(sound & some)
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = K) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors(vec_id, embedding) for the rows that is_query marks."""
     spark = vectors.sparkSession
     small_batches(spark, rows=10_000)

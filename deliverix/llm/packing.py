@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from deliverix.llm.common import small_batches, table, text_bytes
-from deliverix.llm.tokens import rank_file_encoder
+from deliverix.llm.tokens import encoder_for
 
 TIERS = (2048, 1024, 512, 256)
 END = 1
@@ -143,7 +143,7 @@ def step_groups(sizes: list[int], tokens: int = STEP) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, ranks: str, pattern: str, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
     """A row for each piece of each document of docs(doc_id, text); see SCHEMA."""
     small_batches(docs.sparkSession)
 
@@ -161,7 +161,7 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, end: int = END) ->
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")]), base + len(windows), group + max(groups) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_file_encoder(ranks, pattern)
+        encoder = encoder_for(vocabulary)
         base = group = TaskContext.get().partitionId() << 36
         ids, tokens, held = [], [], 0
         for b in batches:
@@ -181,8 +181,7 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, end: int = END) ->
 
 
 def pack_by_default(docs: DataFrame) -> DataFrame:
-    """The ranks are those of byte_bpe_50k.json; the tests hold their ids against the tokenizers library's."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 
 from deliverix.llm.common import span_hashes
 
@@ -148,3 +149,8 @@ def library_encoder(path: str) -> Encoder:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     return Encoder(lambda new: in_a_row([e.ids for e in t.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]))
+
+
+def encoder_for(path: str) -> Encoder:
+    """By the kind of file: the tokenizers library's .json, or tiktoken's ranks with the public pattern."""
+    return library_encoder(path) if path.endswith(".json") else rank_file_encoder(path, public_tokenizers.PATTERN)
