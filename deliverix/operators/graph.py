@@ -94,8 +94,10 @@ def reachable_from(tips: DataFrame, commits: DataFrame, edges: DataFrame) -> Dat
         new = _stored(start if seen is None else start.join(seen, ["repo_slug", "sha"], "left_anti"))
         if new.isEmpty():
             return new if seen is None else seen
-        for stride in strides:
-            new = _stored(new.unionAll(new.join(stride, ["repo_slug", "sha"]).select("repo_slug", F.col("up").alias("sha"))).distinct())
+        for i, stride in enumerate(strides):
+            both = F.explode(F.array(F.col("sha"), F.col("up")))
+            new = new.join(stride, ["repo_slug", "sha"], "left").select("repo_slug", both.alias("sha")).filter("sha is not null").distinct()
+            new = _stored(new) if i % 4 == 3 or i == len(strides) - 1 else new
         seen = new if seen is None else _stored(seen.unionAll(new).distinct())
         start = new.join(further, ["repo_slug", "sha"]).select("repo_slug", F.col("parent_sha").alias("sha")).distinct()
     raise RuntimeError("reachability did not settle")
@@ -106,24 +108,20 @@ def squash_commits(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> Dat
     return commits.join(reachable_from(default_branch(refs), commits, edges), ["repo_slug", "sha"], "left_semi")
 
 
-def first_parent_chains(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each commit, its first-parent root in the snapshot and its depth above it, by doubling pointers.
+def first_parent_chains(commits: DataFrame, edges: DataFrame, strides: list[DataFrame] | None = None) -> DataFrame:
+    """For each commit, its first-parent root in the snapshot and its depth above it: the longest strides first.
 
     Commits with one root form a tree; a commit x is on the chain of y if both have the root and x is an
     ancestor of y at depth(x).
     """
-    first = edges.filter("parent_ord = 0").select("repo_slug", F.col("child_sha").alias("sha"), F.col("parent_sha").alias("up"))
-    known = commits.select("repo_slug", F.col("sha").alias("up")).withColumn("_known", F.lit(1))
-    at = commits.select("repo_slug", "sha").join(first, ["repo_slug", "sha"], "left").join(known, ["repo_slug", "up"], "left")
-    at = _stored(at.select("repo_slug", "sha", F.when(F.col("_known") == 1, F.col("up")).otherwise(F.col("sha")).alias("up"), F.coalesce(F.col("_known"), F.lit(0)).cast("long").alias("depth")))
-    for _ in range(64):
-        above = at.select("repo_slug", F.col("sha").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        doubled = at.join(above, ["repo_slug", "up"]).select("repo_slug", "sha", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
-        moved = _stored(doubled)
-        if not moved.join(at, ["repo_slug", "sha", "up"], "left_anti").head(1):
-            return moved.withColumnRenamed("up", "root")
-        at = moved
-    raise RuntimeError("first parents form a circle")
+    strides = _strides(commits, edges) if strides is None else strides
+    at = commits.select("repo_slug", "sha", F.col("sha").alias("root"), F.lit(0).cast("long").alias("depth"))
+    for k in range(len(strides) - 1, -1, -1):
+        step = strides[k].select("repo_slug", F.col("sha").alias("root"), "up")
+        at = at.join(step, ["repo_slug", "root"], "left").select(
+            "repo_slug", "sha", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("depth")
+        )
+    return _stored(at)
 
 
 def _walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +132,7 @@ def _walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str)
     """
     known = commits.select("repo_slug", "sha")
     strides = _strides(commits, edges)
-    depth = first_parent_chains(commits, edges).select("repo_slug", "sha", "depth")
+    depth = first_parent_chains(commits, edges, strides).select("repo_slug", "sha", "depth")
     rank = F.struct(F.size("key").alias("level"), F.col("key")) if strategy == "narrow" else F.struct(F.lit(0).alias("level"), F.col("key"))
     joins = edges.filter("parent_ord > 0").join(known.withColumnRenamed("sha", "parent_sha"), ["repo_slug", "parent_sha"], "left_semi")
 
@@ -143,9 +141,11 @@ def _walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str)
     for _ in range(MOST_ROUNDS):
         least = F.min(F.struct(rank.alias("rank"), "key", "merge", "ord", "start")).alias("line")
         claim = _stored(lines.withColumn("sha", F.col("start")).groupBy("repo_slug", "sha").agg(least))
-        for stride in strides:
-            handed = claim.join(stride, ["repo_slug", "sha"]).select("repo_slug", F.col("up").alias("sha"), "line")
-            claim = _stored(claim.unionAll(handed).groupBy("repo_slug", "sha").agg(F.min("line").alias("line")))
+        for i, stride in enumerate(strides):
+            both = F.explode(F.array(F.col("sha"), F.col("up")))
+            handed = claim.join(stride, ["repo_slug", "sha"], "left").select("repo_slug", both.alias("sha"), "line").filter("sha is not null")
+            claim = handed.groupBy("repo_slug", "sha").agg(F.min("line").alias("line"))
+            claim = _stored(claim) if i % 4 == 3 or i == len(strides) - 1 else claim
         deep = depth.withColumnRenamed("sha", "start").withColumnRenamed("depth", "start_depth")
         placed = claim.select("repo_slug", "sha", "line.key", "line.merge", "line.ord", "line.start").join(depth, ["repo_slug", "sha"]).join(deep, ["repo_slug", "start"])
         sizes = placed.groupBy("repo_slug", "merge", "ord").agg(F.max(F.col("start_depth") - F.col("depth")).alias("last"))
