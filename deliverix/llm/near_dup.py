@@ -1,10 +1,10 @@
 """MinHash near-duplicates: a chosen-path set similarity join, confirmed on whole shingle sets.
 
 Documents with equal shingle sets form a class; only classes are joined. Each class is a set of minwise
-tokens. A tree picks one or two of the token positions at its root (4/3 on average, so that a pair at the
-threshold survives a level with an expected one path) and puts each class below the tokens it has there;
-nodes with many classes branch again by positions that the node's own hash picks, and small nodes compare
-their classes exhaustively by sketches. Sixteen independent trees repeat this. Pairs whose sketches agree
+tokens. A tree picks one of the token positions at its root and puts each class below the token it has there;
+nodes with many classes branch again by positions that the node's own hash picks (from the third level on 4/3
+of them, so that a pair at the threshold survives a level with an expected one path), unless branching didn't
+halve them, and small nodes compare their classes exhaustively by sketches. Twenty independent trees repeat this. Pairs whose sketches agree
 well enough are confirmed on the whole shingle sets of the texts.
 
 A node emits a forest first: each class with its most alike earlier one. Confirmed pairs give components;
@@ -29,20 +29,26 @@ from pyspark.sql import functions as F
 
 from deliverix.llm.common import mix, small_batches, stored, table, text_bytes
 from deliverix.llm.links import components
-from deliverix.llm.shingles import LANES, alike, digest, shingle_sets, signature
+from deliverix.llm.shingles import LANES, TOKENS, alike, digest, likeness, shingle_sets, signature, sketch
 
 PERCENT = 75
-TREES = 16
+TREES = 20
 #: Classes that a node may compare exhaustively, and the levels of a tree.
 LEAF, DEPTH = 200, 5
-#: Share of equal sketch lanes from which a pair is confirmed (0.75 has a standard error of 0.044).
-CANDIDATE = 0.55
+#: Nodes of all trees that a class can be in: in each tree, from the third level on, twice as many at most.
+MOST_NODES = TREES * 2 ** (DEPTH - 2)
+#: Estimated similarity from which a pair is confirmed (that of pairs at 0.75 has a standard error of 0.023).
+CANDIDATE = 0.65
 
 _BASE = "doc_id long, n_shingles long, th long, cls long, sig binary, sketch binary"
 
 
-def _tokens(column: pa.Array, kind: type, lanes: int = LANES) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, lanes)
+def _tokens(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, LANES // 4)
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -58,8 +64,8 @@ def describe(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     b.column(2),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
-                    pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in sigs], pa.binary()),
+                    pa.array([None if s is None else s[:TOKENS].tobytes() for s in sigs], pa.binary()),
+                    pa.array([None if s is None else sketch(s) for s in sigs], pa.binary()),
                 ],
                 names=["doc_id", "n_shingles", "th", "cls", "sig", "sketch"],
             )
@@ -67,98 +73,140 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, _BASE)
 
 
-def _picks(node: np.ndarray) -> np.ndarray:
-    """The positions that nodes pick: one, and for a third of the nodes a second (else -1)."""
+def _picks(node: np.ndarray, deep: bool) -> np.ndarray:
+    """The positions that nodes pick: one, and for a third of the deep nodes a second (else -1)."""
     h = mix(node)
-    first = (h % np.uint64(LANES)).astype(np.int64)
-    second = ((h >> np.uint64(20)) % np.uint64(LANES)).astype(np.int64)
-    return np.stack([first, np.where((h >> np.uint64(40)) % np.uint64(3) == 0, second, -1)], 1)
+    first = (h % np.uint64(TOKENS)).astype(np.int64)
+    second = ((h >> np.uint64(20)) % np.uint64(TOKENS)).astype(np.int64)
+    return np.stack([first, np.where(deep & ((h >> np.uint64(40)) % np.uint64(3) == 0), second, -1)], 1)
 
 
-def _children(node: np.ndarray, sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    at = _picks(node)
-    nodes, members = [], []
+def _children(node: np.ndarray, sig: np.ndarray, cls: np.ndarray, up: np.ndarray, deep: bool) -> pa.RecordBatch:
+    """The nodes that classes reach from their nodes; up is the size of the node above."""
+    at = _picks(node, deep)
+    nodes, members, sizes = [], [], []
     for j in (0, 1):
         row = np.flatnonzero((at[:, j] >= 0) & ((at[:, j] != at[:, 0]) | (j == 0)))
         where = at[row, j]
         token = sig[row, where].astype(np.uint64)
         nodes.append(mix(node[row] + mix(token + (where.astype(np.uint64) + np.uint64(1) << np.uint64(40)))))
         members.append(cls[row])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(members))], names=["node", "cls"])
+        sizes.append(up[row])
+    columns = [np.concatenate(nodes).view(np.int64), np.concatenate(members), np.concatenate(sizes)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "cls", "up"])
 
 
 def _sized(nodes: DataFrame, label: str) -> DataFrame:
-    """Members of the nodes that have two or more, with the node's size and leader."""
-    size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).filter("n > 1")
-    return stored(nodes.join(size, "node"), label)
+    """Members of the nodes that have two or more, with the node's size and leader, and whether it ends there: it is small, or has over half of the node above, which more branching would not part."""
+    last = (F.col("n") <= LEAF) | (F.col("n") > F.col("up") / 2)
+    size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("lead"), F.max("up").alias("up")).filter("n > 1").withColumn("last", last)
+    return stored(nodes.drop("up").join(size, "node"), label)
 
 
 def leaves(classes: DataFrame) -> DataFrame:
     """Members (node, cls, n, lead) of all last nodes of all trees."""
-    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32))
+    many = mix(np.arange(1, 1 << 10, dtype=np.uint64))
+    _, own = np.unique(_picks(many, False)[:, 0], return_index=True)
+    roots = many[own[:TREES]]  # trees whose roots pick different positions
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, cls = _tokens(b.column(1), np.uint32), b.column(0).to_numpy()
+            sig, cls = _tokens(b.column(1)), b.column(0).to_numpy()
             for r in roots:
-                yield _children(np.full(len(cls), r), sig, cls)
+                yield _children(np.full(len(cls), r), sig, cls, np.full(len(cls), total), False)
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, cls, lists = _tokens(b.column(1), np.uint32), b.column(0).to_numpy(), b.column(2)
+            sig, cls, lists = _tokens(b.column(1)), b.column(0).to_numpy(), b.column(2)
             row = np.repeat(np.arange(len(cls)), np.diff(lists.offsets.to_numpy()))
-            node = lists.flatten().to_numpy().view(np.uint64)
+            node, up = (x.to_numpy() for x in lists.flatten().flatten())
             for i in range(0, len(row), 20_000):
-                yield _children(node[i : i + 20_000], sig[row[i : i + 20_000]], cls[row[i : i + 20_000]])
+                some = slice(i, i + 20_000)
+                yield _children(node[some].view(np.uint64), sig[row[some]], cls[row[some]], up[some], deep)
 
-    members = _sized(classes.select("cls", "sig").mapInArrow(first, "node long, cls long"), "tree")
-    last = [members.filter(F.col("n") <= LEAF)]
+    schema = "node long, cls long, up long"
+    total = classes.count()
+    members = _sized(classes.select("cls", "sig").mapInArrow(first, schema), "tree")
+    ends = [members.filter("last")]
     for depth in range(2, DEPTH + 1):
-        large = members.filter(F.col("n") > LEAF)
+        large, deep = members.filter("not last"), depth > 2  # the closure of further has it
         if large.isEmpty():
             break
-        at = large.groupBy("cls").agg(F.collect_list("node").alias("nodes"))  # at most the paths of one class
-        nodes = classes.select("cls", "sig").join(at, "cls").select("cls", "sig", "nodes").mapInArrow(further, "node long, cls long")
+        at = large.groupBy("cls").agg(F.collect_list(F.struct("node", "n")).alias("nodes"))  # at most the paths of one class
+        nodes = classes.select("cls", "sig").join(at, "cls").select("cls", "sig", "nodes").mapInArrow(further, schema)
         members = _sized(nodes, "tree")
-        last.append(members if depth == DEPTH else members.filter(F.col("n") <= LEAF))
-    return reduce(DataFrame.unionAll, last)
-
-
-def _pairs_of(key: np.ndarray, cls: np.ndarray, sketch: np.ndarray, root: np.ndarray | None) -> np.ndarray:
-    """Candidate pairs of whole, sorted groups: a forest of each (root None), or all pairs across roots."""
-    start = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-    size = np.diff(np.append(start, len(key)))
-    two = start[size == 2]
-    ok = ((sketch[two] == sketch[two + 1]).mean(1) >= CANDIDATE) & (cls[two] != cls[two + 1])
-    if root is not None:
-        ok &= root[two] != root[two + 1]
-    out = [np.stack([cls[two[ok]], cls[two[ok] + 1]], 1)]
-    for s, k in zip(start[size > 2], size[size > 2]):
-        c, m = cls[s : s + k], sketch[s : s + k]
-        for i in range(0, k, 64):
-            e = (m[i : i + 64, None] == m[None, : i + 64]).mean(2)
-            e[np.arange(e.shape[1]) >= np.arange(i, min(i + 64, k))[:, None]] = 0  # earlier ones only
-            e[c[i : i + 64, None] == c[None, : i + 64]] = 0
-            if root is None:
-                best = e.argmax(1)
-                j = np.flatnonzero(e[np.arange(len(e)), best] >= CANDIDATE)
-                out.append(np.stack([c[best[j]], c[i + j]], 1))
-            else:
-                e[root[s : s + k][i : i + 64, None] == root[s : s + k][None, : i + 64]] = 0
-                j, at = np.nonzero(e >= CANDIDATE)
-                out.append(np.stack([c[at], c[i + j]], 1))
-    found = np.concatenate(out)
-    return np.unique(np.sort(found, 1), axis=0)
+        ends.append(members if depth == DEPTH else members.filter("last"))
+    return reduce(DataFrame.unionAll, ends)
+
+
+def _forest(cls: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Each class of a group with its most alike earlier one."""
+    out = []
+    for i in range(0, len(cls), 64):
+        e = likeness(m[i : i + 64, None], m[None, : i + 64])
+        e[np.arange(e.shape[1]) >= np.arange(i, i + len(e))[:, None]] = 0  # earlier ones only
+        best = e.argmax(1)
+        j = np.flatnonzero(e[np.arange(len(e)), best] >= CANDIDATE)
+        out.append(np.stack([cls[best[j]], cls[i + j]], 1))
+    return np.concatenate(out)
+
+
+def _across(cls: np.ndarray, m: np.ndarray, root: np.ndarray, flag: np.ndarray, node: int, nodes: np.ndarray) -> np.ndarray:
+    """All pairs of a group across roots that no other group gives: the node is the first that both are in, and of its chunks the pair belongs to this."""
+    out = []
+    for i in range(0, len(cls), 64):
+        e = likeness(m[i : i + 64, None], m[None, : i + 64]) >= CANDIDATE
+        e &= root[i : i + 64, None] != root[None, : i + 64]
+        e &= np.arange(e.shape[1]) < np.arange(i, i + len(e))[:, None]
+        e &= (np.maximum(flag[i : i + 64, None], flag[None, : i + 64]) == 2) | (flag[None, : i + 64] == 1)
+        j, at = np.nonzero(e)
+        for k in range(0, len(j), 5000):
+            x, y = nodes[at[k : k + 5000]], nodes[i + j[k : k + 5000]]
+            both = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any(2)
+            first = x[np.arange(len(x)), both.argmax(1)] == node
+            out.append(np.stack([cls[at[k : k + 5000][first]], cls[i + j[k : k + 5000][first]]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def candidates(groups: DataFrame, across: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of groups(key, cls, sketch[, root]); rows of a key meet in one task, a chunk of bounded size."""
+    """Distinct candidate pairs (a, b) of groups(key, cls, sketch): a forest of each, or all pairs across roots.
+
+    Rows of a key meet in one task, a chunk of bounded size. Across roots, groups also has root, flag (2: only
+    here, 1: in all chunks of the node and at home here, 0: in all chunks), node, and nodes, the sorted nodes of the class.
+    """
+
+    def of(x: list[np.ndarray]) -> pa.RecordBatch:
+        key, cls, m = x[:3]
+        start = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        end = np.append(start[1:], len(key))
+        out = []
+        if not across:
+            two = start[end - start == 2]
+            two = two[(likeness(m[two], m[two + 1]) >= CANDIDATE) & (cls[two] != cls[two + 1])]
+            out.append(np.stack([cls[two], cls[two + 1]], 1))
+        for s, t in zip(start, end):
+            if across and t - s > 1:
+                out.append(_across(cls[s:t], m[s:t], x[3][s:t], x[4][s:t], x[5][s], x[6][s:t]))
+            elif t - s > 2:
+                out.append(_forest(cls[s:t], m[s:t]))
+        p = np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.zeros((0, 2), np.int64)
+        p = p[p[:, 0] != p[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
+        now = [b.column(0).to_numpy(), b.column(1).to_numpy(), _sketches(b.column(2))]
+        if across:
+            lists = b.column(6).to_pylist()
+            nodes = np.full((len(lists), MOST_NODES), -1, np.int64)
+            for i, x in enumerate(lists):
+                nodes[i, : len(x)] = x
+            now += [b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy(), nodes]
+        return now
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for b in batches:
-            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), _tokens(b.column(2), np.uint8)] + ([b.column(3).to_numpy()] if across else [])
-            rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            rest = arrays(b) if rest is None else [np.concatenate(x) for x in zip(rest, arrays(b))]
             if len(rest[0]) and rest[0][0] != rest[0][-1]:
                 cut = int(np.searchsorted(rest[0], rest[0][-1]))
                 yield of([x[:cut] for x in rest])
@@ -166,11 +214,7 @@ def candidates(groups: DataFrame, across: bool) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield of(rest)
 
-    def of(x: list[np.ndarray]) -> pa.RecordBatch:
-        p = _pairs_of(x[0], x[1], x[2], x[3] if across else None)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-    columns = ["key", "cls", "sketch"] + (["root"] if across else [])
+    columns = ["key", "cls", "sketch"] + (["root", "flag", "node", "nodes"] if across else [])
     rows = groups.select(*columns).repartition("key").sortWithinPartitions("key", "cls")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -220,7 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mains = parts.groupBy("node").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = placed.join(mains.select("node", F.col("main.root").alias("main")), "node")
     every = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).when(F.col("root") != F.col("main"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(own))
-    second = mixed.select("node", "cls", "n", "root", F.explode(every).alias("chunk")).select(key.alias("key"), "cls", "root")
+    away = F.col("root") != F.col("main")
+    at = F.abs(F.hash("node").cast("long"))
+    lists = mixed.groupBy("cls").agg(F.array_sort(F.collect_set(at)).alias("nodes"))  # the nodes of one class, MOST_NODES at most
+    flag = F.when(~away | (chunks == 1), 2).when(F.col("chunk") == own, 1).otherwise(0).cast("int")
+    second = mixed.select("node", "cls", "n", "root", "main", F.explode(every).alias("chunk")).select(key.alias("key"), "cls", "root", flag.alias("flag"), at.alias("node")).join(lists, "cls")
     left = stored(candidates(second.join(sketches, "cls"), True).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = confirm(left, texts)
     joined = components(more.unionAll(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).filter("a != b")))

@@ -9,8 +9,8 @@ import numpy as np
 from deliverix.llm.common import mix, span_hashes
 
 WORDS = 5
-#: Minwise tokens of a signature.
-LANES = 96
+#: Minwise tokens of a set; the first TOKENS of them lead the trees, and two bits of each make its sketch.
+LANES, TOKENS = 512, 96
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -18,7 +18,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BLOCK = 2_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _seeds = mix(np.arange(1, 2 * LANES + 1, dtype=np.uint64) * _K)
-_XOR, _ODD = _seeds[:LANES], _seeds[LANES:] | np.uint64(1)
+_XOR, _ODD = (_seeds[:LANES] >> np.uint64(32)).astype(np.uint32), (_seeds[LANES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: How many of a byte's four two-bit fields are zero.
+_ZEROS = np.array([sum((b >> k & 3) == 0 for k in (0, 2, 4, 6)) for b in range(256)], np.uint8)
 
 
 def blocks(texts: list[bytes], most: int = _BLOCK) -> Iterator[list[bytes]]:
@@ -70,10 +72,23 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """The LANES minwise tokens (32 bits) of a set that isn't empty."""
-    low = np.full(LANES, 2**64 - 1, np.uint64)
-    for i in range(0, len(s), 1024):
-        low = np.minimum(low, ((s[i : i + 1024, None] ^ _XOR) * _ODD).min(0))
-    return low.astype(np.uint32)
+    low = np.full(LANES, 2**32 - 1, np.uint32)
+    h = (s >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(h), 512):
+        low = np.minimum(low, ((h[i : i + 512, None] ^ _XOR) * _ODD).min(0))
+    return low
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Two bits of each token."""
+    two = (tokens * np.uint32(0x9E3779B1) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
+    return (two << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches (last axis), of which a quarter of the unequal tokens agree by chance."""
+    share = _ZEROS[a ^ b].sum(-1, dtype=np.int64) / LANES
+    return (share - 0.25) / 0.75
 
 
 def digest(s: np.ndarray) -> int:
