@@ -114,8 +114,8 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_prefix long"
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+_OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, shared_prefix long"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
@@ -123,8 +123,8 @@ def _row(doc_id: int | None, text: str, h: PrefixHash, print_: str, following: s
     edited = edit(text, following)
     e = h if edited == text else PrefixHash(edited)
     f = print_ if e is h else fingerprint(e)
-    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), digest, print_, f, likeness(print_, f), likeness(print_, next_print), h.extension(0, e, 0)
+    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest()
+    return doc_id, len(text), digest, bytes.fromhex(print_), bytes.fromhex(f), likeness(print_, f), likeness(print_, next_print), h.extension(0, e, 0)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 rows.append(_row(doc_id, text, h, fingerprint(h), following, fingerprint(PrefixHash(following))))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, _KINDS)], names=_NAMES)
 
-    return found.filter("role is null").select(*_NAMES).unionAll(ends.select("doc_id", "edge_text", "following").mapInArrow(close, _OUT))
+    rows = found.filter("role is null").select(*_NAMES).unionAll(ends.select("doc_id", "edge_text", "following").mapInArrow(close, _OUT))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
