@@ -523,6 +523,62 @@ _orders("k10_write_canonical_csv", lambda c: _csv_back(sinks.write_canonical_csv
     "SELECT repo_slug, period_month, sample_count, sum_minutes, avg_minutes, p75_minutes, std_minutes FROM cycle", f", {DELTAS_SQL}, {_MONTHLY}")
 
 
+def _aggregate_back(c: DataFrame) -> DataFrame:
+    path = graph.new_path(c.sparkSession)
+    sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="b1"), path)
+    sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="default"), path)
+    found = sinks.read_multi_repo_aggregate(c.sparkSession.read.parquet(path), "default", "all")
+    return _near(found, "value_real").select("batch_id", "cohort_id", "metric_name", "period_key", "value_real")
+
+
+_events("k2_write_multi_repo_aggregate", _aggregate_back)
+_sql["k2_write_multi_repo_aggregate"] = _sql["r8_cohort_rows"]
+_orders("k6_write_throughput_csv", lambda c: _csv_back(sinks.write_throughput_csv, "Month string, `Commits Per Unique Developer` double")(metrics.throughput_rate_monthly(_one(c))).withColumn("Commits Per Unique Developer", F.round("Commits Per Unique Developer", 1)),
+    """SELECT period_month AS "Month", round(round(count(*) / count(DISTINCT author_ref), 2), 1) AS "Commits Per Unique Developer" FROM local WHERE repo_slug = 'repo0' GROUP BY ALL""")
+
+
+def _saved_series(c: DataFrame) -> DataFrame:
+    folder = graph.new_path(c.sparkSession)
+    sinks.save_metrics_csv(deltas.cycle_stats_by_month(_one(c)), metrics.change_failure_monthly(_one(c)), folder, "x_")
+    cycle, failure = readers.read_metrics_csv(c.sparkSession, folder, "x_")
+    return failure.join(cycle.drop("Average"), "Month", "left")
+
+
+_orders("k7_save_metrics_csv", _saved_series,
+    f"""SELECT f.period_month AS "Month", failure_rate AS "Rate", sum_minutes AS "Sum", p75_minutes::DOUBLE AS p75, std_minutes::DOUBLE AS std
+    FROM ({_EITHER}) f LEFT JOIN cycle USING (repo_slug, period_month) WHERE repo_slug = 'repo0'""", f", {DELTAS_SQL}, {_MONTHLY}")
+
+
+def _saved_runs(c: DataFrame) -> DataFrame:
+    folder = graph.new_path(c.sparkSession)
+    sinks.save_author_runs(metrics.commit_runs(c), metrics.author_commit_percentiles(c), folder)
+    return c.sparkSession.read.csv(f"{folder}/authors", header=True, schema="Date string, Commits long, author_ref string")
+
+
+_events("k8_save_author_runs", _saved_runs, """SELECT week AS "Date", commits AS "Commits", author_ref FROM runs""", "," + _RUNS)
+
+
+def _categories_file(spark: SparkSession, d: str) -> DataFrame:
+    folder = graph.new_path(spark)
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM").alias("Month"), "o_orderstatus")
+    wide = o.groupBy("Month").agg(*(F.count_if(F.col("o_orderstatus") == k).alias(k) for k in "FOP"), F.count("*").alias("Total"))
+    wide.write.csv(folder, header=True)
+    return series.work_category_stack(readers.read_work_categories(spark, folder).withColumn("Month", F.date_format("Month", "yyyy-MM")))
+
+
+_add("s9_read_work_categories", _categories_file, _sql["v9_work_category_stack"])
+
+
+def _saved_aggregates(c: DataFrame) -> DataFrame:
+    folder = graph.new_path(c.sparkSession)
+    sinks.save_aggregates({"throughput": rollup.aggregate_throughput(metrics.throughput_monthly(c))}, rollup.summary_report(c), folder)
+    return c.sparkSession.read.csv(f"{folder}/throughput", header=True, schema="period_month string, commit_count long")
+
+
+_orders("k9_save_aggregates", _saved_aggregates, "SELECT period_month, count(*) AS commit_count FROM local GROUP BY ALL")
+_edged("k12_branch_cycle_csv", lambda c, e: sinks.branch_cycle_csv(graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c)))))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
