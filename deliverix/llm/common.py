@@ -66,6 +66,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def bounded_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """All rows, or about `most` of them, chosen by a hash of the columns and never over twice as many.
+
+    A filter, not a sort: with orderBy and limit every task would send its first `most` rows to the driver.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(2 * most)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -29,16 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import small_batches, stored, table
+from deliverix.llm.common import bounded_sample, small_batches, stored, table
 
 K, EVERY = 20, 20
-#: Vectors that the rotation is learned from, and of these the queries that set the radius.
+#: Vectors that the rotation is learned from (about), and of these the queries that set the radius.
 SAMPLE, PROBES = 8000, 400
 #: Bits of a substring (its tables have 2 ** WIDTH values at most), and the share of neighbours that the radius holds in the sample.
 WIDTH, TARGET = 16, 0.985
 #: Vectors of a block of the index, and queries of a block.
 BLOCK, QUERIES = 8192, 1024
-_ONES = np.array([bin(i).count("1") for i in range(1 << WIDTH)], np.uint8)
 
 
 @dataclass
@@ -66,7 +65,7 @@ class Rotation:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of rows of codes a to the code b."""
-    return _ONES[a ^ b].sum(1, dtype=np.int64)
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -114,7 +113,7 @@ class Tables:
         """Rows whose codes are within the radius, by probing every table."""
         found = np.zeros(len(self.codes), bool)
         for j, (order, values, first) in enumerate(self.tables):
-            hit = np.flatnonzero(_ONES[values ^ code[j]] <= radius // self.codes.shape[1])
+            hit = np.flatnonzero(np.bitwise_count(values ^ code[j]) <= radius // self.codes.shape[1])
             size = first[hit + 1] - first[hit]
             stop = np.cumsum(size)
             rows = order[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first[hit] - stop + size, size)]
@@ -128,17 +127,21 @@ def search(model: Rotation, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarra
     tables, codes = Tables(model.codes(x)), model.codes(q)
     out = []
     for i, own in enumerate(query_ids):
+        if i % 128 == 0:
+            near = q[i : i + 128] @ x.T  # right but for rounding
         rows = tables.within(codes[i], model.radius)
         rows = rows[ids[rows] != own]
         if len(rows) < k:
             rows = np.flatnonzero(ids != own)
+        if len(rows) > k:
+            s = near[i % 128, rows]
+            least = np.partition(s, -k)[-k]
+            rows = rows[s >= least - 1e-9 * (1 + abs(least))]  # the k best and all that rounding or a tie may put among them
         s = inner(x[rows], q[i])
-        if len(rows) > 4 * k:
-            few = np.flatnonzero(s >= np.partition(s, -k)[-k])  # all ties of the k-th stay
-            rows, s = rows[few], s[few]
         best = np.lexsort((ids[rows], -s))[:k]
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[rows[best]], "score": s[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out.append((np.full(len(best), own), ids[rows[best]], s[best]))
+    columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0)] * 3
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -154,7 +157,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark, rows=10_000)
     sound = stored(valid_vectors(vectors), "vectors")
-    sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas().v
+    sample = bounded_sample(sound, SAMPLE, "vec_id").select("v").toPandas().v
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(sample):
         return empty

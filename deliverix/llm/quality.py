@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import held_out, keep_rows, small_batches, stored, table, text_bytes
+from deliverix.llm.common import bounded_sample, held_out, keep_rows, small_batches, stored, table, text_bytes
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
-#: Rows whose log-density differences set the slope and offset of the final logistic map.
+#: About so many rows' log-density differences set the slope and offset of the final logistic map.
 CALIBRATION_ROWS = 20_000
 
 _CLASSES = [
@@ -150,7 +150,7 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05, ridg
         factors.append(np.linalg.inv(low))
         dets.append(2 * np.log(np.diag(low)).sum())
     model = Discriminant(means, np.array(factors), np.array(dets), float(n[1] / n.sum()))
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("label", "f").toPandas()
+    some = bounded_sample(rows, CALIBRATION_ROWS, "doc_id").select("label", "f").toPandas()
     z = model.difference(np.stack(some.f))
     z, y = np.sign(z) * np.log1p(np.abs(z)), some.label.to_numpy(float)
     a, b = 1.0, 0.0

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import held_out, keep_rows, mix, small_batches, stored, table, text_bytes
+from deliverix.llm.common import bounded_sample, held_out, keep_rows, mix, small_batches, stored, table, text_bytes
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.5
-#: Bounds of the training sample and of the features.
+#: Sizes of the training samples (about; twice as many at most) and bound of the features.
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -134,21 +134,22 @@ def non_negative_fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
-    """Learns from at most POSITIVES confirmed toxic and UNLABELLED other documents outside the held-out fold."""
+    """Learns from about POSITIVES confirmed toxic and UNLABELLED other documents outside the held-out fold."""
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = known.agg(F.avg("toxic")).first()[0]
     if not share:
         return None
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    positive = known.filter("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(POSITIVES).withColumn("positive", F.lit(1))
-    other = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(*order).limit(UNLABELLED).withColumn("positive", F.lit(0))
+    confirmed = known.filter("toxic = 1").select("doc_id").distinct()
+    others = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    positive = bounded_sample(confirmed, POSITIVES, "doc_id").withColumn("positive", F.lit(1))
+    other = bounded_sample(others, UNLABELLED, "doc_id").withColumn("positive", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s.view(np.int64) for _, s in _sets(text_bytes(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["positive", "f"])
 
-    chosen = stored(positive.unionAll(other), "toxicity-sample")  # at most POSITIVES + UNLABELLED rows
+    chosen = stored(positive.unionAll(other), "toxicity-sample")  # at most twice POSITIVES + UNLABELLED rows
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive int, f array<long>"), "toxicity-features")
     n = {r.positive: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
