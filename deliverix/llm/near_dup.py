@@ -13,8 +13,10 @@ of near copies) are dealt out in chunks that share a leader; in the second pass
 node's main component go to every chunk of it, so that no pair is left out.
 
 Defined results: null or blank texts have an empty set, no links, and are kept; a null doc_id is the
-smallest of ids, keeps its row, and a component it leads has a null component_id; repeated rows are
-copies of each other; an empty table gives no rows. Other columns are not read.
+smallest of ids and names no document: rows that have it are told apart by their texts, and a component that
+one leads has a null component_id; of rows with one doc_id and several texts each is linked and kept by its own
+text, the least text hash leading; repeated rows are copies of each other; an empty table gives no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -235,8 +237,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The described rows of docs(doc_id, text), and of each class (cls) its component_id and lead: the id and text hash of the row that leads its component."""
     small_batches(docs.sparkSession)
     base = stored(describe(docs), "shingles")
     least = base.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "th", "sig", "sketch")).alias("x"))
@@ -273,19 +275,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = confirm(left, texts)
     joined = components(more.unionAll(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).filter("a != b")))
 
-    reps = classes.select("cls", "rep").join(joined.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = reps.groupBy("root").agg(F.min(F.struct("rep")).alias("least")).select("root", F.col("least.rep").alias("component_id"))
-    found = stored(reps.join(ids, "root").select("cls", "component_id"), "components")
-    out = base.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    reps = classes.select("cls", "rep", "th").join(joined.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ids = reps.groupBy("root").agg(F.min(F.struct("rep", "th")).alias("least")).select("root", F.col("least.rep").alias("component_id"), F.col("least.th").alias("lead"))
+    return base, stored(reps.join(ids, "root").select("cls", "component_id", "lead"), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+    base, found = grouped(docs)
+    out = base.select("doc_id", "n_shingles", "th", "cls").join(found, "cls", "left")
+    empty = F.col("cls").isNull()
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = empty | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("lead")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that lead their component; of repeated rows with one doc_id, one."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    unique = docs.dropDuplicates(["doc_id"])
-    return unique.join(kept, unique["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The rows of docs that lead their component, one of those with equal id and text, and every blank one; of blank rows equal in all columns, one if they have a doc_id."""
+    leads = grouped(docs)[1].select(F.col("component_id").alias("id"), "lead").distinct()
+    th = max(docs.columns, key=len) + "_"  # not a column of docs
+    unique = docs.withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th])
+    same = (unique[th] == leads["lead"]) & unique["doc_id"].eqNullSafe(leads["id"])
+    blank = docs.filter(F.coalesce(F.ltrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == "")
+    repeated = blank.filter("doc_id is not null").withColumn(th, F.to_json(F.struct("*")))  # columns may be maps
+    alone = blank.filter("doc_id is null").unionAll(repeated.dropDuplicates([th]).drop(th))
+    return unique.join(leads, same, "left_semi").drop(th).unionAll(alone)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,24 @@ def test_near_duplicates_of_odd_tables(spark):
     assert kept.columns == docs.columns and kept.groupBy("doc_id").count().filter("count > 1").count() == 0
 
 
+def test_keep_one_of_rows_that_share_ids(spark):
+    r = random.Random(11)
+    say = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(30))
+    group, alone, none, both = (say() for _ in range(4))
+    rows = [(3, group, "a"), (5, group, "b"), (5, alone, "c"), (5, alone, "c"), (None, none, "d"), (None, say(), "e"), (None, say(), "f")]
+    rows += [(None, group + " x", "g"), (None, none, "h"), (7, both, "i"), (7, both + " x", "j"), (9, both, "k")]
+    rows += [(None, "", "l"), (None, "", "l"), (None, None, "m"), (11, " ", "n"), (11, "\n", "o"), (11, "\n", "p"), (11, "\n", "p")]
+    docs = spark.createDataFrame([(*x, {"a": 1}) for x in rows], "doc_id long, text string, th string, m map<string, int>").repartition(3)
+    for some in (docs, docs.orderBy("th"), docs.orderBy(docs["th"].desc())):
+        kept = near_dup.keep_one(some).collect()
+        tags = sorted({"h": "d", "i": "j"}.get(x.th, x.th) for x in kept)  # d or h: equal texts; i or j: the least hash
+        assert "".join(tags) == "cdefgjllmnop"
+    got = near_dup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    marks = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in got if x.n_shingles)
+    assert marks == sorted([(0, 0, True)] * 5 + [(3, 0, False), (5, 0, False)] + [(5, 5, True)] * 2 + [(7, 7, True), (7, 7, False), (9, 7, False)])
+
+
 def test_shingle_hashes_tell_long_words_apart():
     a, b = ("w" * 5000 + c for c in "xy")
     x, y = shingles.shingle_sets([a.encode(), b.encode()])
