@@ -9,8 +9,9 @@ well enough are confirmed on the whole shingle sets of the texts.
 
 A node emits a forest first: each class with its most alike earlier one. Confirmed pairs give components;
 a second pass emits every remaining pair of a node across two components. Nodes that stay large (groups
-of near copies) are dealt out in chunks that share a leader; in the second pass the classes outside the
-node's main component go to every chunk of it, so that no pair is left out.
+of near copies) are dealt out in chunks that share a leader. In the second pass their classes outside the
+node's main component, and those of it, are dealt into blocks; each pair of blocks that isn't within the
+main component is a task, so that no pair is left out and no task has more than two blocks.
 
 Defined results: null or blank texts have an empty set, no links, and are kept; a null doc_id is the
 smallest of ids and names no document: rows that have it are told apart by their texts, and a component that
@@ -153,28 +154,33 @@ def _forest(cls: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _across(cls: np.ndarray, m: np.ndarray, root: np.ndarray, flag: np.ndarray, node: int, nodes: np.ndarray) -> np.ndarray:
-    """All pairs of a group across roots that no other group gives: the node is the first that both are in, and of its chunks the pair belongs to this."""
+def _across(cls: np.ndarray, m: np.ndarray, root: np.ndarray, side: np.ndarray, node: int, nodes: np.ndarray) -> np.ndarray:
+    """All pairs of a group across roots that no other group gives: within it if side is 0, else between sides 1 and 2; the node is the first that both are in."""
     out = []
-    for i in range(0, len(cls), 64):
-        e = likeness(m[i : i + 64, None], m[None, : i + 64]) >= CANDIDATE
-        e &= root[i : i + 64, None] != root[None, : i + 64]
-        e &= np.arange(e.shape[1]) < np.arange(i, i + len(e))[:, None]
-        e &= (np.maximum(flag[i : i + 64, None], flag[None, : i + 64]) == 2) | (flag[None, : i + 64] == 1)
+    within = side[0] == 0
+    ones, twos = (np.arange(len(cls)),) * 2 if within else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    for i in range(0, len(ones), 64):
+        one = ones[i : i + 64]
+        two = twos[: i + 64] if within else twos
+        e = likeness(m[one, None], m[None, two]) >= CANDIDATE
+        e &= root[one, None] != root[None, two]
+        if within:
+            e &= two < one[:, None]
         j, at = np.nonzero(e)
         for k in range(0, len(j), 5000):
-            x, y = nodes[at[k : k + 5000]], nodes[i + j[k : k + 5000]]
-            both = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any(2)
+            a, b = two[at[k : k + 5000]], one[j[k : k + 5000]]
+            x, y = nodes[a], nodes[b]
+            both = (x[:, :, None] == y[:, None, :]).any(2)
             first = x[np.arange(len(x)), both.argmax(1)] == node
-            out.append(np.stack([cls[at[k : k + 5000][first]], cls[i + j[k : k + 5000][first]]], 1))
+            out.append(np.stack([cls[a[first]], cls[b[first]]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def candidates(groups: DataFrame, across: bool) -> DataFrame:
     """Distinct candidate pairs (a, b) of groups(key, cls, sketch): a forest of each, or all pairs across roots.
 
-    Rows of a key meet in one task, a chunk of bounded size. Across roots, groups also has root, flag (2: only
-    here, 1: in all chunks of the node and at home here, 0: in all chunks), node, and nodes, the sorted nodes of the class.
+    Rows of a key meet in one task, a chunk or two blocks of bounded size. Across roots, groups also has root, side (0: pairs
+    within the group, 1 and 2: pairs between its two blocks), node, and nodes, the sorted nodes of the class.
     """
 
     def of(x: list[np.ndarray]) -> pa.RecordBatch:
@@ -198,10 +204,9 @@ def candidates(groups: DataFrame, across: bool) -> DataFrame:
     def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
         now = [b.column(0).to_numpy(), b.column(1).to_numpy(), _sketches(b.column(2))]
         if across:
-            lists = b.column(6).to_pylist()
-            nodes = np.full((len(lists), MOST_NODES), -1, np.int64)
-            for i, x in enumerate(lists):
-                nodes[i, : len(x)] = x
+            start = b.column(6).offsets.to_numpy()
+            some = np.minimum(np.arange(MOST_NODES), np.diff(start)[:, None] - 1)  # the last one is repeated
+            nodes = b.column(6).flatten().to_numpy()[start[:-1, None] - start[0] + some]
             now += [b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy(), nodes]
         return now
 
@@ -216,7 +221,7 @@ def candidates(groups: DataFrame, across: bool) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield of(rest)
 
-    columns = ["key", "cls", "sketch"] + (["root", "flag", "node", "nodes"] if across else [])
+    columns = ["key", "cls", "sketch"] + (["root", "side", "node", "nodes"] if across else [])
     rows = groups.select(*columns).repartition("key").sortWithinPartitions("key", "cls")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -260,17 +265,21 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = stored(confirm(tried, texts), "edges")
     roots = stored(components(edges), "roots")
 
-    # second pass: what a node holds outside its main component meets all the node's chunks
+    # second pass: pairs of blocks, of classes outside a node's main component (numbered first) with each other and with those in it
     placed = last.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parts = placed.groupBy("node", "root").agg(F.count("*").alias("k"))
-    mains = parts.groupBy("node").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = placed.join(mains.select("node", F.col("main.root").alias("main")), "node")
-    every = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).when(F.col("root") != F.col("main"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(own))
-    away = F.col("root") != F.col("main")
-    at = F.abs(F.hash("node").cast("long"))
-    lists = mixed.groupBy("cls").agg(F.array_sort(F.collect_set(at)).alias("nodes"))  # the nodes of one class, MOST_NODES at most
-    flag = F.when(~away | (chunks == 1), 2).when(F.col("chunk") == own, 1).otherwise(0).cast("int")
-    second = mixed.select("node", "cls", "n", "root", "main", F.explode(every).alias("chunk")).select(key.alias("key"), "cls", "root", flag.alias("flag"), at.alias("node")).join(lists, "cls")
+    mains = parts.groupBy("node").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = placed.join(mains.select("node", F.col("main.root").alias("main"), F.col("main.k").alias("k"), "all"), "node")
+    lists = mixed.groupBy("cls").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # the nodes of one class, MOST_NODES at most
+    away, one = F.col("root") != F.col("main"), chunks == 1
+    outer, inner = F.ceil((F.col("all") - F.col("k")) / (2 * LEAF)), F.ceil(F.col("k") / (2 * LEAF))
+    h = F.xxhash64("cls")
+    block = F.when(one, F.lit(0).cast("long")).when(away, F.pmod(h, outer)).otherwise(outer + F.pmod(h, inner))
+    others = F.when(one, 1).when(away, outer + inner).otherwise(outer)
+    dealt = mixed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (others - 1).cast("long"))))
+    pair = F.when(one, F.col("node")).otherwise(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("int")
+    second = dealt.select(pair.alias("key"), "cls", "root", side.alias("side"), "node").join(lists, "cls")
     left = stored(candidates(second.join(sketches, "cls"), True).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = confirm(left, texts)
     joined = components(more.unionAll(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).filter("a != b")))

@@ -200,6 +200,28 @@ def test_keep_one_of_rows_that_share_ids(spark):
     assert marks == sorted([(0, 0, True)] * 5 + [(3, 0, False), (5, 0, False)] + [(5, 5, True)] * 2 + [(7, 7, True), (7, 7, False), (9, 7, False)])
 
 
+def test_near_duplicates_among_many_unlinked(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LEAF", 12)
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=4))
+    shared = [word() for _ in range(60)]
+    rows = [(i, " ".join(shared + [word() for _ in range(20)])) for i in range(240)]  # at similarity 0.58
+    rows += [(1000 + i, rows[i][1] + " x y") for i in range(0, 240, 12)]
+    seen, candidates = [], near_dup.candidates
+
+    def counted(groups, across):
+        if across:
+            seen.append((groups.groupBy("key").count().agg({"count": "max"}).first()[0], groups.filter("abs(node) >= 2147483648").count()))
+        return candidates(groups, across)
+
+    monkeypatch.setattr(near_dup, "candidates", counted)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows)
+    largest, wide = seen[0]
+    assert largest <= 7 * near_dup.LEAF  # two blocks of about 2 * LEAF, not all classes of a node
+    assert wide
+
+
 def test_shingle_hashes_tell_long_words_apart():
     a, b = ("w" * 5000 + c for c in "xy")
     x, y = shingles.shingle_sets([a.encode(), b.encode()])
