@@ -7,10 +7,12 @@ has) and a CRC-32 of its ids; the documents' ids and lengths stand in the file t
 coded and decoded together as numpy arrays.
 
 Writing gives a table of files with the ids before each; it is stored, and only files named there count, so a
-task that is run again leaves at most files that nobody reads. Reading deals the files out to tasks.
+task that is run again leaves at most files that nobody reads. Reading deals the files, of which each has FILE_IDS
+ids and those of one more document at most, out to as many tasks as the ids need.
 
 Defined results: a null or empty text is its end id alone; repeated rows are written each, in any order among
-equals; null doc_ids come first; an empty table gives no files and no rows. Other columns are not read.
+equals, and may lie in several files; null doc_ids come first; an empty table gives no files and no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ MAGIC = b"IDANS001"
 #: Ids of a file (a document is never split), ids of a block, states of a block, bits of the frequency sum.
 FILE_IDS, BLOCK_IDS, LANES, BITS = 2_000_000, 16_384, 64, 18
 END = 0
+#: Ids that a task reads (about), and the least number of tasks, if there are as many files.
+TASK_IDS, TASKS = 16_000_000, 16
 
 _LOW = np.uint64(1 << 31)
 _B, _32 = np.uint64(BITS), np.uint64(32)
@@ -197,18 +201,21 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
         if tokens:
             yield flush()
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    row = F.monotonically_increasing_id().alias("row")  # so that the rows of one doc_id may be several ranges
+    rows = docs.select("doc_id", "text", row).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     files = stored(rows.mapInArrow(run, "part long, n long, path string, ids long"), "id-files")
-    before = W.orderBy("part", "n").rowsBetween(W.unboundedPreceding, -1)  # a row for each file, not for each document
-    return files.select(F.lit(folder).alias("folder"), "path", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    sums = files.groupBy("part").agg(F.sum("ids").alias("k"))
+    parts = sums.select("part", F.coalesce(F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row for each task
+    before = F.coalesce(F.sum("ids").over(W.partitionBy("part").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("before", before).join(parts, "part").select(F.lit(folder).alias("folder"), "path", "ids", (F.col("offset") + F.col("before")).alias("start"))
 
 
 def read_ids(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files (a stored table, as of write_ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for folder, path, start in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+            for folder, path, start in zip(*(b.column(i).to_pylist() for i in range(3))):
                 with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as f:
                     a = Archive(f)
                     ids = a.read(0, a.head["ids"]).astype("<u4")
@@ -219,10 +226,13 @@ def read_ids(files: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = files.agg(F.coalesce(F.sum("ids"), F.lit(0))).first()[0]
+    tasks = max(-(-ids // TASK_IDS), TASKS)
+    # an explicit number: the rows are small, so the tasks of a plain repartition would be joined by their size
+    return files.select("folder", "path", "start").repartition(int(tasks)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Takes the ids of byte_bpe_50k.json from its ranks, which the tests hold against the tokenizers library; see the README for the cost of either."""
-    files = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """With the ids of the tokenizers library and its byte_bpe_50k.json, in which "<|endoftext|>" in a text is one id."""
+    files = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_ids(stored(files, "id-index"))

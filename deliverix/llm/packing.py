@@ -181,8 +181,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int = END) -> DataFram
 
 
 def pack_by_default(docs: DataFrame) -> DataFrame:
-    """Takes the ids of byte_bpe_50k.json from its ranks, which the tests hold against the tokenizers library; see the README for the cost of either."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """With the ids of the tokenizers library and its byte_bpe_50k.json, in which "<|endoftext|>" in a text is one id."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

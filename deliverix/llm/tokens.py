@@ -2,13 +2,14 @@
 
 The pattern of the byte-level vocabularies never lets a match run across a single space between two
 characters that are not white space: a match starts at that space. So a text is cut there, and the ids of
-a chunk are computed once and found again by the chunk's 64-bit hash. The memory is bounded; when it is
-full it is emptied, which changes no result.
+a chunk are computed once and found again by the chunk's 64-bit hash, if its bytes are the same too. The
+memory is bounded; when it is full it is emptied, which changes no result.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,17 +25,22 @@ CHUNKS, IDS = 1_000_000, 8_000_000
 #: Longer chunks (bytes) are encoded each time.
 _LONGEST = 64
 _BLOCK = 2_000_000
+#: Bytes of new chunks that the library encodes in a row.
+_ROW = 8192
+
+
+def _no_white(a: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether the characters that end before these places are surely no white space; beyond ASCII that starts with the bytes C2, E1, E2 or E3."""
+    last, second, third = a[before - 1], a[np.maximum(before - 2, 0)], a[np.maximum(before - 3, 0)]
+    return ((last > 0x20) & (last < 0x80)) | (last >= 0x80) & (((second >= 0xC3) & (second < 0xE0)) | (second >= 0x80) & (second < 0xC0) & (third >= 0xE4))
 
 
 def _cuts(a: np.ndarray) -> np.ndarray:
     """Places of single spaces between characters that are surely no white space (bytes padded by eight)."""
     at = np.flatnonzero(a[:-8] == 0x20)
     at = at[at > 0]
-    after, last, second, third = a[at + 1], a[at - 1], a[np.maximum(at - 2, 0)], a[np.maximum(at - 3, 0)]
-    # white space beyond ASCII starts with the bytes C2, E1, E2 or E3
-    ok_after = (after > 0x20) & ~np.isin(after, [0xC2, 0xE1, 0xE2, 0xE3])
-    ok_before = ((last > 0x20) & (last < 0x80)) | (last >= 0x80) & (((second >= 0xC3) & (second < 0xE0)) | (second >= 0x80) & (second < 0xC0) & (third >= 0xE4))
-    return at[ok_after & ok_before]
+    after = a[at + 1]
+    return at[(after > 0x20) & ~np.isin(after, [0xC2, 0xE1, 0xE2, 0xE3]) & _no_white(a, at)]
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -49,6 +55,16 @@ def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
 
 
+def _words(eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k = 0, 1, ...: the k-th eight bytes (zeros after the end) of the chunks that reach there, and which these are."""
+    some, k = np.arange(len(start)), 0
+    while len(some):
+        left = np.minimum(end[some] - start[some] - 8 * k, 8).astype(np.uint64)
+        yield k, eight[start[some] + 8 * k] & (np.uint64(2**64 - 1) >> (np.uint64(64) - left * np.uint64(8))), some
+        k += 1
+        some = some[end[some] - start[some] > 8 * k]
+
+
 class Encoder:
     """Encodes texts (UTF-8) by chunks; encode gets distinct new chunks and returns all their ids in a row, and how many each has."""
 
@@ -61,13 +77,14 @@ class Encoder:
         self.slots = np.zeros(0, np.int64)  # where each key's ids are
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
+        self.bytes = np.zeros((1 << 14, _LONGEST // 8 + 1), np.uint64)  # of the chunks that the memory holds, with zeros after them, and their lengths
         self.n = self.used = 0
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
         flat, sizes = self.encode(new)
         n, k = self.n, len(new)
         while n + k > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.bytes))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -76,6 +93,19 @@ class Encoder:
         self.n, self.used = n + k, self.used + len(flat)
         return np.arange(n, n + k)
 
+    def _keep(self, eight: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> None:
+        """Notes the bytes of chunks in their slots."""
+        self.bytes[slot, -1] = end - start
+        for k, part, some in _words(eight, start, end):
+            self.bytes[slot[some], k] = part
+
+    def _other(self, eight: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The chunks whose bytes are not those in their slots."""
+        same = self.bytes[slot, -1] == (end - start).astype(np.uint64)
+        for k, part, some in _words(eight, start, end):
+            same[some] &= self.bytes[slot[some], k] == part
+        return np.flatnonzero(~same)
+
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text (uint32), in order."""
         first, size = 0, 0
@@ -114,10 +144,16 @@ class Encoder:
             found = np.zeros(len(key), np.int64)
             found[known] = self.slots[place[known]]
             new = np.flatnonzero(~known)
+            eight = np.ndarray((len(big) - 7,), "<u8", big, strides=(1,))
             if len(new):
-                found[new] = self._learn([big[start[i] : end[i]] for i in short[at[new]]])
+                first = short[at[new]]
+                found[new] = self._learn([big[start[i] : end[i]] for i in first])
+                self._keep(eight, start[first], end[first], found[new])
                 self.keys, self.slots = np.insert(self.keys, place[new], key[new]), np.insert(self.slots, place[new], found[new])
             slot[short] = found[rank][code]
+            other = short[self._other(eight, start[short], end[short], slot[short])]
+            if len(other):  # chunks of one hash
+                slot[other] = self._learn([big[start[i] : end[i]] for i in other])
         sizes = self.sizes[slot]
         ids = gather(self.ids, self.starts[slot], sizes)
         cut = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, edge)]
@@ -143,12 +179,46 @@ def rank_file_encoder(path: str, pattern: str) -> Encoder:
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> Encoder:
-    """The tokenizers library with a vocabulary file; no special tokens, their strings are ordinary text."""
+    """The tokenizers library with a byte-level vocabulary file, its own default for added tokens in a text.
+
+    New chunks that start with a space and don't end with white space are encoded in a row, some KB at a time: the cuts between them are
+    those at which a text is cut, and the ids' byte lengths tell them apart again.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return Encoder(lambda new: in_a_row([e.ids for e in t.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]))
+    length = np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())])  # a character of a token is a byte
+    each = lambda parts: in_a_row([e.ids for e in t.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)])
+
+    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        big = np.frombuffer(b"".join(new) + b"\0" * 8, np.uint8)
+        size = np.array([len(x) for x in new])
+        end = np.cumsum(size)
+        first, second = big[end - size], big[end - size + 1]
+        fit = (size > 1) & (first == 0x20) & (second > 0x20) & ~np.isin(second, [0xC2, 0xE1, 0xE2, 0xE3]) & _no_white(big, end)
+        row = np.flatnonzero(fit)
+        if not len(row):
+            return each(new)
+        stops = np.cumsum(size[row])
+        groups = np.flatnonzero(np.diff(stops // _ROW, append=-1)) + 1
+        joined = [b"".join([new[i] for i in row[a:b]]) for a, b in zip([0, *groups[:-1]], groups)]
+        ids, _ = each(joined)
+        reach = np.cumsum(length[ids])
+        last = np.searchsorted(reach, stops)
+        if reach[-1] != stops[-1] or (reach[last] != stops).any():
+            raise ValueError("ids that run across chunks")
+        count = np.diff(last, prepend=-1)
+        rest = np.flatnonzero(~fit)
+        if not len(rest):
+            return ids, count
+        more, sizes = each([new[i] for i in rest])
+        back = np.argsort(np.concatenate([row, rest]), kind="stable")
+        counts = np.concatenate([count, sizes])
+        flat, starts = np.concatenate([ids, more]), np.cumsum(counts) - counts
+        return gather(flat, starts[back], counts[back]), counts[back]
+
+    return Encoder(encode)
 
 
 def encoder_for(path: str) -> Encoder:
