@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dup": near_dup.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op4_near_dup": near_dup.ORACLE_SQL}

@@ -3,8 +3,9 @@
 Tasks write a file each: one gzip member for each record, the page's html as payload. Of pages with equal
 payloads the one with the largest id is the response, the others are revisits that name it and hold no
 block. The index (file, offset, length, url, digest, record type) is a stored table, and only files that it
-names count, so a task that is run again leaves at most a file that nobody reads. A reader sorts selected
-index rows by file and offset, joins ranges that are close, and parses the records from each range.
+names count, so a task that is run again leaves at most a file that nobody reads. Selected index rows are
+dealt out by slices of files to as many readers as the records' bytes need; each sorts its rows by file and offset,
+joins ranges that are close, and parses the records from each range.
 
 Defined results: null html is an empty payload; a null url is an empty one; a page without id is a response
 unless a page with an id has its payload, and then a revisit; rows that repeat the response's id are responses
@@ -31,6 +32,8 @@ from deliverix.llm.common import new_path, small_batches, stored, table
 LEAST_BYTES = 0
 #: Ranges with a gap of at most GAP bytes are read at once, up to RANGE bytes.
 GAP, RANGE = 64_000, 4_000_000
+#: Bytes of a file that go to one reader together, bytes of a reader's records (about), and the least number of readers.
+SLICE, TASK_BYTES, TASKS = 8_000_000, 64_000_000, 16
 #: Fixed value: the date of every record, so that a record is the same whenever it is written.
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed value: the profile of revisits by payload.
@@ -80,8 +83,8 @@ def with_types(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("size"))
     copies = rows.filter(F.col("size") >= LEAST_BYTES).groupBy("sha", "size").agg(F.max("page_id").alias("lead"), F.count("*").alias("n"))
-    several = copies.filter("n > 1").select("sha", "size", "lead")
-    joined = rows.join(several, ["sha", "size"], "left")  # a copied payload's many rows are a skewed side, which AQE splits
+    several = stored(copies.filter("n > 1").select("sha", "size", "lead"), "warc-leads")
+    joined = rows.join(several, ["sha", "size"], "left")  # both sides are plain shuffles, so AQE splits the rows of a copied payload
     refers = F.when(F.col("lead").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -153,10 +156,25 @@ def read_records(selected: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 
-    rows = selected.select("folder", "path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
-    return rows.mapInArrow(run, RECORD)
+    slices = selected.select("folder", "path", F.floor(F.col("offset") / SLICE).alias("slice"), "offset", "length")
+    size = slices.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = int(max(-(-size // TASK_BYTES), TASKS))  # an explicit number: index rows are small, and AQE would join the tasks by their size
+    return slices.repartition(tasks, "path", "slice").sortWithinPartitions("path", "offset").drop("slice").mapInArrow(run, RECORD)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(table(spark, sf_dir, "pages"))
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, octet_length(encode(html)) AS size, sha1(html) AS sha FROM p),
+leads AS (SELECT html, max(page_id) AS lead, count(*) AS n FROM p GROUP BY html),
+r AS (SELECT d.*, CASE WHEN lead IS DISTINCT FROM page_id THEN lead END AS refers_to FROM d JOIN leads USING (html))
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(sha, CAST(i // 8 * 10 + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
+"""
