@@ -6,8 +6,9 @@ expression of identifiers, AND, OR, WITH and brackets. It is evaluated to its id
 some choice of its alternatives is permissive (OR: either side, AND: both, WITH: the exception decides for
 a licence that isn't permissive by itself).
 
-Defined results: a null, empty or wordless text has no words, no labels and score 0; an expression that
-doesn't parse gives no labels; repeated rows are scanned each; a null doc_id stays null; an empty table
+Defined results: a null, empty or wordless text has no words, no labels and score 0; a tag gives labels only
+if the whole rest of its line, up to the end of a comment, is an expression of identifiers of which at least one is
+of a known family or a LicenseRef; a full stop, comma or quote at its end doesn't count; repeated rows are scanned each; a null doc_id stays null; an empty table
 gives no rows. Other columns are not read.
 """
 
@@ -57,7 +58,7 @@ LINKING = ("classpath-exception", "gcc-exception", "linking-exception", "bootloa
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)\s*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -77,10 +78,25 @@ def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
 def family(identifier: str) -> tuple[str, bool]:
     """Label of an identifier and whether it is permissive; an unknown one is its own label and isn't."""
     name = identifier.lower().rstrip("+")
-    for head in sorted(FAMILIES, key=len, reverse=True):
-        if name == head or name.startswith(f"{head}-"):
-            return FAMILIES[head]
-    return name, False
+    head = known(name)
+    return FAMILIES[head] if head else (name, False)
+
+
+def known(name: str) -> str | None:
+    """The longest head of a family that an identifier in lower case has."""
+    return max((h for h in FAMILIES if name == h or name.startswith(f"{h}-")), key=len, default=None)
+
+
+def tokens(expression: str) -> list[str] | None:
+    """The brackets and words of an expression; None if anything else is in it."""
+    out, at = [], 0
+    while at < len(expression):
+        m = _TOKEN.match(expression, at)
+        if not m:
+            return None
+        out.append(m[1])
+        at = m.end()
+    return out
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -88,7 +104,7 @@ def postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     wants_operand = True
-    for token in _TOKEN.findall(expression):
+    for token in tokens(expression) or []:
         word = token.lower()
         if word in _BINDS:
             if wants_operand:
@@ -113,7 +129,7 @@ def postfix(expression: str) -> list[str] | None:
             out.append(token)
             wants_operand = False
         else:
-            break  # words after the expression
+            return None  # words after the expression
     if wants_operand or "(" in stack:
         return None
     return out + stack[::-1]
@@ -122,7 +138,7 @@ def postfix(expression: str) -> list[str] | None:
 def evaluate(expression: str) -> tuple[set[str], bool] | None:
     """Labels of an expression and whether it can be met permissively."""
     rpn = postfix(expression)
-    if rpn is None:
+    if rpn is None or not any(known(x.lower().rstrip("+")) or x.lower().startswith("licenseref-") for x in rpn):
         return None
     stack: list[tuple[set[str], bool, str]] = []
     for token in rpn:
@@ -160,7 +176,7 @@ def scan(text: bytes) -> tuple:
     free: list[bool] = []
     for end, _ in tags.iter(text.translate(_LOWER).decode("latin-1")):
         line = re.split(rb"[\r\n]|\*/|-->", text[end + 1 :].split(b"\n", 1)[0])[0]
-        expression = line.decode("utf-8", "replace").strip()
+        expression = line.decode("utf-8", "replace").strip().rstrip(".,;\"'` ")
         if found := evaluate(expression):
             labels |= found[0]
             free.append(found[1])
