@@ -4,12 +4,13 @@ The prefix array of a text holds, for each place, the polynomial of the code poi
 prime. The hash of any span is a difference of two entries brought to a common power, so spans of any
 texts compare in constant time and longest common extensions are found by binary search. The fingerprint
 of a text is its length, the hash of the whole, and a sketch: of the hashes of all spans of SPAN code
-points (SHORT_SPAN in a short text), the least in each of LANES classes. The likeness of two fingerprints is the share of equal lanes.
+points, the least in each of LANES classes. A text is preceded by blanks for this, so that one shorter than a span has
+as many spans as code points, and texts of any lengths compare. The likeness of two fingerprints is the share of equal
+lanes.
 
-Defined results: a null text is an empty text; a text shorter than a span has one span, the whole; equal
-fingerprints have likeness 1, that of an empty and another text is 0; documents with one doc_id follow each
-other in the order of their texts; null doc_ids come first; a table of one row is its own next document; an
-empty table gives no rows. Other columns are not read.
+Defined results: a null text is an empty text; equal fingerprints have likeness 1, that of an empty and another text
+is 0; documents with one doc_id follow each other in an order that their texts' hashes give; null doc_ids come first; a
+table of one row is its own next document; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from deliverix.llm.common import mix, small_batches, stored, table
 
-#: Code points of a span; those of a span of a text of fewer than SHORT; lanes of a sketch.
-SPAN, SHORT_SPAN, SHORT, LANES = 16, 3, 160, 64
+#: Code points of a span; lanes of a sketch.
+SPAN, LANES = 16, 64
 #: Primes below 2 ** 31 and the bases of their polynomials.
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525)
 
@@ -68,10 +69,13 @@ class PrefixHash:
         return tuple(int((int(p[start + length]) - int(p[start])) * int(w.upto(self.n + 1)[1][start]) % w.prime) for p, w in zip(self.prefix, _powers))
 
     def spans(self, length: int, lane: int = 0) -> np.ndarray:
-        """Hashes, modulo one prime, of all spans of a length."""
+        """Hashes, modulo one prime, of the spans of a length that end at each code point; before the text stand blanks, of value 0."""
         p, w = self.prefix[lane], _powers[lane]
-        d = p[length:] - p[: self.n + 1 - length]
-        return (d + (d < 0) * w.prime) * w.upto(self.n + 1)[1][: len(d)] % w.prime
+        powers, inverse = w.upto(max(self.n + 1, length))
+        k = min(length - 1, self.n)
+        head = p[1 : k + 1] * powers[length - k : length][::-1] % w.prime
+        d = p[length:] - p[: max(self.n + 1 - length, 0)]
+        return np.concatenate([head, (d + (d < 0) * w.prime) * inverse[: len(d)] % w.prime])
 
     def extension(self, start: int, other: PrefixHash, at: int) -> int:
         """Length of the longest common extension of both texts from two places, by binary search."""
@@ -89,8 +93,7 @@ def fingerprint(h: PrefixHash) -> str:
     """Hexadecimal: length, hash of the whole, and LANES lanes of 16 bits (0 where no span fell)."""
     lanes = np.zeros(LANES, np.uint16)
     if h.n:
-        length = SPAN if h.n >= SHORT else min(SHORT_SPAN, h.n)
-        x = mix(h.spans(length).view(np.uint64) + (np.uint64(length) << np.uint64(32)))
+        x = mix(h.spans(SPAN).view(np.uint64) + (np.uint64(SPAN) << np.uint64(32)))
         lane = (x % np.uint64(LANES)).astype(np.int64)
         low = np.full(LANES, 2**64 - 1, np.uint64)
         np.minimum.at(low, lane, x)
@@ -131,7 +134,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of docs(doc_id, text) and of its edited text; see _OUT.
 
     Tasks hold ranges of doc_id in order. What a task can't pair (its last document with the next range's
-    first) leaves it as two edge rows; these few rows are paired in a second step.
+    first) leaves it as two edge rows; these few rows are paired in a second step, in which a window over the numbers of the
+    tasks tells which task follows and a join brings its first text.
     """
     small_batches(docs.sparkSession)
     schema = f"{_OUT}, part long, role int, edge_text string"
@@ -161,11 +165,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if last is not None:
             yield out([edge(1)])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))  # the rows of one doc_id may be several ranges
+    ordered = keyed.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     found = stored(ordered.mapInArrow(run, schema), "fingerprints")
-    edges = found.filter("role is not null").select("part", "role", "doc_id", "edge_text")
-    order = W.orderBy("part", "role")  # two rows for each task, not for each document
-    ends = edges.withColumn("following", F.coalesce(F.lead("edge_text").over(order), F.first("edge_text").over(order))).filter("role = 1")
+    parts = found.filter("role = 0").select("part")
+    order = W.orderBy("part")  # a number for each task
+    follows = parts.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(order)).alias("then"))
+    firsts = found.filter("role = 0").select(F.col("part").alias("then"), F.col("edge_text").alias("following"))
+    ends = found.filter("role = 1").select("part", "doc_id", "edge_text").join(follows, "part").join(firsts, "then")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
