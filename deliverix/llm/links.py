@@ -10,18 +10,18 @@ from deliverix.llm.common import stored
 
 def _towards_least(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """For each u of pairs(u, v): links its v (and itself) to the least of them all."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stored(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")  # so that AQE can split a hub's pairs
     to_v = pairs.join(least, "u")
     if larger_only:
         return to_v.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return to_v.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every end of edges(a, b), root being the least of its component."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:  # rounds grow with the logarithm of the largest component
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _towards_least(both, True).filter("a != b").distinct()
         small = _towards_least(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False)
@@ -30,6 +30,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("v"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

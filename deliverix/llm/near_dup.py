@@ -1,6 +1,7 @@
 """MinHash near-duplicates: a chosen-path set similarity join, confirmed on whole shingle sets.
 
-Documents with equal shingle sets form a class; only classes are joined. Each class is a set of minwise
+Documents with equal shingle sets (by a 128-bit cryptographic hash of the whole set) form a class, which has a number
+of its own; only classes are joined. Each class is a set of minwise
 tokens. A tree picks one of the token positions at its root and puts each class below the token it has there;
 nodes with many classes branch again by positions that the node's own hash picks (from the third level on 4/3
 of them, so that a pair at the threshold survives a level with an expected one path), unless branching didn't
@@ -43,7 +44,7 @@ MOST_NODES = TREES * 2 ** (DEPTH - 2)
 #: Estimated similarity from which a pair is confirmed (that of pairs at 0.75 has a standard error of 0.023).
 CANDIDATE = 0.65
 
-_BASE = "doc_id long, n_shingles long, th long, cls long, sig binary, sketch binary"
+_BASE = "doc_id long, n_shingles long, th long, digest binary, sig binary, sketch binary"
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -55,7 +56,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Set size, class (hash of the set), signature and sketch of each row; null class for an empty set."""
+    """Set size, digest, signature and sketch of the set of each row; the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,11 +67,11 @@ def describe(docs: DataFrame) -> DataFrame:
                     b.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     b.column(2),
-                    pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if s is None else s[:TOKENS].tobytes() for s in sigs], pa.binary()),
                     pa.array([None if s is None else sketch(s) for s in sigs], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "th", "cls", "sig", "sketch"],
+                names=["doc_id", "n_shingles", "th", "digest", "sig", "sketch"],
             )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, _BASE)
@@ -103,7 +104,8 @@ def _sized(nodes: DataFrame, label: str) -> DataFrame:
     """Members of the nodes that have two or more, with the node's size and leader, and whether it ends there: it is small, or has over half of the node above, which more branching would not part."""
     last = (F.col("n") <= LEAF) | (F.col("n") > F.col("up") / 2)
     size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("lead"), F.max("up").alias("up")).filter("n > 1").withColumn("last", last)
-    return stored(nodes.drop("up").join(size, "node"), label)
+    # stored, so that the join has a plain shuffle on both sides and AQE splits a large node's members
+    return stored(nodes.drop("up").join(stored(size, f"{label}-sizes"), "node"), label)
 
 
 def leaves(classes: DataFrame) -> DataFrame:
@@ -243,11 +245,11 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The described rows of docs(doc_id, text), and of each class (cls) its component_id and lead: the id and text hash of the row that leads its component."""
+    """The described rows of docs(doc_id, text), and of each class (digest) its component_id and lead: the id and text hash of the row that leads its component."""
     small_batches(docs.sparkSession)
     base = stored(describe(docs), "shingles")
-    least = base.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "th", "sig", "sketch")).alias("x"))
-    classes = stored(least.select("cls", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), F.col("x.sig").alias("sig"), F.col("x.sketch").alias("sketch")), "classes")
+    least = base.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "th", "sig", "sketch")).alias("x"))
+    classes = stored(least.select(F.monotonically_increasing_id().alias("cls"), "digest", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), F.col("x.sig").alias("sig"), F.col("x.sketch").alias("sketch")), "classes")
     last = leaves(classes)
     chunks = F.ceil(F.col("n") / LEAF)
     own = F.pmod(F.xxhash64("cls"), chunks)
@@ -284,16 +286,16 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = confirm(left, texts)
     joined = components(more.unionAll(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).filter("a != b")))
 
-    reps = classes.select("cls", "rep", "th").join(joined.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    reps = classes.select("cls", "digest", "rep", "th").join(joined.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = reps.groupBy("root").agg(F.min(F.struct("rep", "th")).alias("least")).select("root", F.col("least.rep").alias("component_id"), F.col("least.th").alias("lead"))
-    return base, stored(reps.join(ids, "root").select("cls", "component_id", "lead"), "components")
+    return base, stored(reps.join(stored(ids, "leads"), "root").select("digest", "component_id", "lead"), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     base, found = grouped(docs)
-    out = base.select("doc_id", "n_shingles", "th", "cls").join(found, "cls", "left")
-    empty = F.col("cls").isNull()
+    out = base.select("doc_id", "n_shingles", "th", "digest").join(found, "digest", "left")
+    empty = F.col("digest").isNull()
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
     kept = empty | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("lead")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -91,9 +92,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share - 0.25) / 0.75
 
 
-def digest(s: np.ndarray) -> int:
-    """64-bit hash of a set, as a signed number."""
-    return int(mix(np.array([mix(s ^ _K).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def digest(s: np.ndarray) -> bytes:
+    """128-bit cryptographic hash of a set (sorted), so that sets with equal ones are equal."""
+    return blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
