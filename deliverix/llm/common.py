@@ -66,15 +66,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
-    """All rows, or about `most` of them, chosen by a hash of the columns and never over twice as many.
+def bounded_sample(df: DataFrame, most: int) -> DataFrame:
+    """All rows, or about `most` of them and never over twice as many, whatever they hold and however often they are repeated.
 
-    A filter, not a sort: with orderBy and limit every task would send its first `most` rows to the driver.
+    Rows are chosen by a hash of their place in the scan, the same in every run over the same files with the same splits. A filter,
+    not a sort: with orderBy and limit every task would send its first `most` rows to the driver.
     """
     n = df.count()
     if n <= most:
         return df
-    return df.filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(2 * most)
+    place = max(df.columns, key=len) + "_"  # not a column of df
+    chosen = df.withColumn(place, F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64(place), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return chosen.drop(place).limit(2 * most)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

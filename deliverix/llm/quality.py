@@ -7,7 +7,7 @@ brought to 0..1 by a one-dimensional logistic map.
 
 Defined results: a null text is an empty text and has a score; a null doc_id is in the training rows
 if it has a label, which it cannot have, so it is only scored; repeated rows are scored each and count
-each in the fit; labels that are null are not read; an empty table gives no rows; without labels of
+each in the fit; rows of labels that are repeated or contradict each other count each too; labels that are null are not read; an empty table gives no rows; without labels of
 both classes every score is the share of label 1 (0.5 without any label). Other columns are not read.
 """
 
@@ -150,7 +150,7 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05, ridg
         factors.append(np.linalg.inv(low))
         dets.append(2 * np.log(np.diag(low)).sum())
     model = Discriminant(means, np.array(factors), np.array(dets), float(n[1] / n.sum()))
-    some = bounded_sample(rows, CALIBRATION_ROWS, "doc_id").select("label", "f").toPandas()
+    some = bounded_sample(rows.select("label", "f"), CALIBRATION_ROWS).toPandas()
     z = model.difference(np.stack(some.f))
     z, y = np.sign(z) * np.log1p(np.abs(z)), some.label.to_numpy(float)
     a, b = 1.0, 0.0

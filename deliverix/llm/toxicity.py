@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier learnt from confirmed toxic examples and unlabelled text.
 
 The training set is a bounded sample: confirmed positives (labels.toxic = 1) and documents taken
-without regard to any label, both outside the held-out fold. Words and word heads are the features.
+without regard to any label, both outside the held-out fold. Words, word heads, and pairs of neighbouring characters of
+scripts that may be written without spaces (three bytes each in UTF-8) are the features.
 Their counts in both samples choose the features; numpy then minimises the non-negative
 positive-unlabelled risk, in which the class prior corrects for the positives among the unlabelled.
 
@@ -20,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import bounded_sample, held_out, keep_rows, mix, small_batches, stored, table, text_bytes
+from deliverix.llm.common import bounded_sample, held_out, keep_rows, mix, small_batches, span_hashes, stored, table, text_bytes
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.5
-#: Sizes of the training samples (about; twice as many at most) and bound of the features.
+#: Rows of the training samples (about; twice as many at most, however often a doc_id is repeated) and bound of the features.
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2048
+#: Tasks that compute the features of the sample.
+SAMPLE_TASKS = 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = np.zeros(256, bool)
 _WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _WORD[128:] = True
-#: Bytes of a word's head that count as a feature, besides the whole word (its first 24 bytes).
+#: Bytes of a word's head that count as a feature, besides the whole word.
 _HEADS = (4, 5, 6)
 _BLOCK = 4_000_000
 
@@ -49,7 +52,7 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the text and 64-bit feature, for each occurrence of a word or a word head."""
+    """Index of the text and 64-bit feature, for each occurrence of a word, a word head or a pair of wide characters."""
     big = b"\n".join(texts).translate(_LOWER) + b"\n" * 32
     a = np.frombuffer(big, np.uint8)
     inside = _WORD[a].view(np.int8)
@@ -57,24 +60,23 @@ def occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    edge = np.cumsum([len(t) + 1 for t in texts])
+    doc = np.searchsorted(edge, start, side="right")
     eight = np.ndarray((len(big) - 7,), "<u8", big, strides=(1,))
     length = end - start
 
-    def head(at: np.ndarray, k: np.ndarray | int) -> np.ndarray:
-        keep = np.clip(k, 0, 8).astype(np.uint64) if isinstance(k, np.ndarray) else np.uint64(k)
-        mask = np.where(keep == 8, np.uint64(2**64 - 1), (np.uint64(1) << (keep % np.uint64(8) * np.uint64(8))) - np.uint64(1))
-        return eight[at] & mask
+    def head(at: np.ndarray, k: int) -> np.ndarray:
+        return mix(eight[at] & np.uint64((1 << 8 * k) - 1) ^ np.uint64(k << 56) ^ np.uint64(0x5BD1E995))
 
-    whole = mix(head(start, length)) ^ np.uint64(7)
-    for skip in (8, 16):
-        longer = np.flatnonzero(length > skip)
-        whole[longer] = mix(whole[longer] ^ head(start[longer] + skip, length[longer] - skip))
-    docs, found = [doc], [mix(whole)]
+    docs, found = [doc], [span_hashes(big, start, end)]
     for k in _HEADS:
         long = np.flatnonzero(length > k)
         docs.append(doc[long])
-        found.append(mix(head(start[long], k) ^ np.uint64(k << 56) ^ np.uint64(0x5BD1E995)))
+        found.append(head(start[long], k))
+    wide = (a >= 0xE0) & (a < 0xF0)
+    pair = np.flatnonzero(wide[:-3] & wide[3:])
+    docs.append(np.searchsorted(edge, pair, side="right"))
+    found.append(head(pair, 6) ^ np.uint64(1))
     return np.concatenate(docs), np.concatenate(found)
 
 
@@ -139,18 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
     share = known.agg(F.avg("toxic")).first()[0]
     if not share:
         return None
-    confirmed = known.filter("toxic = 1").select("doc_id").distinct()
-    others = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    positive = bounded_sample(confirmed, POSITIVES, "doc_id").withColumn("positive", F.lit(1))
-    other = bounded_sample(others, UNLABELLED, "doc_id").withColumn("positive", F.lit(0))
+    confirmed = bounded_sample(known.filter("toxic = 1").select("doc_id").distinct(), POSITIVES)
+    some = stored(confirmed, "toxicity-sample")  # at most twice POSITIVES ids
+    positive = bounded_sample(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi"), POSITIVES).withColumn("positive", F.lit(1))
+    others = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    other = bounded_sample(others, UNLABELLED).withColumn("positive", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s.view(np.int64) for _, s in _sets(text_bytes(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["positive", "f"])
 
-    chosen = stored(positive.unionAll(other), "toxicity-sample")  # at most twice POSITIVES + UNLABELLED rows
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive int, f array<long>"), "toxicity-features")
+    chosen = positive.unionAll(other).select("positive", "text").repartition(SAMPLE_TASKS)  # at most twice POSITIVES + UNLABELLED rows
+    rows = stored(chosen.mapInArrow(run, "positive int, f array<long>"), "toxicity-features")
     n = {r.positive: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return None
