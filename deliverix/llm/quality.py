@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import bounded_sample, held_out, keep_rows, small_batches, stored, table, text_bytes
+from deliverix.llm.common import bounded_sample, held_out, small_batches, stored, table, text_bytes
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
@@ -131,6 +131,32 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     return out
 
 
+def logistic_map(z: np.ndarray, y: np.ndarray, least_slope: float = 0.05) -> tuple[float, float]:
+    """Slope and offset of a logistic regression of y on z with a weak prior, by Newton steps that are halved until the loss falls; it settles on separable data too."""
+    sign = 2 * y - 1
+
+    def loss(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, -sign * (v[0] * z + v[1])).sum() + 5e-3 * ((v[0] - 1) ** 2 + v[1] ** 2))
+
+    v = np.array([1.0, 0.0])
+    now = loss(v)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(v[0] * z + v[1], -40, 40)))
+        w = p * (1 - p)
+        g = np.array([((p - y) * z).sum() + 1e-2 * (v[0] - 1), (p - y).sum() + 1e-2 * v[1]])
+        h = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-2]])
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-9 and loss(v - size * step) > now - 1e-4 * size * float(g @ step):
+            size /= 2
+        if size <= 1e-9:
+            break
+        v = v - size * step
+        before, now = now, loss(v)
+        if before - now <= 1e-10 * (1 + now):
+            break
+    return max(float(v[0]), least_slope), float(v[1])
+
+
 def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05, ridge: float = 1e-3) -> Discriminant:
     """Fits on rows(label 0/1, f); to_pooled and to_diagonal are the shares of shrinkage."""
     m = moments(rows)
@@ -153,15 +179,7 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05, ridg
     some = bounded_sample(rows.select("label", "f"), CALIBRATION_ROWS).toPandas()
     z = model.difference(np.stack(some.f))
     z, y = np.sign(z) * np.log1p(np.abs(z)), some.label.to_numpy(float)
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a logistic map of one input, with a weak prior on its slope
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * z).sum() + 1e-2 * (a - 1), (p - y).sum() + 1e-2 * b])
-        h = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    model.slope, model.offset = max(float(a), 0.05), float(b)
+    model.slope, model.offset = logistic_map(z, y)
     return model
 
 
@@ -172,10 +190,22 @@ def learn(stats: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are predicted to be of label 1."""
+    """The rows of docs, all columns, that are predicted to be of label 1. Statistics are computed once and stored beside the rows."""
     small_batches(docs.sparkSession)
-    model = learn(stored(statistics(docs), "quality-statistics"), labels)
-    return keep_rows(docs, lambda texts: model.score(np.array([_statistics(t) for t in texts]).reshape(-1, len(NAMES))) >= THRESHOLD)
+    f = max(docs.columns, key=len) + "_"  # not a column of docs
+
+    @F.arrow_udf("array<double>")
+    def of_text(texts: pa.Array) -> pa.Array:
+        return pa.array([_statistics(t) for t in text_bytes(texts)], pa.list_(pa.float64()))
+
+    rows = stored(docs.withColumn(f, of_text("text")), "quality-rows")
+    model = learn(rows.select("doc_id", F.col(f).alias("f")), labels)
+
+    @F.arrow_udf("boolean")
+    def good(vectors: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.array(vectors.to_pylist(), float).reshape(-1, len(NAMES))) >= THRESHOLD)
+
+    return rows.filter(good(f)).drop(f)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
