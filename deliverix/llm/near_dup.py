@@ -169,8 +169,8 @@ def _across(cls: np.ndarray, m: np.ndarray, root: np.ndarray, side: np.ndarray,
         if within:
             e &= two < one[:, None]
         j, at = np.nonzero(e)
-        for k in range(0, len(j), 5000):
-            a, b = two[at[k : k + 5000]], one[j[k : k + 5000]]
+        for k in range(0, len(j), 500):  # some MB of comparisons of nodes at once
+            a, b = two[at[k : k + 500]], one[j[k : k + 500]]
             x, y = nodes[a], nodes[b]
             both = (x[:, :, None] == y[:, None, :]).any(2)
             first = x[np.arange(len(x)), both.argmax(1)] == node

@@ -21,7 +21,7 @@ import public_tokenizers
 from deliverix.llm.common import span_hashes
 
 #: Chunks and ids that one worker remembers at most, besides those of the block in hand.
-CHUNKS, IDS = 1_000_000, 8_000_000
+CHUNKS, IDS = 700_000, 6_000_000
 #: Longer chunks (bytes) are encoded each time.
 _LONGEST = 64
 _BLOCK = 2_000_000
@@ -77,14 +77,15 @@ class Encoder:
         self.slots = np.zeros(0, np.int64)  # where each key's ids are
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.bytes = np.zeros((1 << 14, _LONGEST // 8 + 1), np.uint64)  # of the chunks that the memory holds, with zeros after them, and their lengths
-        self.n = self.used = 0
+        self.words = np.zeros(1 << 16, np.uint64)  # the bytes of the chunks that the memory holds, each from a new word on
+        self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)  # where a slot's words start, and its bytes
+        self.n = self.used = self.filled = 0
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
         flat, sizes = self.encode(new)
         n, k = self.n, len(new)
         while n + k > len(self.starts):
-            self.starts, self.sizes, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.bytes))
+            self.starts, self.sizes, self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.at, self.length))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -95,15 +96,22 @@ class Encoder:
 
     def _keep(self, eight: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> None:
         """Notes the bytes of chunks in their slots."""
-        self.bytes[slot, -1] = end - start
+        words = (end - start + 7) // 8
+        at = self.filled + np.cumsum(words) - words
+        self.filled += int(words.sum())
+        while self.filled > len(self.words):
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+        self.at[slot], self.length[slot] = at, end - start
         for k, part, some in _words(eight, start, end):
-            self.bytes[slot[some], k] = part
+            self.words[at[some] + k] = part
 
     def _other(self, eight: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """The chunks whose bytes are not those in their slots."""
-        same = self.bytes[slot, -1] == (end - start).astype(np.uint64)
-        for k, part, some in _words(eight, start, end):
-            same[some] &= self.bytes[slot[some], k] == part
+        same = self.length[slot] == end - start
+        alike = np.flatnonzero(same)
+        at = self.at[slot[alike]]
+        for k, part, some in _words(eight, start[alike], end[alike]):
+            same[alike[some]] &= self.words[at[some] + k] == part
         return np.flatnonzero(~same)
 
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
