@@ -244,8 +244,22 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The described rows of docs(doc_id, text), and of each class (digest) its component_id and lead: the id and text hash of the row that leads its component."""
+def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(cls, text) of the classes in pairs: the text of the row that stands for the class. repeated has the (doc_id, th) of several rows, of which one is taken."""
+    same = lambda x, y: (x["th"] == y["th"]) & x["doc_id"].eqNullSafe(y["doc_id"])
+    ends = pairs.select(F.col("a").alias("cls")).distinct().unionAll(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
+    reps = ends.join(classes.select("cls", F.col("rep").alias("doc_id"), "th"), "cls")
+    wanted = stored(reps.join(repeated, same(reps, repeated), "left").select("cls", reps["doc_id"], reps["th"], F.coalesce("many", F.lit(False)).alias("many")), "ends")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    of = lambda some: rows.join(some, same(rows, some)).select("cls", "text")
+    found = of(wanted.filter("not many"))
+    if not repeated.isEmpty():
+        found = found.unionAll(of(wanted.filter("many")).dropDuplicates(["cls"]))
+    return stored(found, "texts")
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows of docs(doc_id, text); of each class (digest) its component_id and lead, the id and text hash of the row that leads its component; and the (doc_id, th) that several rows have."""
     small_batches(docs.sparkSession)
     base = stored(describe(docs), "shingles")
     least = base.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "th", "sig", "sketch")).alias("x"))
@@ -256,15 +270,11 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.when(chunks == 1, F.col("node")).otherwise(F.xxhash64("node", "chunk"))
     sketches = classes.select("cls", "sketch")
 
-    involved = classes.join(last.select("cls").distinct(), "cls").select("cls", F.col("rep").alias("doc_id"), "th")
-    from_docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    same = (from_docs["th"] == involved["th"]) & from_docs["doc_id"].eqNullSafe(involved["doc_id"])
-    texts = stored(from_docs.join(involved, same).select(involved["cls"], from_docs["text"]).dropDuplicates(["cls"]), "texts")
-
+    repeated = stored(base.filter("digest is not null").groupBy("doc_id", "th").agg((F.count("*") > 1).alias("many")).filter("many"), "repeated")
     every = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).when(F.col("cls") == F.col("lead"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(own))
     first = last.select("node", "cls", "n", F.explode(every).alias("chunk")).select(key.alias("key"), "cls")
     tried = stored(candidates(first.join(sketches, "cls"), False), "pairs")
-    edges = stored(confirm(tried, texts), "edges")
+    edges = stored(confirm(tried, texts_of(tried, docs, classes, repeated)), "edges")
     roots = stored(components(edges), "roots")
 
     # second pass: pairs of blocks, of classes outside a node's main component (numbered first) with each other and with those in it
@@ -283,17 +293,17 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("int")
     second = dealt.select(pair.alias("key"), "cls", "root", side.alias("side"), "node").join(lists, "cls")
     left = stored(candidates(second.join(sketches, "cls"), True).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = confirm(left, texts)
+    more = confirm(left, texts_of(left, docs, classes, repeated))
     joined = components(more.unionAll(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).filter("a != b")))
 
     reps = classes.select("cls", "digest", "rep", "th").join(joined.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = reps.groupBy("root").agg(F.min(F.struct("rep", "th")).alias("least")).select("root", F.col("least.rep").alias("component_id"), F.col("least.th").alias("lead"))
-    return base, stored(reps.join(stored(ids, "leads"), "root").select("digest", "component_id", "lead"), "components")
+    return base, stored(reps.join(stored(ids, "leads"), "root").select("digest", "component_id", "lead"), "components"), repeated
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    base, found = grouped(docs)
+    base, found, _ = grouped(docs)
     out = base.select("doc_id", "n_shingles", "th", "digest").join(found, "digest", "left")
     empty = F.col("digest").isNull()
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -303,14 +313,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that lead their component, one of those with equal id and text, and every blank one; of blank rows equal in all columns, one if they have a doc_id."""
-    leads = grouped(docs)[1].select(F.col("component_id").alias("id"), "lead").distinct()
+    _, found, repeated = grouped(docs)
+    leads = stored(found.select(F.col("component_id").alias("id"), "lead").distinct(), "kept")
     th = max(docs.columns, key=len) + "_"  # not a column of docs
-    unique = docs.withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th])
-    same = (unique[th] == leads["lead"]) & unique["doc_id"].eqNullSafe(leads["id"])
+    rows = docs.withColumn(th, F.xxhash64("text"))
+    led = rows.join(leads, (rows[th] == leads["lead"]) & rows["doc_id"].eqNullSafe(leads["id"]), "left_semi")
+    if not repeated.isEmpty():  # one of each of these
+        again = (led[th] == repeated["th"]) & led["doc_id"].eqNullSafe(repeated["doc_id"])
+        led = led.join(repeated, again, "left_anti").unionAll(led.join(repeated, again, "left_semi").dropDuplicates(["doc_id", th]))
     blank = docs.filter(F.coalesce(F.ltrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == "")
     repeated = blank.filter("doc_id is not null").withColumn(th, F.to_json(F.struct("*")))  # columns may be maps
     alone = blank.filter("doc_id is null").unionAll(repeated.dropDuplicates([th]).drop(th))
-    return unique.join(leads, same, "left_semi").drop(th).unionAll(alone)
+    return led.drop(th).unionAll(alone)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
