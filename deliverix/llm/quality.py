@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import bounded_sample, held_out, small_batches, stored, table, text_bytes
+from deliverix.llm.common import bounded_sample, held_out, keep_rows, small_batches, stored, table, text_bytes
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
-#: About so many rows' log-density differences set the slope and offset of the final logistic map.
-CALIBRATION_ROWS = 20_000
+#: About so many labels (twice as many at most) are learnt from, and so many rows' log-density differences set the slope and
+#: offset of the final logistic map.
+TRAINING_LABELS, CALIBRATION_ROWS = 50_000, 20_000
 
 _CLASSES = [
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\f\v", b"\n",
@@ -183,36 +184,26 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05, ridg
     return model
 
 
-def learn(stats: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fits on the rows of stats(doc_id, f) that labels(doc_id, quality) marks and that are not held out."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    return fit(stats.join(known, "doc_id"))
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) to learn from: about TRAINING_LABELS of the rows of labels(doc_id, quality) that are not held out."""
+    known = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return stored(bounded_sample(known, TRAINING_LABELS), "quality-labels")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are predicted to be of label 1. Statistics are computed once and stored beside the rows."""
+    """The rows of docs, all columns, that are predicted to be of label 1. Statistics are computed for the training rows, and once for every row."""
     small_batches(docs.sparkSession)
-    f = max(docs.columns, key=len) + "_"  # not a column of docs
-
-    @F.arrow_udf("array<double>")
-    def of_text(texts: pa.Array) -> pa.Array:
-        return pa.array([_statistics(t) for t in text_bytes(texts)], pa.list_(pa.float64()))
-
-    rows = stored(docs.withColumn(f, of_text("text")), "quality-rows")
-    model = learn(rows.select("doc_id", F.col(f).alias("f")), labels)
-
-    @F.arrow_udf("boolean")
-    def good(vectors: pa.Array) -> pa.Array:
-        return pa.array(model.score(np.array(vectors.to_pylist(), float).reshape(-1, len(NAMES))) >= THRESHOLD)
-
-    return rows.filter(good(f)).drop(f)
+    known = F.broadcast(training_labels(labels))  # at most twice TRAINING_LABELS rows of two numbers
+    rows = stored(statistics(docs.select("doc_id", "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")), "quality-statistics")
+    model = fit(rows.join(known, "doc_id"))
+    return keep_rows(docs, lambda texts: model.score(np.array([_statistics(t) for t in texts]).reshape(-1, len(NAMES))) >= THRESHOLD)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     small_batches(docs.sparkSession)
     stats = stored(statistics(docs), "quality-statistics")
-    model = learn(stats, labels)
+    model = fit(stats.join(F.broadcast(training_labels(labels)), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
