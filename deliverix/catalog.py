@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -338,6 +339,20 @@ def _devlake(c: DataFrame, e: DataFrame) -> DataFrame:
     return commits.groupBy("repo_slug").agg(F.count("*").alias("commits"), F.sum("committed_at").alias("seconds")).join(edges.groupBy("repo_slug").agg(F.count("*").alias("edges")), "repo_slug")
 
 
+def _devlake_cycle(c: DataFrame, e: DataFrame) -> DataFrame:
+    """Pairs of commits of a database that has no log order."""
+    lake = c.select("sha", F.col("author_ref").alias("author_email"), F.timestamp_seconds("committed_at").alias("committed_date"), F.col("repo_slug").alias("_raw_data_params"), "message")
+    parents = e.select(F.col("child_sha").alias("commit_sha"), F.col("parent_sha").alias("parent_commit_sha"), "parent_ord")
+    refs = _tips(c).select(F.col("repo_slug").alias("repo_id"), F.lit("main").alias("name"), F.col("tip_sha").alias("commit_sha"))
+    return deltas.delta_events(readers.from_devlake(lake, parents, refs)[0]).drop("log_ordinal")
+
+
+_edged(
+    "s12_devlake_cycle",
+    _devlake_cycle,
+    """SELECT repo_slug, author_ref, committed_at, sha AS child_sha, prev_sha, round((committed_at - before) / 60.0, 2)::DOUBLE AS cycle_minutes FROM (
+      SELECT *, lag(committed_at) OVER w AS before, lag(sha) OVER w AS prev_sha FROM local WINDOW w AS (PARTITION BY repo_slug, author_ref ORDER BY committed_at, sha)) WHERE before IS NOT NULL""",
+)
 _edged("s12_from_devlake", _devlake, "SELECT c.*, (SELECT count(*) FROM edges e WHERE e.repo_slug = c.repo_slug) AS edges FROM (SELECT repo_slug, count(*) AS commits, CAST(sum(committed_at) AS BIGINT) AS seconds FROM commits WHERE repo_slug IN ('repo0', 'repo3') GROUP BY ALL) c")
 _orders("s13_first_repo_id", readers.first_repo_id, "SELECT min(repo_slug) AS repo_slug FROM commits")
 _orders("s14_list_repo_ids", readers.list_repo_ids, "SELECT DISTINCT repo_slug FROM commits")
@@ -436,18 +451,35 @@ _orders(
       FROM (""" + _EITHER + ") a FULL JOIN (" + _FAILURE.format("subject_has_keywords = 1").replace("FROM local", "FROM local WHERE o_orderkey % 50 > 0") + ") b USING (repo_slug, period_month)) GROUP BY ALL",
 )
 _events("r11_audit_line", lambda c: reconcile.audit_line(metrics.with_month(c), "period_month", "author_ref"), "SELECT count(*) AS row_count, min(period_month) AS first_period, max(period_month) AS last_period, count(DISTINCT author_ref) AS authors FROM local")
-_orders("r12_run_metrics", lambda c: _row_counts(registry.run_metrics(c)))
+#: Key and value of each metric's rows.
+_SHOWN = {
+    "cycle_time_monthly": ("period_month", "p75_minutes"), "cycle_time_delta_events": ("child_sha", "cycle_minutes"), "change_failure_monthly": ("period_month", "failure_rate"),
+    "throughput_monthly": ("period_month", "commit_count"), "active_developers_monthly": ("period_month", "unique_authors"), "active_developers_weekly": ("period_week", "active_developers"),
+    "throughput_per_active_developer_weekly": ("period_week", "commits_per_author"), "throughput_per_active_developer_monthly": ("period_month", "commits_per_author"), "author_commit_percentiles": ("author_ref", "percentile"),
+}
 
 
-def _row_counts(found: dict[str, DataFrame]) -> DataFrame:
-    """A row for each metric with its number of rows."""
-    parts = [df.agg(F.lit(n).alias("metric"), F.count("*").alias("row_count")) for n, df in found.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+def _long_rows(found: dict[str, DataFrame]) -> DataFrame:
+    """All rows of all metrics: metric, repo_slug, key, value."""
+    parts = [df.select(F.lit(n).alias("metric"), "repo_slug", F.col(_SHOWN[n][0]).alias("key"), F.round(F.col(_SHOWN[n][1]).cast("double"), 6).alias("value")) for n, df in found.items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
+_rows = lambda name, source: f"SELECT '{name}' AS metric, repo_slug, {_SHOWN[name][0]} AS key, round({_SHOWN[name][1]}::DOUBLE, 6) AS value FROM ({source})"
+_body = lambda name, start: _sql[name][_sql[name].index(start) :]
+_orders(
+    "r12_run_metrics",
+    lambda c: _long_rows(registry.run_metrics(c, weeks_back=WEEKS_BACK)),
+    " UNION ALL ".join([
+        _rows("cycle_time_monthly", "SELECT * FROM cycle"), _rows("cycle_time_delta_events", "SELECT * FROM deltas"), _rows("change_failure_monthly", _EITHER),
+        _rows("throughput_monthly", f"SELECT repo_slug, period_month, {_COUNTS} FROM local GROUP BY ALL"), _rows("active_developers_monthly", f"SELECT repo_slug, period_month, {_COUNTS} FROM local GROUP BY ALL"),
+        _rows("active_developers_weekly", "SELECT repo_slug, period_week, count(*) AS active_developers FROM window_authors GROUP BY ALL"),
+        _rows("throughput_per_active_developer_weekly", _body("a7_throughput_per_active_dev_weekly", "SELECT l.repo_slug")), _rows("throughput_per_active_developer_monthly", _body("a8_throughput_per_active_dev_monthly", "SELECT l.repo_slug")),
+        _rows("author_commit_percentiles", _body("w4_author_commit_percentiles", "SELECT *, cume_dist()")),
+    ]),
+    f", {DELTAS_SQL}, {_MONTHLY}, {_WINDOW}",
+)
+
 # series
 _TREND = "regr_slope({v}, x) OVER w AS slope, regr_intercept({v}, x) OVER w AS cut, max(x) OVER w AS last"
 _trended = lambda v, source: f"""SELECT * EXCLUDE (x, slope, cut, last), round(cut + slope * x, 6) AS trend, round(cut + slope * last, 6) AS trend_end FROM (
@@ -495,8 +527,9 @@ _events("v11_commit_trend_rows", series.commit_trend_rows, "SELECT week AS date,
 def _metric_table(c: DataFrame) -> DataFrame:
     path = graph.new_path(c.sparkSession)
     found = sinks.with_lineage(deltas.cycle_stats_by_month(c), "all", AS_OF)
-    sinks.write_metric_table(found, path)
-    sinks.write_metric_table(found, path)  # a second snapshot replaces the first
+    gone = found.limit(3).withColumn("repo_slug", F.lit("gone"))
+    sinks.write_metric_table(found.unionByName(gone), path)
+    sinks.write_metric_table(found, path, [("gone", "all")])  # a second snapshot replaces the first, and one without rows empties it
     return c.sparkSession.read.parquet(path).select("repo_slug", "dataset_id", "period_month", "sample_count", "sum_minutes", "p75_minutes", "computed_at")
 
 
@@ -507,55 +540,65 @@ def _csv_back(write: Callable[[DataFrame, str], None], schema: str) -> Callable[
     def query(df: DataFrame) -> DataFrame:
         path = graph.new_path(df.sparkSession)
         write(df, path)
-        return df.sparkSession.read.csv(path, header=True, schema=schema, enforceSchema=False)
+        return df.sparkSession.read.csv(path, header=True, schema=f"{schema}, repo_slug string")
 
     return query
 
 
-_one = lambda c: c.filter("repo_slug = 'repo0'")
-_orders("k3_write_cycle_csv", lambda c: _csv_back(sinks.write_cycle_csv, "`INTERVAL START` string, SUM double, AVERAGE double, `p75 CYCLE TIME (minutes)` long, `std CYCLE TIME` long")(deltas.cycle_stats_by_month(_one(c))).drop("AVERAGE"),
-    """SELECT period_month AS "INTERVAL START", sum_minutes AS "SUM", p75_minutes AS "p75 CYCLE TIME (minutes)", std_minutes AS "std CYCLE TIME" FROM cycle WHERE repo_slug = 'repo0'""", f", {DELTAS_SQL}, {_MONTHLY}")
-_orders("k4_write_failure_csv", lambda c: _csv_back(sinks.write_failure_csv, "Month string, `Change Failure Rate (%)` double")(metrics.change_failure_monthly(_one(c))),
-    f"""SELECT period_month AS "Month", failure_rate AS "Change Failure Rate (%)" FROM ({_EITHER}) WHERE repo_slug = 'repo0'""")
-_orders("k5_write_authors_csv", lambda c: _csv_back(sinks.write_authors_csv, "Month string, `Unique Authors` long")(metrics.active_developers_monthly(_one(c))),
-    """SELECT period_month AS "Month", count(DISTINCT author_ref) AS "Unique Authors" FROM local WHERE repo_slug = 'repo0' GROUP BY ALL""")
-_orders("k10_write_canonical_csv", lambda c: _csv_back(sinks.write_canonical_csv, "repo_slug string, period_month string, sample_count long, sum_minutes double, avg_minutes double, p75_minutes long, std_minutes long")(deltas.cycle_stats_by_month(c)),
+_orders("k3_write_cycle_csv", lambda c: _csv_back(sinks.write_cycle_csv, "`INTERVAL START` string, SUM double, AVERAGE double, `p75 CYCLE TIME (minutes)` long, `std CYCLE TIME` long")(deltas.cycle_stats_by_month(c)).withColumn("AVERAGE", F.round("AVERAGE", 1)),
+    """SELECT repo_slug, period_month AS "INTERVAL START", sum_minutes AS "SUM", round(round(avg_minutes, 2), 1) AS "AVERAGE", p75_minutes AS "p75 CYCLE TIME (minutes)", std_minutes AS "std CYCLE TIME" FROM cycle""", f", {DELTAS_SQL}, {_MONTHLY}")
+_orders("k4_write_failure_csv", lambda c: _csv_back(sinks.write_failure_csv, "Month string, `Change Failure Rate (%)` double")(metrics.change_failure_monthly(c)),
+    f"""SELECT repo_slug, period_month AS "Month", failure_rate AS "Change Failure Rate (%)" FROM ({_EITHER})""")
+_orders("k5_write_authors_csv", lambda c: _csv_back(sinks.write_authors_csv, "Month string, `Unique Authors` long")(metrics.active_developers_monthly(c)),
+    """SELECT repo_slug, period_month AS "Month", count(DISTINCT author_ref) AS "Unique Authors" FROM local GROUP BY ALL""")
+
+
+def _canonical_back(df: DataFrame) -> DataFrame:
+    path = graph.new_path(df.sparkSession)
+    sinks.write_canonical_csv(df, path)
+    return df.sparkSession.read.csv(path, header=True, schema="repo_slug string, period_month string, sample_count long, sum_minutes double, avg_minutes double, p75_minutes long, std_minutes long", enforceSchema=False)
+
+
+_orders("k10_write_canonical_csv", lambda c: _canonical_back(deltas.cycle_stats_by_month(c)),
     "SELECT repo_slug, period_month, sample_count, sum_minutes, avg_minutes, p75_minutes, std_minutes FROM cycle", f", {DELTAS_SQL}, {_MONTHLY}")
 
 
 def _aggregate_back(c: DataFrame) -> DataFrame:
     path = graph.new_path(c.sparkSession)
     sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="b1"), path)
-    sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="default"), path)
+    for _ in range(2):  # a batch that is written again replaces itself
+        sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="default"), path)
     found = sinks.read_multi_repo_aggregate(c.sparkSession.read.parquet(path), "default", "all")
     return _near(found, "value_real").select("batch_id", "cohort_id", "metric_name", "period_key", "value_real")
 
 
 _events("k2_write_multi_repo_aggregate", _aggregate_back)
 _sql["k2_write_multi_repo_aggregate"] = _sql["r8_cohort_rows"]
-_orders("k6_write_throughput_csv", lambda c: _csv_back(sinks.write_throughput_csv, "Month string, `Commits Per Unique Developer` double")(metrics.throughput_rate_monthly(_one(c))).withColumn("Commits Per Unique Developer", F.round("Commits Per Unique Developer", 1)),
-    """SELECT period_month AS "Month", round(round(count(*) / count(DISTINCT author_ref), 2), 1) AS "Commits Per Unique Developer" FROM local WHERE repo_slug = 'repo0' GROUP BY ALL""")
+_orders("k6_write_throughput_csv", lambda c: _csv_back(sinks.write_throughput_csv, "Month string, `Commits Per Unique Developer` double")(metrics.throughput_rate_monthly(c)).withColumn("Commits Per Unique Developer", F.round("Commits Per Unique Developer", 1)),
+    """SELECT repo_slug, period_month AS "Month", round(round(count(*) / count(DISTINCT author_ref), 2), 1) AS "Commits Per Unique Developer" FROM local GROUP BY ALL""")
 
 
 def _saved_series(c: DataFrame) -> DataFrame:
     folder = graph.new_path(c.sparkSession)
-    sinks.save_metrics_csv(deltas.cycle_stats_by_month(_one(c)), metrics.change_failure_monthly(_one(c)), folder, "x_")
+    sinks.save_metrics_csv(deltas.cycle_stats_by_month(c), metrics.change_failure_monthly(c), folder, "x_")
     cycle, failure = readers.read_metrics_csv(c.sparkSession, folder, "x_")
-    return failure.join(cycle.drop("Average"), "Month", "left")
+    return failure.join(cycle.drop("Average"), ["repo_slug", "Month"], "left")
 
 
 _orders("k7_save_metrics_csv", _saved_series,
-    f"""SELECT f.period_month AS "Month", failure_rate AS "Rate", sum_minutes AS "Sum", p75_minutes::DOUBLE AS p75, std_minutes::DOUBLE AS std
-    FROM ({_EITHER}) f LEFT JOIN cycle USING (repo_slug, period_month) WHERE repo_slug = 'repo0'""", f", {DELTAS_SQL}, {_MONTHLY}")
+    f"""SELECT repo_slug, period_month AS "Month", failure_rate AS "Rate", sum_minutes AS "Sum", p75_minutes::DOUBLE AS p75, std_minutes::DOUBLE AS std
+    FROM ({_EITHER}) f LEFT JOIN cycle USING (repo_slug, period_month)""", f", {DELTAS_SQL}, {_MONTHLY}")
 
 
-def _saved_runs(c: DataFrame) -> DataFrame:
+def _saved_runs(c: DataFrame, part: str, schema: str) -> DataFrame:
     folder = graph.new_path(c.sparkSession)
     sinks.save_author_runs(metrics.commit_runs(c), metrics.author_commit_percentiles(c), folder)
-    return c.sparkSession.read.csv(f"{folder}/authors", header=True, schema="Date string, Commits long, author_ref string")
+    return c.sparkSession.read.csv(f"{folder}/{part}", header=True, schema=f"{schema}, repo_slug string")
 
 
-_events("k8_save_author_runs", _saved_runs, """SELECT week AS "Date", commits AS "Commits", author_ref FROM runs""", "," + _RUNS)
+_events("k8_save_author_runs", lambda c: _saved_runs(c, "authors", "Author string, Date string, Commits long"), """SELECT repo_slug, author_ref AS "Author", week AS "Date", commits AS "Commits" FROM runs""", "," + _RUNS)
+_events("k8_save_author_percentiles", lambda c: _near(_saved_runs(c, "percentiles", "Author string, Percentile double"), "Percentile"),
+    """SELECT repo_slug, author_ref AS "Author", round(cume_dist() OVER (PARTITION BY repo_slug ORDER BY n) * 100, 6) AS "Percentile" FROM (SELECT repo_slug, author_ref, count(*) AS n FROM commits GROUP BY ALL)""")
 
 
 def _categories_file(spark: SparkSession, d: str) -> DataFrame:
@@ -570,12 +613,61 @@ _add("s9_read_work_categories", _categories_file, _sql["v9_work_category_stack"]
 
 
 def _saved_aggregates(c: DataFrame) -> DataFrame:
+    """All five aggregates, written and read back as long rows."""
     folder = graph.new_path(c.sparkSession)
-    sinks.save_aggregates({"throughput": rollup.aggregate_throughput(metrics.throughput_monthly(c))}, rollup.summary_report(c), folder)
-    return c.sparkSession.read.csv(f"{folder}/throughput", header=True, schema="period_month string, commit_count long")
+    m = rollup.repo_metrics(c, WEEKS_BACK)
+    weekly = rollup.aggregate_throughput_per_active_dev(m["throughput_per_active_dev"], rollup.window_authors_by_week(c, WEEKS_BACK))
+    parts = {
+        "throughput": (rollup.aggregate_throughput(m["throughput"]), "commit_count long"),
+        "failure": (rollup.aggregate_failure_rate(m["change_failure"]), "failure_rate double"),
+        "cycle": (rollup.aggregate_cycle_time(m["cycle_time"]).select("period_month", "p75_minutes"), "p75_minutes double"),
+        "developers": (rollup.aggregate_active_developers(metrics.authors_by_month(c)), "unique_authors long"),
+        "per_developer": (weekly.select("period_week", "commits_per_author"), "commits_per_author double"),
+    }
+    sinks.save_aggregates({k: df for k, (df, _) in parts.items()}, rollup.summary_report(c), folder)
+    back = [c.sparkSession.read.csv(f"{folder}/{k}", header=True, schema=f"period string, {column}").select(F.lit(k).alias("name"), "period", F.round(F.col(column.split()[0]).cast("double"), 6).alias("value")) for k, (_, column) in parts.items()]
+    return reduce(DataFrame.unionAll, back)
+
+
+_named = lambda name, key, value, source: f"SELECT '{name}' AS name, {key} AS period, round({value}::DOUBLE, 6) AS value FROM ({source})"
+_events(
+    "k9_save_aggregates",
+    _saved_aggregates,
+    " UNION ALL ".join([
+        _named("throughput", "period_month", "n", "SELECT period_month, count(*) AS n FROM local GROUP BY ALL"),
+        _named("failure", "period_month", "r", f"SELECT period_month, avg(failure_rate) AS r FROM ({_EITHER}) GROUP BY ALL"),
+        _named("cycle", "period_month", "p", "SELECT period_month, avg(p75_minutes) AS p FROM cycle GROUP BY ALL"),
+        _named("developers", "period_month", "n", "SELECT period_month, count(DISTINCT author_ref) AS n FROM local GROUP BY ALL"),
+        _named("per_developer", "period_week", "commits_per_author", _COMBINED),
+    ]),
+    f", {DELTAS_SQL}, {_MONTHLY}, {_WINDOW}",
+)
+
+
+def _saved_json(c: DataFrame) -> DataFrame:
+    path = graph.new_path(c.sparkSession)
+    sinks.save_repo_json(metrics.repo_summary(c), path)
+    return c.sparkSession.read.json(path, schema="total_commits long, unique_authors long, first_commit string, last_commit string, repo_slug string")
+
 
+_orders("k9_save_repo_json", _saved_json, _sql["a12_repo_summary"].split("AS monday\n  FROM commits\n)", 1)[1])
 
-_orders("k9_save_aggregates", _saved_aggregates, "SELECT period_month, count(*) AS commit_count FROM local GROUP BY ALL")
+
+def _sprint_file(spark: SparkSession, d: str) -> DataFrame:
+    path = graph.new_path(spark)
+    _sprints(spark, d).drop("below_target").write.csv(path, header=True)
+    return series.sprint_completion_series(readers.read_sprint_completion(spark, path))
+
+
+_add("s9_read_sprint_completion", _sprint_file, _sql["v10_sprint_completion_series"])
+_orders(
+    "j9_branch_label",
+    lambda c: graph.branch_label(c.select("repo_slug", "sha"), c.filter("o_orderkey % 3 = 0").select("repo_slug", F.concat(F.lit("refs/heads/"), "author_ref").alias("ref_name"), F.col("sha").alias("tip_sha"))),
+    "SELECT repo_slug, sha, CASE WHEN o_orderkey % 3 = 0 THEN 'refs/heads/' || author_ref END AS ref_name FROM commits",
+)
+_orders("f21_value_json", lambda c: c.select("sha", s.value_json(F.struct("author_ref", "committed_at")).alias("value_json")), """SELECT sha, '{"author_ref":"' || author_ref || '","committed_at":' || committed_at || '}' AS value_json FROM commits""")
+_events("v5_tpad_pivot", lambda c: _near(series.tpad_pivot(c, [f"repo{i}" for i in range(4)], WEEKS_BACK), *(f"repo{i}" for i in range(4))),
+    "SELECT week_monday, " + ", ".join(f"round(coalesce(max(value) FILTER (repo_slug = 'repo{i}'), 0), 6) AS repo{i}" for i in range(4)) + f" FROM ({_PER_DEV}) GROUP BY ALL")
 _edged("k12_branch_cycle_csv", lambda c, e: sinks.branch_cycle_csv(graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c)))))
 
 

@@ -57,7 +57,8 @@ def throughput_per_active_dev_monthly(commits: DataFrame, weeks_back: int = 4, t
     months = with_month(commits, tz).withColumn("start", t.month_start(local)).groupBy("repo_slug", "period_month", "start", "author_ref").agg(F.count("*").alias("commits"))
     reach = weeks_back * 7 // 28 + 1
     seen = commits.select("repo_slug", "author_ref", local.alias("at"), t.month_start(local).alias("own"))
-    at_start = F.when(F.col("at") == F.col("own"), 0).otherwise(1)
+    seen = seen.groupBy("repo_slug", "author_ref", "own").agg(F.max("at").alias("at"), F.min("at").alias("first"))
+    at_start = F.when(F.col("first") == F.col("own"), 0).otherwise(1)
     spread = seen.select("repo_slug", "author_ref", "at", "own", F.explode(F.sequence(at_start, F.lit(reach))).alias("k"))
     spread = spread.withColumn("start", F.col("own") + F.make_interval(months=F.col("k")))
     active = spread.filter(F.col("at") >= t.shift_days(F.col("start"), -7 * weeks_back)).select("repo_slug", "author_ref", "start").distinct().withColumn("_in", F.lit(1))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deliverix.functions import time as t
@@ -21,7 +20,7 @@ def integer_epoch(commits: DataFrame) -> DataFrame:
 
 
 def consecutive_pairs(commits: DataFrame) -> DataFrame:
-    """repo_slug, author_ref, newer_sha, older_sha and both times, for each pair next to each other in the author's log."""
+    """repo_slug, author_ref, newer_sha, older_sha and both times, for each pair next to each other in the author's log; by time where there are no log ordinals."""
     pairs = with_older(integer_epoch(commits), AUTHOR, ["sha", "committed_at"]).filter("older is not null")
     return pairs.select(
         *AUTHOR, F.col("sha").alias("newer_sha"), F.col("older.sha").alias("older_sha"), F.col("committed_at").alias("newer_at"),
@@ -43,10 +42,8 @@ def commit_deltas(commits: DataFrame, tz: str = "UTC") -> DataFrame:
 def commit_deltas_by_time(commits: DataFrame, tz: str = "UTC") -> DataFrame:
     """For commits without log ordinals: pairs in order of time, then sha."""
     warnings.warn("no log ordinals: commits are paired by time", stacklevel=2)
-    w = W.partitionBy(*AUTHOR).orderBy("committed_at", "sha")
-    local = t.to_local(F.col("committed_at"), tz)
-    rows = integer_epoch(commits).withColumn("_before", F.lag("committed_at").over(w))
-    return rows.filter("_before is not null").select(*AUTHOR, "committed_at", "sha", t.wall_minutes(local, t.to_local(F.col("_before"), tz)).alias("cycle_minutes"))
+    events = delta_events(commits.withColumn("log_ordinal", F.lit(None).cast("long")), tz)
+    return events.select(*AUTHOR, "committed_at", F.col("child_sha").alias("sha"), "cycle_minutes")
 
 
 def _stats(minutes: Column) -> list[Column]:
@@ -66,8 +63,8 @@ def cycle_stats_by_month(commits: DataFrame, tz: str = "UTC", least: int = 2) ->
 def cycle_stats_by_bucket(commits: DataFrame, bucket_size: int = 1000, tz: str = "UTC", least: int = 2) -> DataFrame:
     """Measures of every bucket_size pairs in order of time; ties in the order in which authors and commits stand in the log."""
     first_seen = integer_epoch(commits).groupBy(*AUTHOR).agg(F.min("log_ordinal").alias("author_ord"))
-    d = commit_deltas(commits, tz).join(first_seen, AUTHOR)
-    order = [F.col("committed_at"), F.col("author_ord"), F.col("log_ordinal")]
+    d = delta_events(commits, tz).join(first_seen, AUTHOR)
+    order = [F.col("committed_at"), F.col("author_ord"), F.col("log_ordinal"), F.col("child_sha")]
     rows = number_rows(d, ["repo_slug"], F.floor(F.col("committed_at") / t.DAY), order, "n")
     rows = rows.withColumn("bucket", F.floor(F.col("n") / bucket_size)).withColumn("month", t.period_month(t.to_local(F.col("committed_at"), tz)))
     found = rows.groupBy("repo_slug", "bucket").agg(F.min_by("month", "n").alias("period_month"), *_stats(F.col("cycle_minutes")))

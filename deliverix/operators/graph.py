@@ -8,22 +8,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deliverix.functions.scalars import branch_line_id
+from deliverix.operators.ordering import CHUNK, SECONDS, number_rows
 
 STRATEGIES = ("top", "reverse", "narrow", "stop")
-#: Rounds after which a loop gives up with an error.
-MOST_ROUNDS = 200
 
 
 def new_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; one of our own where none is set."""
+    """A new path in the folder that driver and executors share; one of our own where none is set and Spark runs on this machine alone."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/deliverix/step-{uuid.uuid4().hex}"
@@ -81,26 +84,43 @@ def _strides(commits: DataFrame, edges: DataFrame) -> list[DataFrame]:
 def reachable_from(tips: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_slug, sha) of the commits of the snapshot that tips(repo_slug, tip_sha) reach by any parents.
 
-    Each round follows first parents to their ends in doubling strides, then takes the further parents of
-    what it found: rounds count how deep merges are nested, not how long the history is.
+    A repository's log is cut into chunks (by log_ordinal, else by committed_at). A round walks the chunks that were newly
+    entered, each in one task that holds its commits and parents, and hands on the parents that lie in other chunks.
+    Rounds count the chunks of the longest history, not its commits; most repositories are one chunk.
     """
-    known = commits.select("repo_slug", "sha")
-    further = edges.filter("parent_ord > 0").select("repo_slug", F.col("child_sha").alias("sha"), "parent_sha")
-    strides = _strides(commits, edges)
-    start = tips.select("repo_slug", F.col("tip_sha").alias("sha")).distinct()
-    seen = None
-    for _ in range(MOST_ROUNDS):
-        start = start.join(known, ["repo_slug", "sha"], "left_semi")
-        new = _stored(start if seen is None else start.join(seen, ["repo_slug", "sha"], "left_anti"))
-        if new.isEmpty():
-            return new if seen is None else seen
-        for i, stride in enumerate(strides):
-            both = F.explode(F.array(F.col("sha"), F.col("up")))
-            new = new.join(stride, ["repo_slug", "sha"], "left").select("repo_slug", both.alias("sha")).filter("sha is not null").distinct()
-            new = _stored(new) if i % 4 == 3 or i == len(strides) - 1 else new
-        seen = new if seen is None else _stored(seen.unionAll(new).distinct())
-        start = new.join(further, ["repo_slug", "sha"]).select("repo_slug", F.col("parent_sha").alias("sha")).distinct()
-    raise RuntimeError("reachability did not settle")
+    place = [F.floor(F.col("log_ordinal") / CHUNK)] if "log_ordinal" in commits.columns else []
+    known = commits.select("repo_slug", "sha", F.coalesce(*place, -F.floor(F.col("committed_at") / SECONDS)).alias("chunk")).dropDuplicates(["repo_slug", "sha"])
+    ends = known.select("repo_slug", F.col("sha").alias("parent_sha"), F.col("chunk").alias("to"))
+    links = edges.select("repo_slug", F.col("child_sha").alias("sha"), "parent_sha").join(ends, ["repo_slug", "parent_sha"]).join(known, ["repo_slug", "sha"])
+    links = _stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "to"))
+
+    def walk(key: tuple, entries: pa.Table, inner: pa.Table) -> pa.Table:
+        own = key[1].as_py()
+        parents: dict[str, list[tuple[str, int]]] = {}
+        for sha, parent, to in zip(*(inner.column(c).to_pylist() for c in ("sha", "parent_sha", "to"))):
+            parents.setdefault(sha, []).append((parent, to))
+        seen, out = set(todo := entries.column("sha").to_pylist()), set()
+        while todo:
+            for parent, to in parents.get(todo.pop(), ()):
+                if to != own:
+                    out.add((parent, to))
+                elif parent not in seen:
+                    seen.add(parent)
+                    todo.append(parent)
+        rows = [(s, own) for s in seen] + list(out)
+        n = len(rows)
+        return pa.table({"repo_slug": pa.array([key[0].as_py()] * n, pa.string()), "sha": [r[0] for r in rows], "chunk": pa.array([r[1] for r in rows], pa.int64()), "inside": [True] * len(seen) + [False] * len(out)})
+
+    schema = "repo_slug string, sha string, chunk long, inside boolean"
+    new = _stored(tips.select("repo_slug", F.col("tip_sha").alias("sha")).distinct().join(known, ["repo_slug", "sha"]))
+    rounds, entered = [], new
+    while not new.isEmpty():
+        inner = links.join(new.select("repo_slug", "chunk").distinct(), ["repo_slug", "chunk"], "left_semi")
+        found = _stored(new.groupBy("repo_slug", "chunk").cogroup(inner.groupBy("repo_slug", "chunk")).applyInArrow(walk, schema))
+        rounds.append(found.filter("inside").select("repo_slug", "sha"))
+        new = _stored(found.filter("not inside").select("repo_slug", "sha", "chunk").distinct().join(entered, ["repo_slug", "sha"], "left_anti"))
+        entered = entered.unionAll(new)
+    return reduce(DataFrame.unionAll, rounds).distinct() if rounds else new.select("repo_slug", "sha")
 
 
 def squash_commits(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,7 +158,7 @@ def _walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str)
 
     start_of = roots.select("repo_slug", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("tip_sha").alias("start"), F.array().cast("array<long>").alias("key"))
     lines = _stored(start_of)
-    for _ in range(MOST_ROUNDS):
+    while True:
         least = F.min(F.struct(rank.alias("rank"), "key", "merge", "ord", "start")).alias("line")
         claim = _stored(lines.withColumn("sha", F.col("start")).groupBy("repo_slug", "sha").agg(least))
         for i, stride in enumerate(strides):
@@ -161,7 +181,6 @@ def _walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str)
         lines = after
         if same:
             return lines, claims
-    raise RuntimeError("branch lines did not settle")
 
 
 def branch_lines(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str = "top") -> tuple[DataFrame, DataFrame]:
@@ -222,15 +241,16 @@ def materialize_branch_lines(commits: DataFrame, edges: DataFrame, roots: DataFr
 
 def line_order(lines: DataFrame, strategy: str) -> DataFrame:
     """Lines with depth and a place within the repository, level by level."""
-    depth = F.size("key") / 2
-    w = W.partitionBy("repo_slug").orderBy(F.size("key"), "key")
-    return lines.withColumn("depth", depth.cast("int")).withColumn("place", F.row_number().over(w) - 1)
+    size = F.size("key")
+    chunk = F.struct(size.alias("level"), F.slice("key", 1, 2).alias("head"))
+    return number_rows(lines.withColumn("depth", (size / 2).cast("int")), ["repo_slug"], chunk, [size, F.col("key")], "place")
 
 
 def longest_branch_lines(lines: DataFrame, k: int = 6) -> DataFrame:
-    """The k lines with most nodes (commits and both ends) of each repository."""
-    w = W.partitionBy("repo_slug").orderBy(F.desc("commit_count"), "line_id")
-    return lines.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("line_size", F.col("commit_count") + 2)
+    """The k lines with most nodes (commits and both ends) of each repository: of k candidates from each of its parts."""
+    first = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("commit_count"), "line_id"))).filter(F.col("rank") <= k)
+    parts = first(lines.withColumn("_part", F.pmod(F.xxhash64("line_id"), F.lit(64))), "repo_slug", "_part").drop("_part", "rank")
+    return first(parts, "repo_slug").withColumn("line_size", F.col("commit_count") + 2)
 
 
 def line_nodes(lines: DataFrame, members: DataFrame) -> DataFrame:
@@ -281,9 +301,9 @@ def branch_cycle_summary(phases: DataFrame, bucket_size: int | None = None) -> D
     """
     spans = phases.filter((F.col("commit_count") > 0) & (F.col("ramp_seconds") != 0))
     order = ["start_at", "ramp_seconds", "work_seconds", "close_seconds", "total_seconds", "branch_line_id"]
-    n = F.count("*").over(W.partitionBy("repo_slug"))
-    step = F.lit(bucket_size) if bucket_size else F.greatest(F.lit(1), F.floor(n / 12))
-    rows = spans.withColumn("_step", step).withColumn("_rn", F.row_number().over(W.partitionBy("repo_slug").orderBy(*order)) - 1).withColumn("bucket", F.floor(F.col("_rn") / F.col("_step")))
+    numbered = number_rows(spans, ["repo_slug"], F.coalesce(F.floor(F.col("start_at") / 86400), F.lit(-(1 << 40))), [F.col(c) for c in order], "_rn")
+    step = F.lit(bucket_size) if bucket_size else F.greatest(F.lit(1), F.floor(F.count("*") / 12))
+    rows = numbered.join(spans.groupBy("repo_slug").agg(step.alias("_step")), "repo_slug").withColumn("bucket", F.floor(F.col("_rn") / F.col("_step")))
     day = lambda c: F.round(F.col(c) / 86400, 2)
     half = F.floor(day("ramp_seconds") / 2)
     rows = rows.withColumns({"commits": F.col("commit_count").cast("double"), "cycle": F.coalesce(day("total_seconds"), F.lit(0.0)) - half, "close": day("close_seconds"), "work": half + F.coalesce(day("work_seconds"), F.lit(0.0))})

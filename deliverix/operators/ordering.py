@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Log ordinals of a chunk.
 CHUNK = 1 << 18
+#: Seconds of a chunk where there are no log ordinals.
+SECONDS = 30 * 86400
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], name: str, newest_first: bool = False) -> DataFrame:
@@ -29,11 +31,15 @@ def number_rows(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequen
 
 
 def with_older(df: DataFrame, keys: Sequence[str], columns: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Adds the struct `older`: columns of the next row further down the log (log_ordinal, 0 is the newest) with the same keys."""
-    df = df.withColumn("_chunk", F.floor(F.col("log_ordinal") / chunk))
-    values = F.struct(*columns)
-    near = F.lag(values).over(W.partitionBy(*keys, "_chunk").orderBy(F.desc("log_ordinal")))
-    heads = df.groupBy(*keys, "_chunk").agg(F.min_by(values, "log_ordinal").alias("_head"))
+    """Adds the struct `older`: columns of the next row further down the log (log_ordinal, 0 is the newest) with the same keys.
+
+    Rows without log_ordinal are in order of committed_at, then sha; df has these columns.
+    """
+    by_time = -F.floor(F.col("committed_at") / SECONDS)
+    df = df.withColumn("_chunk", F.coalesce(F.floor(F.col("log_ordinal") / chunk), by_time))
+    values, place = F.struct(*columns), [F.coalesce(-F.col("log_ordinal"), F.lit(0)), F.col("committed_at"), F.col("sha")]
+    near = F.lag(values).over(W.partitionBy(*keys, "_chunk").orderBy(*place))
+    heads = df.groupBy(*keys, "_chunk").agg(F.max_by(values, F.struct(*place)).alias("_head"))
     further = heads.withColumn("_next", F.lag("_head").over(W.partitionBy(*keys).orderBy(F.desc("_chunk")))).drop("_head").filter("_next is not null")
     joined = df.withColumn("_near", near).join(further, [*keys, "_chunk"], "left")
     return joined.withColumn("older", F.coalesce("_near", "_next")).drop("_near", "_next", "_chunk")

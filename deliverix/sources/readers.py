@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,14 +95,15 @@ def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_metrics_csv(spark: SparkSession, folder: str, prefix: str = "") -> tuple[DataFrame, DataFrame]:
-    """Saved cycle time and change failure series."""
-    cycle = _csv(spark, f"{folder}/{prefix}cycle_time_data.csv", "Month string, Sum double, Average double, p75 double, std double")
-    return cycle, _csv(spark, f"{folder}/{prefix}change_failure_data.csv", "Month string, Rate double")
+    """Saved cycle time and change failure series of all repositories; repo_slug is null in files of one."""
+    cycle = _csv(spark, f"{folder}/{prefix}cycle_time_data.csv", "Month string, Sum double, Average double, p75 double, std double, repo_slug string")
+    return cycle, _csv(spark, f"{folder}/{prefix}change_failure_data.csv", "Month string, Rate double, repo_slug string")
 
 
 def read_work_categories(spark: SparkSession, path: str) -> DataFrame:
     """Month and one column for each category, whatever they are called."""
-    return spark.read.csv(path, header=True, inferSchema=True)
+    wide = spark.read.csv(path, header=True)  # all text, so that the file is read once
+    return wide.select(*(F.col(f"`{c}`") if c == "Month" else F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns))
 
 
 def read_sprint_completion(spark: SparkSession, path: str) -> DataFrame:
@@ -121,6 +124,7 @@ def from_lake(lake: DataFrame, repo: str | None = None) -> DataFrame:
 
 def from_devlake(commits: DataFrame, parents: DataFrame, refs: DataFrame, repo_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Commits, edges and refs from a DevLake database's tables; it has no log order, so pairs are made by time."""
+    warnings.warn("no log ordinals: commits are paired by time", stacklevel=2)
     mine = commits if repo_ids is None else commits.filter(F.col("_raw_data_params").isin(*repo_ids))
     c = mine.select(F.col("_raw_data_params").alias("repo_slug"), "sha", F.col("author_email").alias("author_ref"), F.unix_timestamp("committed_date").alias("committed_at"), "message", F.lit(None).cast("long").alias("log_ordinal"))
     order = F.col("parent_ord") if "parent_ord" in parents.columns else F.row_number().over(_by_child()) - 1

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The names of the report columns below.
 #: Columns that every metric table has besides its own.
 LINEAGE = ("source_commits_schema_version", "computed_at", "tenant_id", "metrics_schema_version")
 
@@ -16,13 +20,21 @@ def with_lineage(df: DataFrame, dataset_id: str, computed_at: int, source_versio
     })
 
 
-def write_metric_table(df: DataFrame, path: str) -> None:
-    """Replaces the snapshots (repo_slug, dataset_id) that df has, and no others."""
+def write_metric_table(df: DataFrame, path: str, snapshots: Sequence[tuple[str, str]] = ()) -> None:
+    """Replaces the snapshots (repo_slug, dataset_id) that df has; those named in snapshots that df has no rows of are emptied. No others change."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_slug", "dataset_id").parquet(path)
+    if snapshots:
+        asked = df.sparkSession.createDataFrame(list(snapshots), "repo_slug string, dataset_id string")
+        gone = asked.join(df.select("repo_slug", "dataset_id").distinct(), ["repo_slug", "dataset_id"], "left_anti").collect()  # of the given list
+        files = df.sparkSession._jvm.org.apache.hadoop.fs
+        for x in gone:
+            where = files.Path("/".join([path, f"repo_slug={quote(x.repo_slug, safe=' @')}", f"dataset_id={quote(x.dataset_id, safe=' @')}"]))
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write_multi_repo_aggregate(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("batch_id").parquet(path)
+    """Replaces the batches and cohorts that df has, so that a batch may be written again."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "cohort_id").parquet(path)
 
 
 def read_multi_repo_aggregate(df: DataFrame, batch_id: str, cohort_id: str) -> DataFrame:
@@ -33,43 +45,50 @@ def _csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def _reports(df: DataFrame, path: str, order: str) -> None:
+    """A folder for each repository, its rows in order."""
+    df.orderBy("repo_slug", order).write.mode("overwrite").partitionBy("repo_slug").csv(path, header=True)
+
+
 def _two(name: str) -> Column:
     return F.format_string("%.2f", F.col(name).cast("double"))
 
 
 def cycle_csv(cycle: DataFrame) -> DataFrame:
-    """Columns of the cycle time report."""
-    return cycle.orderBy("period_month").select(
-        F.col("period_month").alias("INTERVAL START"), F.col("sum_minutes").alias("SUM"), F.round("avg_minutes", 2).alias("AVERAGE"), F.col("p75_minutes").alias("p75 CYCLE TIME (minutes)"), F.col("std_minutes").alias("std CYCLE TIME")
+    """repo_slug and the columns of the cycle time report."""
+    return cycle.select(
+        "repo_slug", F.col("period_month").alias("INTERVAL START"), F.col("sum_minutes").alias("SUM"), F.round("avg_minutes", 2).alias("AVERAGE"), F.col("p75_minutes").alias("p75 CYCLE TIME (minutes)"), F.col("std_minutes").alias("std CYCLE TIME")
     )
 
 
 def write_cycle_csv(cycle: DataFrame, path: str) -> None:
-    _csv(cycle_csv(cycle), path)
+    _reports(cycle_csv(cycle), path, "INTERVAL START")
 
 
 def write_failure_csv(failure: DataFrame, path: str) -> None:
-    _csv(failure.orderBy("period_month").select(F.col("period_month").alias("Month"), _two("failure_rate").alias("Change Failure Rate (%)")), path)
+    _reports(failure.select("repo_slug", F.col("period_month").alias("Month"), _two("failure_rate").alias("Change Failure Rate (%)")), path, "Month")
 
 
 def write_authors_csv(authors: DataFrame, path: str) -> None:
-    _csv(authors.orderBy("period_month").select(F.col("period_month").alias("Month"), F.col("unique_authors").alias("Unique Authors")), path)
+    _reports(authors.select("repo_slug", F.col("period_month").alias("Month"), F.col("unique_authors").alias("Unique Authors")), path, "Month")
 
 
 def write_throughput_csv(rate: DataFrame, path: str) -> None:
-    _csv(rate.orderBy("period_month").select(F.col("period_month").alias("Month"), _two("commits_per_author").alias("Commits Per Unique Developer")), path)
+    _reports(rate.select("repo_slug", F.col("period_month").alias("Month"), _two("commits_per_author").alias("Commits Per Unique Developer")), path, "Month")
 
 
 def save_metrics_csv(cycle: DataFrame, failure: DataFrame, folder: str, prefix: str = "") -> None:
-    c = cycle.orderBy("period_month").select(F.col("period_month").alias("Month"), F.col("sum_minutes").alias("Sum"), F.col("avg_minutes").alias("Average"), F.col("p75_minutes").alias("p75"), F.col("std_minutes").alias("std"))
-    _csv(c, f"{folder}/{prefix}cycle_time_data.csv")
-    _csv(failure.orderBy("period_month").select(F.col("period_month").alias("Month"), F.col("failure_rate").alias("Rate")), f"{folder}/{prefix}change_failure_data.csv")
+    c = cycle.select("repo_slug", F.col("period_month").alias("Month"), F.col("sum_minutes").alias("Sum"), F.col("avg_minutes").alias("Average"), F.col("p75_minutes").alias("p75"), F.col("std_minutes").alias("std"))
+    _reports(c, f"{folder}/{prefix}cycle_time_data.csv", "Month")
+    _reports(failure.select("repo_slug", F.col("period_month").alias("Month"), F.col("failure_rate").alias("Rate")), f"{folder}/{prefix}change_failure_data.csv", "Month")
 
 
 def save_author_runs(runs: DataFrame, percentiles: DataFrame, folder: str) -> None:
-    """A folder of runs for each author, and the percentiles, highest first."""
-    runs.select("author_ref", F.col("week").alias("Date"), F.col("commits").alias("Commits")).write.mode("overwrite").partitionBy("author_ref").csv(f"{folder}/authors", header=True)
-    _csv(percentiles.orderBy(F.desc("percentile"), "author_ref").select(F.col("author_ref").alias("Author"), F.col("percentile").alias("Percentile")), f"{folder}/percentiles")
+    """Runs of each repository by author and week, and its authors' percentiles, highest first; a folder for each repository, not for each author."""
+    r = runs.select("repo_slug", F.col("author_ref").alias("Author"), F.col("week").alias("Date"), F.col("commits").alias("Commits"))
+    r.orderBy("repo_slug", "Author", "Date").write.mode("overwrite").partitionBy("repo_slug").csv(f"{folder}/authors", header=True)
+    p = percentiles.orderBy("repo_slug", F.desc("percentile"), "author_ref").select("repo_slug", F.col("author_ref").alias("Author"), F.col("percentile").alias("Percentile"))
+    p.write.mode("overwrite").partitionBy("repo_slug").csv(f"{folder}/percentiles", header=True)
 
 
 def save_repo_json(summary: DataFrame, path: str) -> None:
@@ -97,11 +116,11 @@ def write_canonical_csv(cycle: DataFrame, path: str) -> None:
 
 
 def branch_cycle_csv(summary: DataFrame) -> DataFrame:
-    """The 19 columns of the branch report."""
+    """repo_slug and the 19 columns of the branch report."""
     names = {"commits": "COMMITS", "cycle": "CYCLETIME", "close": "QA", "work": "WORKTIME"}
     head = [F.date_format(F.timestamp_seconds("interval_start"), "EEE MMM dd HH:mm:ss yyyy").alias("INTERVAL START"), F.col("branches").alias("BRANCHES"), F.col("total_commits").alias("COMMITS")]
-    return summary.orderBy("repo_slug", "bucket").select(*head, *(F.col(f"{k}_{c}").alias(f"{k} {name}") for k in ("p50", "p75", "avg", "std") for c, name in names.items()))
+    return summary.orderBy("repo_slug", "bucket").select("repo_slug", *head, *(F.col(f"{k}_{c}").alias(f"{k} {name}") for k in ("p50", "p75", "avg", "std") for c, name in names.items()))
 
 
 def write_branch_cycle_csv(summary: DataFrame, path: str) -> None:
-    _csv(branch_cycle_csv(summary), path)
+    branch_cycle_csv(summary).write.mode("overwrite").partitionBy("repo_slug").csv(path, header=True)

@@ -84,7 +84,9 @@ def test_unknown_strategy(graphs):
         graph.branch_lines(commits, edges, roots, "sideways")
 
 
-def test_reachable(graphs):
+@pytest.mark.parametrize("chunk", [1 << 18, 4])
+def test_reachable(graphs, monkeypatch, chunk):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
     made, commits, edges, roots = graphs
     got = {}
     for x in graph.reachable_from(roots, commits, edges).collect():

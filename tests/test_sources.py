@@ -74,13 +74,22 @@ def test_metric_table_is_replaced_by_snapshot(spark, top):
     sinks.write_metric_table(a.filter("repo_slug = 'r1'").withColumn("n", F.lit(9).cast("long")), f"{top}/m")
     got = {r.repo_slug: r.n for r in spark.read.parquet(f"{top}/m").collect()}
     assert got == {"r1": 9, "r2": 2}
+    sinks.write_metric_table(a.filter("repo_slug = 'r2'"), f"{top}/m", [("r1", "d"), ("r2", "d"), ("r3", "d")])
+    assert {r.repo_slug: r.n for r in spark.read.parquet(f"{top}/m").collect()} == {"r2": 2}
+
+
+def test_a_batch_replaces_itself(spark, top):
+    df = spark.createDataFrame([("b", "c", "m", "2024-01", 1.0)], "batch_id string, cohort_id string, metric_name string, period_key string, value_real double")
+    for cohort in ("c", "d", "c"):
+        sinks.write_multi_repo_aggregate(df.withColumn("cohort_id", F.lit(cohort)), f"{top}/agg")
+    assert sinks.read_multi_repo_aggregate(spark.read.parquet(f"{top}/agg"), "b", "c").count() == 1 and spark.read.parquet(f"{top}/agg").count() == 2
 
 
 def test_aggregates_and_author_runs(spark, top):
     df = spark.createDataFrame([("2024-01", 1)], "period_month string, n long")
     assert sinks.save_aggregates({"full": df, "empty": df.limit(0)}, df, f"{top}/agg") == ["full", "summary"]
-    runs = spark.createDataFrame([("a", "2024-W01", 3)], "author_ref string, week string, commits long")
-    per = spark.createDataFrame([("a", 100.0)], "author_ref string, percentile double")
+    runs = spark.createDataFrame([("r", "a", "2024-W01", 3)], "repo_slug string, author_ref string, week string, commits long")
+    per = spark.createDataFrame([("r", "a", 100.0)], "repo_slug string, author_ref string, percentile double")
     sinks.save_author_runs(runs, per, f"{top}/runs")
     assert spark.read.csv(f"{top}/runs/authors", header=True).count() == 1
 
@@ -91,7 +100,7 @@ def test_branch_report_has_nineteen_columns(spark):
     s = graph.branch_cycle_summary(phases, 4)
     first = s.filter("bucket = 0").first()
     assert (first.branches, first.total_commits, first.p50_commits, first.p50_cycle, first.p75_work, first.std_close) == (4, 10, 2.5, 3.5, 2.25, 0.0)
-    assert len(sinks.branch_cycle_csv(s).columns) == 19
+    assert len(sinks.branch_cycle_csv(s).drop("repo_slug").columns) == 19
 
 
 def test_devlake(spark):
@@ -100,6 +109,11 @@ def test_devlake(spark):
     r = spark.createDataFrame([("r1", "main", "s1")], "repo_id string, name string, commit_sha string")
     commits, edges, refs = readers.from_devlake(c, p, r, ["r1"])
     assert [x.committed_at for x in commits.collect()] == [1704067200] and edges.count() == 2 and refs.first().tip_sha == "s1"
+    from deliverix.operators import deltas
+
+    five = spark.createDataFrame([("r", f"s{i}", "e", 172_800 * i, None) for i in (3, 0, 4, 1, 2)], "repo_slug string, sha string, author_ref string, committed_at long, log_ordinal long")
+    assert [x.cycle_minutes for x in deltas.delta_events(five).orderBy("committed_at").collect()] == [2880.0] * 4
+    assert deltas.cycle_stats_by_month(five).first().sample_count == 4 and deltas.cycle_stats_by_bucket(five, 2).count() == 2
     assert readers.first_repo_id(commits).first()[0] == "r1" and readers.first_repo_id(commits.limit(0)).first()[0] is None
     with pytest.raises(ValueError, match="unsupported"):
         export.build_commits_export(spark.createDataFrame([("r", "s", "e", 5, 0)], "repo_slug string, sha string, author_email string, committed_at long, log_ordinal long"), spark.createDataFrame([], "sha string, subject string, body string, raw string"), spark.createDataFrame([], "repo_slug string, child_sha string, parent_sha string, parent_ord int"), profile="encrypted_identity")
