@@ -89,7 +89,7 @@ def reachable_from(tips: DataFrame, commits: DataFrame, edges: DataFrame) -> Dat
     Rounds count the chunks of the longest history, not its commits; most repositories are one chunk.
     """
     place = [F.floor(F.col("log_ordinal") / CHUNK)] if "log_ordinal" in commits.columns else []
-    known = commits.select("repo_slug", "sha", F.coalesce(*place, -F.floor(F.col("committed_at") / SECONDS)).alias("chunk")).dropDuplicates(["repo_slug", "sha"])
+    known = _stored(commits.select("repo_slug", "sha", F.coalesce(*place, -F.floor(F.col("committed_at") / SECONDS)).alias("chunk")).dropDuplicates(["repo_slug", "sha"]))
     ends = known.select("repo_slug", F.col("sha").alias("parent_sha"), F.col("chunk").alias("to"))
     links = edges.select("repo_slug", F.col("child_sha").alias("sha"), "parent_sha").join(ends, ["repo_slug", "parent_sha"]).join(known, ["repo_slug", "sha"])
     links = _stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "to"))
