@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
@@ -39,6 +40,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the steps that are stored within, and the caller's own afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context, unless their PYTHONPATH has it."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

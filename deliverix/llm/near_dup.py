@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliverix.llm.common import mix, small_batches, stored, table, text_bytes
+from deliverix.llm.common import mix, settings, small_batches, stored, table, text_bytes
 from deliverix.llm.links import components
 from deliverix.llm.shingles import LANES, TOKENS, alike, digest, likeness, shingle_sets, signature, sketch
 
@@ -43,6 +43,15 @@ LEAF, DEPTH = 200, 5
 MOST_NODES = TREES * 2 ** (DEPTH - 2)
 #: Estimated similarity from which a pair is confirmed (that of pairs at 0.75 has a standard error of 0.023).
 CANDIDATE = 0.65
+#: Spark's own Bloom filter before a join of texts: on the first key alone, of 4 MB however many keys there are.
+FILTERED = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(1 << 60),
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 25),
+    "spark.sql.optimizer.runtimeFilter.number.threshold": "1",
+}
 
 _BASE = "doc_id long, n_shingles long, th long, digest binary, sig binary, sketch binary"
 
@@ -245,17 +254,22 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(cls, text) of the classes in pairs: the text of the row that stands for the class. repeated has the (doc_id, th) of several rows, of which one is taken."""
+    """(cls, text) of the classes in pairs: the text of the row that stands for the class. repeated has the (doc_id, th) of several rows, of which one is taken.
+
+    Few rows of docs are wanted, so a Bloom filter of their text hashes keeps most texts out of the shuffle. Its size is
+    fixed: with more rows than it was made for it lets more texts through, and the join decides.
+    """
     same = lambda x, y: (x["th"] == y["th"]) & x["doc_id"].eqNullSafe(y["doc_id"])
     ends = pairs.select(F.col("a").alias("cls")).distinct().unionAll(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
     reps = ends.join(classes.select("cls", F.col("rep").alias("doc_id"), "th"), "cls")
-    wanted = stored(reps.join(repeated, same(reps, repeated), "left").select("cls", reps["doc_id"], reps["th"], F.coalesce("many", F.lit(False)).alias("many")), "ends")
+    wanted = stored(reps.join(repeated, same(reps, repeated), "left").select("cls", reps["doc_id"], reps["th"], F.coalesce("rows", F.lit(1)).alias("rows")), "ends")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     of = lambda some: rows.join(some, same(rows, some)).select("cls", "text")
-    found = of(wanted.filter("not many"))
+    found = of(wanted.filter("rows = 1"))
     if not repeated.isEmpty():
-        found = found.unionAll(of(wanted.filter("many")).dropDuplicates(["cls"]))
-    return stored(found, "texts")
+        found = found.unionAll(of(wanted.filter("rows > 1")).dropDuplicates(["cls"]))
+    with settings(docs.sparkSession, FILTERED):
+        return stored(found, "texts")
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -270,7 +284,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = F.when(chunks == 1, F.col("node")).otherwise(F.xxhash64("node", "chunk"))
     sketches = classes.select("cls", "sketch")
 
-    repeated = stored(base.filter("digest is not null").groupBy("doc_id", "th").agg((F.count("*") > 1).alias("many")).filter("many"), "repeated")
+    repeated = stored(base.filter("digest is not null").groupBy("doc_id", "th").agg(F.count("*").alias("rows")).filter("rows > 1"), "repeated")
     every = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).when(F.col("cls") == F.col("lead"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(own))
     first = last.select("node", "cls", "n", F.explode(every).alias("chunk")).select(key.alias("key"), "cls")
     tried = stored(candidates(first.join(sketches, "cls"), False), "pairs")
