@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from deliverix.llm import bpe, fingerprints, licenses, near_dup, shingles, tokens
 
@@ -294,3 +295,22 @@ def test_shingle_hashes_tell_long_words_apart():
     a, b = ("w" * 5000 + c for c in "xy")
     x, y = shingles.shingle_sets([a.encode(), b.encode()])
     assert x.tolist() != y.tolist() and np.array_equal(x, shingles.shingle_sets([a.upper().encode()])[0])
+
+
+def test_texts_of_wanted_classes_pass_the_filter(spark):
+    """The text filter loses no wanted text, gives one of repeated rows, and leaves the session's settings alone."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(None, "no id"), (7, "text 7"), (8, "another")], "doc_id long, text string")
+    rows = docs.withColumn("th", F.xxhash64("text")).distinct().withColumn("cls", F.xxhash64("doc_id", "th"))
+    classes = rows.select("cls", F.col("doc_id").alias("rep"), "th")
+    wanted = rows.filter("doc_id is null or doc_id < 10")
+    pairs = wanted.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    repeated = docs.withColumn("th", F.xxhash64("text")).groupBy("doc_id", "th").agg(F.count("*").alias("rows")).filter("rows > 1")
+    before = {k: spark.conf.get(k, None) for k in near_dup.FILTERED}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_dup.texts_of(pairs, docs, classes, repeated)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.select("cls", "text").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {k: spark.conf.get(k, None) for k in near_dup.FILTERED} == before
