@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from deliverix.llm import ans, bpe, fingerprints, licenses, near_dup, neighbours, packing, quality, toxicity, warc
+from deliverix.llm import ans, bpe, fill_in_middle, fingerprints, lexical, licenses, near_dup, neighbours, packing, quality, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ids": ans.op8_ids,
         "op9_nearest": neighbours.op9_nearest,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_lexical": lexical.op11_lexical,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_token_counts": token_counts.op13_token_counts,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op4_near_dup": near_dup.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op4_near_dup": near_dup.ORACLE_SQL, "op11_lexical": lexical.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL}
