@@ -81,17 +81,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, most: int) -> DataFrame:
-    """All rows, or about `most` of them and never over twice as many, whatever they hold and however often they are repeated.
+    """About `most` of the distinct rows of df, or all of them if there are no more; it depends on what the rows hold alone, not on files, splits or order.
 
-    Rows are chosen by a hash of their place in the scan, the same in every run over the same files with the same splits. A filter,
-    not a sort: with orderBy and limit every task would send its first `most` rows to the driver.
+    Rows are chosen by a hash of all columns, against the (approximate, order-free) number of distinct hashes. Repeated rows count once, so they neither
+    fill nor empty a sample: a task passes each chosen hash on once, and few rows meet in the shuffle.
     """
-    n = df.count()
-    if n <= most:
-        return df
-    place = max(df.columns, key=len) + "_"  # not a column of df
-    chosen = df.withColumn(place, F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64(place), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return chosen.drop(place).limit(2 * most)
+    h = max(df.columns, key=len) + "_"  # not a column of df
+    hashed = df.withColumn(h, F.xxhash64(*df.columns))
+    distinct = hashed.agg(F.approx_count_distinct(h, 0.01)).first()[0]
+    at = len(df.columns)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            hashes = b.column(at).to_pylist()
+            first = [k not in seen and not seen.add(k) for k in hashes]
+            yield b.filter(pa.array(first, pa.bool_()))
+
+    share = min(1.0, most / max(1, distinct))
+    chosen = hashed.filter(F.pmod(F.xxhash64(h), F.lit(1 << 30)) < int((1 << 30) * share))
+    return chosen.mapInArrow(once, chosen.schema).dropDuplicates([h]).drop(h)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

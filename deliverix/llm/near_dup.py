@@ -16,8 +16,8 @@ main component is a task, so that no pair is left out and no task has more than
 
 Defined results: null or blank texts have an empty set, no links, and are kept; a null doc_id is the
 smallest of ids and names no document: rows that have it are told apart by their texts, and a component that
-one leads has a null component_id; of rows with one doc_id and several texts each is linked and kept by its own
-text, the least text hash leading; repeated rows are copies of each other; an empty table gives no rows.
+one leads has a null component_id, and kept is null there; of rows with one doc_id and several texts each is linked by its own
+text, and the least text hash leads; repeated rows are copies of each other; an empty table gives no rows.
 Other columns are not read.
 """
 
@@ -316,13 +316,13 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id), and leads (whether the row stays as the one of its component, or is blank) for every row of docs(doc_id, text)."""
     base, found, _ = grouped(docs)
     out = base.select("doc_id", "n_shingles", "th", "digest").join(found, "digest", "left")
     empty = F.col("digest").isNull()
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = empty | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("lead")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    leads = empty | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("lead")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), leads.alias("leads")).withColumn("kept", F.col("doc_id") == F.col("component_id")).select("doc_id", "n_shingles", "component_id", "kept", "leads")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("leads")
 
 
 ORACLE_SQL = r"""

@@ -37,7 +37,7 @@ from deliverix.llm.common import bounded_sample, small_batches, stored, table
 from deliverix.llm.tokens import gather
 
 K, EVERY = 20, 20
-#: Vectors that the rotation is learned from (about), and of these the queries that set the radius.
+#: Distinct vectors that the rotation is learned from (about), and of these the queries that set the radius.
 SAMPLE, PROBES = 8000, 400
 #: Bits of a code (the least multiple of the vectors' length that has as many), those of a substring (its table has
 #: 2 ** WIDTH values), and the share of neighbours that the radius holds in the sample.
@@ -200,7 +200,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     main = sound.filter(F.size("v") == most.d)
-    model = learn(np.stack(bounded_sample(main.select("v"), SAMPLE).toPandas().v))
+    sample = np.stack(bounded_sample(main.select("v"), SAMPLE).toPandas().v)
+    model = learn(sample[np.lexsort(sample.T)])  # in an order of its own
     best = _best_of_blocks(main, most.n, most.m, model, k)
     n, m = sound.agg(F.count("*"), F.count_if("query")).first()
     if n > most.n:

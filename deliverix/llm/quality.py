@@ -178,8 +178,10 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05, ridg
         dets.append(2 * np.log(np.diag(low)).sum())
     model = Discriminant(means, np.array(factors), np.array(dets), float(n[1] / n.sum()))
     some = bounded_sample(rows.select("label", "f"), CALIBRATION_ROWS).toPandas()
-    z = model.difference(np.stack(some.f))
-    z, y = np.sign(z) * np.log1p(np.abs(z)), some.label.to_numpy(float)
+    f, y = np.stack(some.f), some.label.to_numpy(float)
+    order = np.lexsort((y, *f.T))
+    z, y = model.difference(f[order]), y[order]
+    z = np.sign(z) * np.log1p(np.abs(z))
     model.slope, model.offset = logistic_map(z, y)
     return model
 
@@ -193,7 +195,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are predicted to be of label 1. Statistics are computed for the training rows, and once for every row."""
     small_batches(docs.sparkSession)
-    known = F.broadcast(training_labels(labels))  # at most twice TRAINING_LABELS rows of two numbers
+    known = F.broadcast(training_labels(labels))  # about TRAINING_LABELS rows of two numbers
     rows = stored(statistics(docs.select("doc_id", "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")), "quality-statistics")
     model = fit(rows.join(known, "doc_id"))
     return keep_rows(docs, lambda texts: model.score(np.array([_statistics(t) for t in texts]).reshape(-1, len(NAMES))) >= THRESHOLD)

@@ -25,7 +25,7 @@ from deliverix.llm.common import bounded_sample, held_out, keep_rows, mix, small
 
 #: predicted is 1 from this score on.
 THRESHOLD = 0.5
-#: Rows of the training samples (about; twice as many at most, however often a doc_id is repeated) and bound of the features.
+#: Distinct rows of the training samples (about) and bound of the features.
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2048
 #: Tasks that compute the features of the sample.
 SAMPLE_TASKS = 16
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
     if not share:
         return None
     confirmed = bounded_sample(known.filter("toxic = 1").select("doc_id").distinct(), POSITIVES)
-    some = stored(confirmed, "toxicity-sample")  # at most twice POSITIVES ids
+    some = stored(confirmed, "toxicity-sample")  # about POSITIVES ids
     positive = bounded_sample(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi"), POSITIVES).withColumn("positive", F.lit(1))
     others = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     other = bounded_sample(others, UNLABELLED).withColumn("positive", F.lit(0))
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
             sets = [s.view(np.int64) for _, s in _sets(text_bytes(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["positive", "f"])
 
-    chosen = positive.unionAll(other).select("positive", "text").repartition(SAMPLE_TASKS)  # at most twice POSITIVES + UNLABELLED rows
+    chosen = positive.unionAll(other).select("positive", "text").repartition(SAMPLE_TASKS)  # about POSITIVES + UNLABELLED rows
     rows = stored(chosen.mapInArrow(run, "positive int, f array<long>"), "toxicity-features")
     n = {r.positive: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
     matrix = {}
     for k, lists in x.items():
         matrix[k] = np.zeros((len(lists), len(features)), np.float32)
-        for i, at in enumerate(lists):
+        for i, at in enumerate(sorted(lists)):  # sums of floats depend on the order
             matrix[k][i, at] = 1
     weights, offset = non_negative_fit(matrix[1], matrix[0], float(share))
     return PositiveUnlabelled(features, weights, offset)

@@ -209,12 +209,50 @@ def test_neighbours_of_many_repeated_rows(spark):
     assert all(abs(x.score - 0.6) < 1e-12 for x in got)
 
 
-def test_samples_of_repeated_rows(spark):
+def test_samples_depend_on_the_rows_alone(spark):
     from deliverix.llm.common import bounded_sample
 
-    df = spark.range(50_000).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"))
-    n = bounded_sample(df, 3000).count()
-    assert 2500 <= n <= 6000 and bounded_sample(df.limit(10), 3000).count() == 10
+    same = spark.range(25_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    assert bounded_sample(same, 3000).count() == 1 and bounded_sample(same.limit(0), 3000).count() == 0
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    some = {tuple(r) for r in bounded_sample(many, 3000).collect()}
+    assert 2700 <= len(some) <= 3300 and bounded_sample(many, 30_000).count() == 20_000
+    for other in (many.repartition(7).unionAll(same), many.orderBy(F.desc("text")).unionAll(many), many.repartition(37, "doc_id").coalesce(2)):
+        got = [tuple(r) for r in bounded_sample(other, 3000).collect()]
+        assert len(got) == len(set(got)) and len(some & set(got)) > 0.98 * len(some)  # one distinct row more moves the share a little
+    assert {tuple(r) for r in bounded_sample(many.unionAll(many), 3000).collect()} == some
+
+
+@pytest.fixture(scope="module")
+def dealt(spark, tmp_path_factory):
+    """The tables of sf0.01 as one file each, and as 37 files in another order."""
+    folders = []
+    for files in (1, 37):
+        where = str(tmp_path_factory.mktemp(f"dealt{files}"))
+        for t in ("documents", "labels", "embeddings"):
+            df = spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+            (df.coalesce(1) if files == 1 else df.repartition(37)).write.parquet(f"{where}/{t}.parquet")
+        folders.append(where)
+    return folders
+
+
+@pytest.mark.parametrize("query", ["op6_quality", "op9_nearest", "op10_toxicity"])
+def test_results_do_not_depend_on_files_and_splits(spark, dealt, monkeypatch, query):
+    """Samples smaller than the tables, for several files and split sizes."""
+    from deliverix.llm import queries
+
+    for module, name, most in ((quality, "TRAINING_LABELS", 200), (quality, "CALIBRATION_ROWS", 100), (toxicity, "POSITIVES", 20), (toxicity, "UNLABELLED", 300), (neighbours, "SAMPLE", 200)):
+        monkeypatch.setattr(module, name, most)
+    found = []
+    try:
+        for folder, split in ((dealt[0], "128m"), (dealt[0], "64k"), (dealt[1], "128m"), (dealt[1], "64k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            df = queries.queries()[query](spark, folder)
+            rows = [tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect()]
+            found.append(sorted(rows))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(rows == found[0] for rows in found[1:])
 
 
 def test_index_recall_on_the_given_vectors(spark):
