@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +22,8 @@ from deliverix.functions.scalars import branch_line_id
 from deliverix.operators.ordering import CHUNK, SECONDS, number_rows
 
 STRATEGIES = ("top", "reverse", "narrow", "stop")
+#: Chunks of a skeleton that are one chunk of the next.
+WIDER = 16
 
 
 def new_path(spark: SparkSession) -> str:
@@ -67,60 +72,87 @@ def default_branch(refs: DataFrame) -> DataFrame:
     return found.select("repo_slug", "r.ref_name", "r.tip_sha")
 
 
-def _strides(commits: DataFrame, edges: DataFrame) -> list[DataFrame]:
-    """(repo_slug, sha, up) for first parents 1, 2, 4, ... generations up, within the snapshot."""
-    known = commits.select("repo_slug", F.col("sha").alias("up"))
-    first = edges.filter("parent_ord = 0").select("repo_slug", F.col("child_sha").alias("sha"), F.col("parent_sha").alias("up"))
-    strides = [_stored(first.join(known, ["repo_slug", "up"], "left_semi").select("repo_slug", "sha", "up"))]
-    for _ in range(40):
-        last = strides[-1]
-        nxt = _stored(last.alias("a").join(last.alias("b"), (F.col("a.repo_slug") == F.col("b.repo_slug")) & (F.col("a.up") == F.col("b.sha"))).select("a.repo_slug", "a.sha", F.col("b.up").alias("up")))
-        if nxt.isEmpty():
-            break
-        strides.append(nxt)
-    return strides
+def _placed(commits: DataFrame) -> DataFrame:
+    """repo_slug, sha and chunk of each commit: of its log ordinal, else of its time, the newest having the least."""
+    place = [F.floor(F.col("log_ordinal") / CHUNK)] if "log_ordinal" in commits.columns else []
+    return _stored(commits.select("repo_slug", "sha", F.coalesce(*place, -F.floor(F.col("committed_at") / SECONDS)).alias("chunk")).dropDuplicates(["repo_slug", "sha"]))
+
+
+def _links(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges between commits of the snapshot, with the chunks of both ends: repo_slug, chunk, sha, parent_sha, parent_ord, to."""
+    ends = known.select("repo_slug", F.col("sha").alias("parent_sha"), F.col("chunk").alias("to"))
+    links = edges.select("repo_slug", F.col("child_sha").alias("sha"), "parent_sha", "parent_ord").join(ends, ["repo_slug", "parent_sha"]).join(known, ["repo_slug", "sha"])
+    return _stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "parent_ord", "to"))
+
+
+def _by_chunk(entries: DataFrame, links: DataFrame, walk: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """walk(key, entries, links) for every chunk that has entries, a task each."""
+    inner = links.join(entries.select("repo_slug", "chunk").distinct(), ["repo_slug", "chunk"], "left_semi")
+    return _stored(entries.groupBy("repo_slug", "chunk").cogroup(inner.groupBy("repo_slug", "chunk")).applyInArrow(walk, schema))
+
+
+def _parents(inner: pa.Table) -> dict[str, list[tuple[str, int]]]:
+    parents: dict[str, list[tuple[str, int]]] = {}
+    for sha, parent, to in zip(*(inner.column(c).to_pylist() for c in ("sha", "parent_sha", "to"))):
+        parents.setdefault(sha, []).append((parent, to))
+    return parents
+
+
+def _filled(key: tuple, entries: pa.Table, inner: pa.Table) -> pa.Table:
+    """All commits of a chunk that its entries reach within it."""
+    own, parents = key[1].as_py(), _parents(inner)
+    seen = set(todo := entries.column("sha").to_pylist())
+    while todo:
+        new = [p for p, to in parents.get(todo.pop(), ()) if to == own and p not in seen]
+        seen.update(new)
+        todo += new
+    return pa.table({"repo_slug": pa.array([key[0].as_py()] * len(seen), pa.string()), "sha": pa.array(list(seen), pa.string())})
+
+
+def _skeleton(key: tuple, entries: pa.Table, inner: pa.Table) -> pa.Table:
+    """The next entries, of this or other chunks, that each entry of a chunk reaches without passing another."""
+    own, parents = key[1].as_py(), _parents(inner)
+    stops = set(entries.column("sha").to_pylist())
+    rows = []
+    for entry in stops:
+        seen, todo, next_ = {entry}, [entry], set()
+        while todo:
+            for p, to in parents.get(todo.pop(), ()):
+                if to != own or p in stops:
+                    next_.add((p, to))
+                elif p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        rows += [(entry, p, to) for p, to in next_ if p != entry]
+    sha, parent, to = zip(*rows) if rows else ((), (), ())
+    n = len(rows)
+    columns = {"repo_slug": pa.array([key[0].as_py()] * n, pa.string()), "chunk": pa.array([own] * n, pa.int64())}
+    return pa.table(columns | {"sha": pa.array(sha, pa.string()), "parent_sha": pa.array(parent, pa.string()), "to": pa.array(to, pa.int64())})
+
+
+def _reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(repo_slug, sha) that seeds(repo_slug, sha, chunk) reach by links(repo_slug, chunk, sha, parent_sha, to)."""
+    crossing = links.filter("to != chunk")
+    if crossing.isEmpty():
+        return _by_chunk(seeds, links, _filled, "repo_slug string, sha string")
+    entries = _stored(seeds.unionByName(crossing.select("repo_slug", F.col("parent_sha").alias("sha"), F.col("to").alias("chunk"))).distinct())
+    inner = _by_chunk(entries, links, _skeleton, "repo_slug string, chunk long, sha string, parent_sha string, to long")
+    wide = lambda df, *names: df.withColumns({n: F.floor(F.col(n) / WIDER) for n in names})
+    reached = _reach(wide(inner, "chunk", "to"), wide(seeds, "chunk"))
+    return _by_chunk(_stored(entries.join(reached, ["repo_slug", "sha"], "left_semi")), links, _filled, "repo_slug string, sha string")
 
 
 def reachable_from(tips: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_slug, sha) of the commits of the snapshot that tips(repo_slug, tip_sha) reach by any parents.
 
-    A repository's log is cut into chunks (by log_ordinal, else by committed_at). A round walks the chunks that were newly
-    entered, each in one task that holds its commits and parents, and hands on the parents that lie in other chunks.
-    Rounds count the chunks of the longest history, not its commits; most repositories are one chunk.
+    A repository's log is cut into chunks. One pass over the chunks, a task each, makes a skeleton: the commits at which chunks are entered, and
+    which of them follow each other. The skeleton has wider chunks and is reduced in the same way, until nothing crosses chunks; then
+    the way back fills each chunk from those of its entries that are reached. So the passes grow with the logarithm of the
+    chunks of the longest history; a repository of one chunk takes one.
     """
-    place = [F.floor(F.col("log_ordinal") / CHUNK)] if "log_ordinal" in commits.columns else []
-    known = _stored(commits.select("repo_slug", "sha", F.coalesce(*place, -F.floor(F.col("committed_at") / SECONDS)).alias("chunk")).dropDuplicates(["repo_slug", "sha"]))
-    ends = known.select("repo_slug", F.col("sha").alias("parent_sha"), F.col("chunk").alias("to"))
-    links = edges.select("repo_slug", F.col("child_sha").alias("sha"), "parent_sha").join(ends, ["repo_slug", "parent_sha"]).join(known, ["repo_slug", "sha"])
-    links = _stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "to"))
-
-    def walk(key: tuple, entries: pa.Table, inner: pa.Table) -> pa.Table:
-        own = key[1].as_py()
-        parents: dict[str, list[tuple[str, int]]] = {}
-        for sha, parent, to in zip(*(inner.column(c).to_pylist() for c in ("sha", "parent_sha", "to"))):
-            parents.setdefault(sha, []).append((parent, to))
-        seen, out = set(todo := entries.column("sha").to_pylist()), set()
-        while todo:
-            for parent, to in parents.get(todo.pop(), ()):
-                if to != own:
-                    out.add((parent, to))
-                elif parent not in seen:
-                    seen.add(parent)
-                    todo.append(parent)
-        rows = [(s, own) for s in seen] + list(out)
-        n = len(rows)
-        return pa.table({"repo_slug": pa.array([key[0].as_py()] * n, pa.string()), "sha": [r[0] for r in rows], "chunk": pa.array([r[1] for r in rows], pa.int64()), "inside": [True] * len(seen) + [False] * len(out)})
-
-    schema = "repo_slug string, sha string, chunk long, inside boolean"
-    new = _stored(tips.select("repo_slug", F.col("tip_sha").alias("sha")).distinct().join(known, ["repo_slug", "sha"]))
-    rounds, entered = [], new
-    while not new.isEmpty():
-        inner = links.join(new.select("repo_slug", "chunk").distinct(), ["repo_slug", "chunk"], "left_semi")
-        found = _stored(new.groupBy("repo_slug", "chunk").cogroup(inner.groupBy("repo_slug", "chunk")).applyInArrow(walk, schema))
-        rounds.append(found.filter("inside").select("repo_slug", "sha"))
-        new = _stored(found.filter("not inside").select("repo_slug", "sha", "chunk").distinct().join(entered, ["repo_slug", "sha"], "left_anti"))
-        entered = entered.unionAll(new)
-    return reduce(DataFrame.unionAll, rounds).distinct() if rounds else new.select("repo_slug", "sha")
+    known = _placed(commits)
+    seeds = _stored(tips.select("repo_slug", F.col("tip_sha").alias("sha")).distinct().join(known, ["repo_slug", "sha"]).select("repo_slug", "sha", "chunk"))
+    return _reach(_links(known, edges), seeds)
 
 
 def squash_commits(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,72 +160,109 @@ def squash_commits(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> Dat
     return commits.join(reachable_from(default_branch(refs), commits, edges), ["repo_slug", "sha"], "left_semi")
 
 
-def first_parent_chains(commits: DataFrame, edges: DataFrame, strides: list[DataFrame] | None = None) -> DataFrame:
-    """For each commit, its first-parent root in the snapshot and its depth above it: the longest strides first.
+_LINE = "merge string, ord int, start string, key array<long>"
+_FOUND = f"repo_slug string, chunk long, what string, sha string, {_LINE}, at long, to long"
 
-    Commits with one root form a tree; a commit x is on the chain of y if both have the root and x is an
-    ancestor of y at depth(x).
-    """
-    strides = _strides(commits, edges) if strides is None else strides
-    at = commits.select("repo_slug", "sha", F.col("sha").alias("root"), F.lit(0).cast("long").alias("depth"))
-    for k in range(len(strides) - 1, -1, -1):
-        step = strides[k].select("repo_slug", F.col("sha").alias("root"), "up")
-        at = at.join(step, ["repo_slug", "root"], "left").select(
-            "repo_slug", "sha", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("depth")
-        )
-    return _stored(at)
 
+def _claimer(strategy: str) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Walks the lines of a chunk in order of their keys, so that each commit goes to the line that comes to it first."""
 
-def _walk(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame]:
-    """Lines and claims, as a fixpoint: claims follow from the lines' keys, keys from the claims.
-
-    Claims are pushed down first parents level by level in doubling strides: stride s holds, for each commit,
-    its first parent s generations up, and the least key at a commit is handed to all strides in turn.
+    def walk(key: tuple, entries: pa.Table, inner: pa.Table) -> pa.Table:
+        repo, own = key[0].as_py(), key[1].as_py()
+        first: dict[str, tuple[str, int]] = {}
+        further: dict[str, list[tuple[int, str, int]]] = {}
+        for sha, parent, ord_, to in zip(*(inner.column(c).to_pylist() for c in ("sha", "parent_sha", "parent_ord", "to"))):
+            if ord_ == 0:
+                first[sha] = (parent, to)
+            elif strategy != "stop":
+                further.setdefault(sha, []).append((ord_, parent, to))
+        sign = -1 if strategy == "reverse" else 1
+        waiting: list[tuple] = []
+        number = count()
+
+        def wait(line: tuple[str, int, str], order: tuple[int, ...], at: int, sha: str) -> None:
+            heappush(waiting, (len(order) if strategy == "narrow" else 0, order, at, next(number), line, sha))
+
+        for row in entries.select(["merge", "ord", "start", "key", "at", "sha"]).to_pylist():
+            wait((row["merge"], row["ord"], row["start"]), tuple(row["key"]), row["at"], row["sha"])
+        owner: dict[str, tuple] = {}
+        out: list[tuple] = []
+        while waiting:
+            _, order, at, _, line, sha = heappop(waiting)
+            while sha not in owner:
+                owner[sha] = line
+                out.append(("claim", sha, *line, None, at, own))
+                for ord_, parent, to in further.get(sha, ()):
+                    below, sub = (*order, sign * at, ord_), (sha, ord_, parent)
+                    out.append(("line", parent, *sub, below, 0, to))
+                    if to == own:
+                        wait(sub, below, 0, parent)
+                after = first.get(sha)
+                if after is None:
+                    break
+                sha, at = after[0], at + 1
+                if after[1] != own:
+                    out.append(("on", sha, *line, order, at, after[1]))
+                    break
+        n = len(out)
+        columns = zip(*out) if out else [()] * 8
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        names = ["what", "sha", "merge", "ord", "start", "key", "at", "to"]
+        found = {k: pa.array(c, kind) for k, c, kind in zip(names, columns, kinds)}
+        table = pa.table({"repo_slug": pa.array([repo] * n, pa.string()), "chunk": pa.array([own] * n, pa.int64())} | found)
+        return table
+
+    return walk
+
+
+def _walk(known: DataFrame, links: DataFrame, roots: DataFrame, strategy: str, watch: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines (merge, ord, start, key) and claims (sha, merge, ord, start, i).
+
+    Chunks of the log are walked, a task each, from the lines that enter them. A line that goes on in another chunk, or starts there, is an entry of that.
+    A round walks the chunks whose entries have changed, and no others, until none has. What a chunk finds follows from lines with lesser keys alone
+    (or from newer parts of the same line), so that there is one end, and it is that of the walk of one line after the other; how deeply
+    lines are nested adds no rounds, but for lines that pass to and fro between chunks.
     """
-    known = commits.select("repo_slug", "sha")
-    strides = _strides(commits, edges)
-    depth = first_parent_chains(commits, edges, strides).select("repo_slug", "sha", "depth")
-    rank = F.struct(F.size("key").alias("level"), F.col("key")) if strategy == "narrow" else F.struct(F.lit(0).alias("level"), F.col("key"))
-    joins = edges.filter("parent_ord > 0").join(known.withColumnRenamed("sha", "parent_sha"), ["repo_slug", "parent_sha"], "left_semi")
-
-    start_of = roots.select("repo_slug", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("tip_sha").alias("start"), F.array().cast("array<long>").alias("key"))
-    lines = _stored(start_of)
-    while True:
-        least = F.min(F.struct(rank.alias("rank"), "key", "merge", "ord", "start")).alias("line")
-        claim = _stored(lines.withColumn("sha", F.col("start")).groupBy("repo_slug", "sha").agg(least))
-        for i, stride in enumerate(strides):
-            both = F.explode(F.array(F.col("sha"), F.col("up")))
-            handed = claim.join(stride, ["repo_slug", "sha"], "left").select("repo_slug", both.alias("sha"), "line").filter("sha is not null")
-            claim = handed.groupBy("repo_slug", "sha").agg(F.min("line").alias("line"))
-            claim = _stored(claim) if i % 4 == 3 or i == len(strides) - 1 else claim
-        deep = depth.withColumnRenamed("sha", "start").withColumnRenamed("depth", "start_depth")
-        placed = claim.select("repo_slug", "sha", "line.key", "line.merge", "line.ord", "line.start").join(depth, ["repo_slug", "sha"]).join(deep, ["repo_slug", "start"])
-        sizes = placed.groupBy("repo_slug", "merge", "ord").agg(F.max(F.col("start_depth") - F.col("depth")).alias("last"))
-        placed = placed.join(sizes, ["repo_slug", "merge", "ord"]).withColumn("i", F.col("start_depth") - F.col("depth"))
-        claims = _stored(placed.select("repo_slug", "sha", "key", "merge", "ord", "start", "i", (F.col("last") + 1).alias("n")))
-        if strategy == "stop":
-            return lines, claims
-        position = F.col("n") - 1 - F.col("i") if strategy == "reverse" else F.col("i")
-        subs = joins.join(claims.select("repo_slug", F.col("sha").alias("child_sha"), "key", position.alias("at")), ["repo_slug", "child_sha"])
-        subs = subs.select("repo_slug", F.col("child_sha").alias("merge"), F.col("parent_ord").alias("ord"), F.col("parent_sha").alias("start"), F.concat("key", F.array(F.col("at"), F.col("parent_ord").cast("long"))).alias("key"))
-        after = _stored(start_of.unionAll(subs))
-        same = after.count() == lines.count() and after.exceptAll(lines).isEmpty()
-        lines = after
-        if same:
-            return lines, claims
-
-
-def branch_lines(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str = "top") -> tuple[DataFrame, DataFrame]:
+    lines = roots.select("repo_slug", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("tip_sha").alias("start"), F.array().cast("array<long>").alias("key"))
+    tips = known.withColumnRenamed("sha", "start")
+    columns = ["repo_slug", "source", "chunk", "sha", "merge", "ord", "start", "key", "at"]
+    entries = _stored(lines.join(tips, ["repo_slug", "start"]).withColumns({"source": F.lit(None).cast("long"), "sha": F.col("start"), "at": F.lit(0).cast("long")}).select(*columns))
+    todo = entries.select("repo_slug", "chunk").distinct()
+    rounds: list[DataFrame] = []
+    ran: list[DataFrame] = []
+    while not (todo := _stored(todo)).isEmpty():
+        if watch:
+            watch(todo.count())
+        ran.append(todo.withColumn("round", F.lit(len(ran))))
+        found = _by_chunk(entries.join(todo, ["repo_slug", "chunk"], "left_semi"), links, _claimer(strategy), _FOUND)
+        rounds.append(found.withColumn("round", F.lit(len(rounds))))
+        source = todo.withColumnRenamed("chunk", "source")
+        before = entries.join(source, ["repo_slug", "source"], "left_semi").select(*columns)
+        now = found.filter("what != 'claim' and to != chunk").select("repo_slug", F.col("chunk").alias("source"), F.col("to").alias("chunk"), *columns[3:])
+        signed = now.withColumn("sign", F.lit(1)).unionAll(before.withColumn("sign", F.lit(-1)))
+        todo = signed.groupBy(*columns).agg(F.sum("sign").alias("sign")).filter("sign != 0").select("repo_slug", "chunk").distinct()
+        entries = _stored(entries.join(source, ["repo_slug", "source"], "left_anti").select(*columns).unionAll(now))
+    if not rounds:
+        return lines, known.limit(0).select("repo_slug", "sha", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("sha").alias("start"), F.col("chunk").alias("i"))
+    last = reduce(DataFrame.unionAll, ran).groupBy("repo_slug", "chunk").agg(F.max("round").alias("round"))
+    every = reduce(DataFrame.unionAll, rounds).join(last, ["repo_slug", "chunk", "round"], "left_semi")
+    lines = lines.unionAll(every.filter("what = 'line'").select("repo_slug", "merge", "ord", "start", "key"))
+    return lines, every.filter("what = 'claim'").select("repo_slug", "sha", "merge", "ord", "start", F.col("at").alias("i"))
+
+
+def branch_lines(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str = "top", watch: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """All lines of the trees below roots(repo_slug, tip_sha), and their commits.
 
     A line starts at the root, or at a further parent of a merge that another line claims, and follows first
     parents as far as nobody has claimed them; its departure is the first commit that was. Returns
     lines (repo_slug, line_id, merge, start, departure, commit_count, key) and commits (repo_slug, line_id,
-    sha, pos), pos 0 being the newest. Line order is that of the key: arrays for top and reverse, level first for narrow.
+    sha, pos), pos 0 being the newest. Line order is that of the key: arrays for top and reverse, level first for narrow. A key has the
+    place of the merge in its line (negative for reverse) and the parent's number, for each level. watch is told how many chunks each round walks.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
-    found, claims = _walk(commits, edges, roots, strategy)
+    placed = _placed(commits)
+    found, claims = _walk(placed, _links(placed, edges), roots, strategy, watch)
     keys = ["repo_slug", "merge", "ord", "start"]
     first = edges.filter("parent_ord = 0").select("repo_slug", F.col("child_sha").alias("_last"), F.col("parent_sha").alias("departure"))
     known = commits.select("repo_slug", F.col("sha").alias("departure"))

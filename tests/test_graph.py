@@ -1,6 +1,7 @@
 """Branch lines against a sequential walk of random graphs, phases, reachability and displays."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ def walk(root, parents, strategy):
     """Lines (merge, ord, start, commits, departure) as one pass after the other would find them."""
     seen, lines = set(), []
 
+    sys.setrecursionlimit(100_000)
+
     def line(merge, ord_, start):
         commits, at = [], start
         while at is not None and at not in seen:
@@ -62,20 +65,26 @@ def graphs(spark):
     return made, spark.createDataFrame(commits, COMMITS), spark.createDataFrame(edges, EDGES), spark.createDataFrame(roots, "repo_slug string, tip_sha string")
 
 
-@pytest.mark.parametrize("strategy", graph.STRATEGIES)
-def test_branch_lines(graphs, strategy):
-    made, commits, edges, roots = graphs
-    lines, members = graph.branch_lines(commits, edges, roots, strategy)
-    got = {}
-    own = {}
+def found_lines(lines, members, number=lambda v: None if v is None else int(v)):
+    """Lines of each repository as walk() has them."""
+    got, own = {}, {}
     for m in members.collect():
-        own.setdefault((m.repo_slug, m.line_id), {})[m.pos] = int(m.sha)
+        own.setdefault((m.repo_slug, m.line_id), {})[m.pos] = number(m.sha)
     for x in lines.collect():
         c = own.get((x.repo_slug, x.line_id), {})
-        number = lambda v: None if v is None else int(v)
-        got.setdefault(x.repo_slug, []).append((number(x.merge), (x.key[-1] if x.key else 0), int(x.start), tuple(c[i] for i in range(len(c))), number(x.departure)))
+        got.setdefault(x.repo_slug, []).append((number(x.merge), (x.key[-1] if x.key else 0), number(x.start), tuple(c[i] for i in range(len(c))), number(x.departure)))
+    return got
+
+
+@pytest.mark.parametrize(("strategy", "chunk"), [*((k, 1 << 18) for k in graph.STRATEGIES), *((k, 3) for k in graph.STRATEGIES)])
+def test_branch_lines(graphs, monkeypatch, strategy, chunk):
+    made, commits, edges, roots = graphs
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    walked = []
+    got = found_lines(*graph.branch_lines(commits, edges, roots, strategy, watch=walked.append))
     for r, (n, parents) in made.items():
         assert sorted(got[r], key=str) == walk(n - 1, parents, strategy), (r, strategy)
+    assert walked[-1] < walked[0] or len(walked) == 1  # rounds walk what has changed
 
 
 def test_unknown_strategy(graphs):
@@ -84,6 +93,54 @@ def test_unknown_strategy(graphs):
         graph.branch_lines(commits, edges, roots, "sideways")
 
 
+@pytest.mark.parametrize("strategy", graph.STRATEGIES)
+def test_branch_lines_of_the_given_tables(spark, monkeypatch, strategy):
+    """All commits of sf0.01, in 16 chunks, against the sequential walk."""
+    from deliverix import catalog
+    from deliverix.plans import views
+
+    monkeypatch.setattr(graph, "CHUNK", 1000)
+    commits = views.commits_orders(spark, "/root/testdata/sf0.01")
+    edges = views.edges_orders(commits)
+    parents = {}
+    for c in commits.select("repo_slug", "sha").collect():
+        parents.setdefault(c.repo_slug, {})[c.sha] = []
+    for e in sorted(edges.collect(), key=lambda e: e.parent_ord):
+        known = parents[e.repo_slug][e.child_sha]
+        known += [None] * (e.parent_ord - len(known)) + [e.parent_sha]  # the first parent may be beyond the end of the history
+    walked = []
+    lines, members = graph.branch_lines(commits, edges, catalog._tips(commits), strategy, watch=walked.append)
+    got = found_lines(lines, members, number=lambda v: v)
+    for tip in catalog._tips(commits).collect():
+        assert sorted(got[tip.repo_slug], key=str) == walk(tip.tip_sha, parents[tip.repo_slug], strategy)
+    assert sum(walked) < 3 * 16 and walked[-1] <= walked[0]
+
+
+def test_deeply_nested_lines(spark):
+    """100,000 commits, 1,000 levels: each line is merged into the line before it."""
+    levels, size = 1000, 100
+    name = lambda level, k: f"{level}_{k}"
+    commits = [("r", name(v, k), 0, v * size + k) for v in range(levels) for k in range(size)]
+    edges = [("r", name(v, k), name(v, k + 1), 0) for v in range(levels) for k in range(size - 1)]
+    edges += [("r", name(v, 3), name(v + 1, 0), 1) for v in range(levels - 1)]
+    frame = spark.createDataFrame(commits, COMMITS)
+    lines, members = graph.branch_lines(frame, spark.createDataFrame(edges, EDGES), spark.createDataFrame([("r", name(0, 0))], "repo_slug string, tip_sha string"))
+    got = {x.start: (x.commit_count, len(x.key)) for x in lines.collect()}
+    assert got == {name(v, 0): (size, 2 * v) for v in range(levels)} and members.count() == levels * size
+
+
+def test_passes_do_not_grow_with_the_history(spark, monkeypatch):
+    """A straight history of 256 chunks is reached by way of three skeletons."""
+    monkeypatch.setattr(graph, "CHUNK", 8)
+    n, passes = 2048, []
+    monkeypatch.setattr(graph, "_by_chunk", lambda *a, run=graph._by_chunk: passes.append(a) or run(*a))
+    commits = spark.createDataFrame([("r", str(i), 0, i) for i in range(n)], COMMITS)
+    edges = spark.createDataFrame([("r", str(i), str(i + 1), 0) for i in range(n - 1)], EDGES)
+    tips = spark.createDataFrame([("r", "5")], "repo_slug string, tip_sha string")
+    assert {int(x.sha) for x in graph.reachable_from(tips, commits, edges).collect()} == set(range(5, n))
+    assert len(passes) <= 7
+
+
 @pytest.mark.parametrize("chunk", [1 << 18, 4])
 def test_reachable(graphs, monkeypatch, chunk):
     monkeypatch.setattr(graph, "CHUNK", chunk)
