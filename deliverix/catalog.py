@@ -198,22 +198,114 @@ _edged(
     """, reach AS (SELECT repo_slug, sha FROM commits WHERE log_ordinal = 1
       UNION SELECT r.repo_slug, e.parent_sha FROM reach r JOIN edges e ON e.repo_slug = r.repo_slug AND e.child_sha = r.sha)""",
 )
-for _strategy in ("top", "reverse", "narrow", "stop"):
-    _edged(f"g3_branch_lines_{_strategy}", lambda c, e, k=_strategy: graph.branch_lines(c, e, _tips(c), k)[0].withColumn("key", F.concat_ws(".", F.transform("key", lambda x: x.cast("string")))))
-_edged("g9_materialize_branch_lines", lambda c, e: graph.materialize_branch_lines(c, e, _tips(c)))
-_edged("a14_branch_cycle_summary", lambda c, e: graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c))))
+
+def _walk_sql(strategy: str) -> str:
+    """CTEs lines and members: a walk of one commit a step, with what has been claimed as bits and the lines that wait as a list. Commits are numbered as in the log."""
+    key = f"CASE w.key WHEN '' THEN '' ELSE w.key || '.' END || {'-' if strategy == 'reverse' else ''}w.pos || '.1'"
+    sub = f"CASE WHEN u.second IS NULL THEN [] ELSE [{{'merge': w.here, 'start': u.second, 'key': {key}}}] END"
+    subs = {"stop": "w.subs", "reverse": f"{sub} || w.subs"}.get(strategy, f"w.subs || {sub}")
+    queue = "w.waiting || w.subs" if strategy == "narrow" else "w.subs || w.waiting"
+    pending = "STRUCT(merge BIGINT, start BIGINT, key VARCHAR)[]"
+    return f""",
+ends AS (SELECT e.repo_slug, e.child_sha AS sha, e.parent_ord, p.log_ordinal AS idx FROM edges e JOIN commits p ON p.repo_slug = e.repo_slug AND p.sha = e.parent_sha),
+up AS (SELECT c.repo_slug, c.log_ordinal AS idx, c.sha, max(e.idx) FILTER (parent_ord = 0) AS first, max(e.idx) FILTER (parent_ord = 1) AS second
+  FROM commits c LEFT JOIN ends e ON e.repo_slug = c.repo_slug AND e.sha = c.sha GROUP BY ALL),
+walk AS (
+  SELECT repo_slug, 0::BIGINT AS here, true AS fresh, NULL::BIGINT AS merge, 0::BIGINT AS start, '' AS key, 0::BIGINT AS pos, []::{pending} AS waiting, []::{pending} AS subs, repeat('0', count(*)::INT)::BIT AS seen
+  FROM commits GROUP BY repo_slug
+  UNION ALL
+  SELECT repo_slug, here, here IS NOT NULL AND get_bit(seen, coalesce(here, 0)::INT) = 0 AS fresh, merge, start, key, pos, waiting, subs, seen FROM (
+    SELECT w.repo_slug, CASE WHEN w.fresh THEN u.first ELSE q[1].start END AS here, CASE WHEN w.fresh THEN w.merge ELSE q[1].merge END AS merge, CASE WHEN w.fresh THEN w.start ELSE q[1].start END AS start,
+      CASE WHEN w.fresh THEN w.key ELSE q[1].key END AS key, CASE WHEN w.fresh THEN w.pos + 1 ELSE 0 END AS pos, CASE WHEN w.fresh THEN w.waiting ELSE q[2:] END AS waiting,
+      CASE WHEN w.fresh THEN {subs} ELSE [] END AS subs, CASE WHEN w.fresh THEN set_bit(w.seen, w.here::INT, 1) ELSE w.seen END AS seen
+    FROM (SELECT *, CASE WHEN fresh THEN [] ELSE {queue} END AS q FROM walk w) w LEFT JOIN up u ON u.repo_slug = w.repo_slug AND u.idx = w.here AND w.fresh
+    WHERE w.fresh OR len(q) > 0)
+),
+named AS (
+  SELECT w.*, c.sha, m.sha AS merge_sha, s.sha AS start_sha, CASE WHEN w.merge IS NULL THEN 0 ELSE 1 END AS ord,
+    sha256(concat_ws(chr(10), '{strategy}', w.repo_slug, coalesce(m.sha, ''), CASE WHEN w.merge IS NULL THEN 0 ELSE 1 END, s.sha)) AS line_id
+  FROM walk w LEFT JOIN up c ON c.repo_slug = w.repo_slug AND c.idx = w.here LEFT JOIN up m ON m.repo_slug = w.repo_slug AND m.idx = w.merge LEFT JOIN up s ON s.repo_slug = w.repo_slug AND s.idx = w.start
+),
+members AS (SELECT repo_slug, line_id, sha, pos FROM named WHERE fresh),
+lines AS (
+  SELECT n.repo_slug, n.line_id, n.merge_sha AS merge, n.start_sha AS start, d.sha AS departure, coalesce(m.k, 0) AS commit_count, n.key FROM named n
+  LEFT JOIN (SELECT line_id, count(*) AS k, arg_max(sha, pos) AS last FROM members GROUP BY ALL) m USING (line_id)
+  LEFT JOIN ends e ON e.repo_slug = n.repo_slug AND e.sha = m.last AND e.parent_ord = 0 LEFT JOIN up d ON d.repo_slug = n.repo_slug AND d.idx = e.idx
+  WHERE n.pos = 0
+)"""
+
+
+_TOP = _walk_sql("top")
+_PHASES = """,
+phases AS (
+  SELECT *, least(d_at, lo, m_at) AS start_at, lo - d_at AS ramp_seconds, hi - lo AS work_seconds, m_at - hi AS close_seconds,
+    CASE WHEN k + (d_at IS NOT NULL)::INT + (m_at IS NOT NULL)::INT > 1 THEN greatest(d_at, hi, m_at) - least(d_at, lo, m_at) END AS total_seconds
+  FROM (SELECT l.*, d.committed_at AS d_at, m.committed_at AS m_at FROM lines l LEFT JOIN commits d ON d.repo_slug = l.repo_slug AND d.sha = l.departure LEFT JOIN commits m ON m.repo_slug = l.repo_slug AND m.sha = l.merge)
+  LEFT JOIN (SELECT line_id, min(committed_at) AS lo, max(committed_at) AS hi, count(*) AS k FROM members JOIN commits USING (repo_slug, sha) GROUP BY ALL) USING (line_id)
+)"""
+_FIVE = "start_at, ramp_seconds, work_seconds, close_seconds, total_seconds"
+for _strategy in graph.STRATEGIES:
+    _edged(f"g3_branch_lines_{_strategy}", lambda c, e, k=_strategy: graph.branch_lines(c, e, _tips(c), k)[0].withColumn("key", F.concat_ws(".", F.transform("key", lambda x: x.cast("string")))), "SELECT * FROM lines", _walk_sql(_strategy))
+_MATERIAL = f"""SELECT repo_slug, 'default' AS dataset_id, sha256('top' || chr(10) || coalesce(merge, '') || chr(10) || start) AS branch_line_id, 'top' AS strategy, merge AS merge_sha, start AS root_sha,
+  departure AS departure_sha, commit_count, {_FIVE} FROM phases"""
+_edged("g9_materialize_branch_lines", lambda c, e: graph.materialize_branch_lines(c, e, _tips(c)), _MATERIAL, _TOP + _PHASES)
+_MEASURES = [(name, f.format(c), c) for name, f in (("p50", "median({})"), ("p75", "quantile_cont({}, 0.75)"), ("avg", "avg({})"), ("std", "stddev_samp({})")) for c in ("commits", "cycle", "close", "work")]
+_BUCKETS = f""",
+spans AS (SELECT *, row_number() OVER (PARTITION BY repo_slug ORDER BY {", ".join(f"{c} NULLS FIRST" for c in _FIVE.split(", "))}, branch_line_id) - 1 AS rn, count(*) OVER (PARTITION BY repo_slug) AS n
+  FROM ({_MATERIAL}) WHERE commit_count > 0 AND ramp_seconds <> 0),
+days AS (SELECT repo_slug, rn // greatest(1, n // 12) AS bucket, start_at, commit_count, commit_count::DOUBLE AS commits, floor(round(ramp_seconds / 86400, 2) / 2) AS half,
+  coalesce(round(total_seconds / 86400, 2), 0) - half AS cycle, round(close_seconds / 86400, 2) AS close, half + coalesce(round(work_seconds / 86400, 2), 0) AS work FROM spans),
+summary AS (SELECT repo_slug, bucket, min(start_at) AS interval_start, count(*) AS branches, sum(commit_count)::BIGINT AS total_commits,
+  {", ".join(f"round({f}, 2) AS {name}_{c}" for name, f, c in _MEASURES)} FROM days GROUP BY ALL)"""
+_two_places = lambda df: df.withColumns({n: F.round(F.col(n), 1) for n, kind in df.dtypes if kind == "double"})  # noqa: E731  a tie at the second place may fall to either side
+_even_places = f"repo_slug, bucket, interval_start, branches, total_commits, {', '.join(f'round({n}_{c}, 1) AS {n}_{c}' for n, _, c in _MEASURES)}"
+_edged("a14_branch_cycle_summary", lambda c, e: _two_places(graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c)))), f"SELECT {_even_places} FROM summary", _TOP + _PHASES + _BUCKETS)
 
 
 def _lines(f: Callable[..., DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return lambda c, e: f(*graph.branch_lines(c, e, _tips(c)), c, e)
 
 
-_edged("g4_branch_phases", _lines(lambda lines, members, c, e: graph.branch_phases(lines, members, c)))
-_edged("g5_line_order", _lines(lambda lines, members, c, e: graph.line_order(lines, "top").drop("key")))
-_edged("g7_line_nodes", _lines(lambda lines, members, c, e: graph.line_nodes(lines, members)))
-_edged("g8_commits_until_first_merge", lambda c, e: graph.line_commits_until_first_merge(graph.branch_lines(c, e, _tips(c), "reverse")[1], graph.link_children(c, e), "reverse"))
-_edged("g11_hidden_run_compression", _lines(lambda lines, members, c, e: graph.hidden_run_compression(lines, members)))
-_edged("o5_longest_branch_lines", _lines(lambda lines, members, c, e: graph.longest_branch_lines(lines).drop("key")))
+_edged("g4_branch_phases", _lines(lambda lines, members, c, e: graph.branch_phases(lines, members, c)), f"SELECT repo_slug, line_id, merge, departure, {_FIVE} FROM phases", _TOP + _PHASES)
+_edged(
+    "g5_line_order",
+    _lines(lambda lines, members, c, e: graph.line_order(lines, "top").drop("key")),
+    """SELECT * EXCLUDE (key, k), (len(k) // 2)::INT AS depth, row_number() OVER (PARTITION BY repo_slug ORDER BY len(k), k) - 1 AS place
+    FROM (SELECT *, CASE key WHEN '' THEN [] ELSE string_split(key, '.')::BIGINT[] END AS k FROM lines)""",
+    _TOP,
+)
+_edged(
+    "g7_line_nodes",
+    _lines(lambda lines, members, c, e: graph.line_nodes(lines, members)),
+    """SELECT repo_slug, line_id, 'merge' AS role, -1::BIGINT AS pos, merge AS sha FROM lines WHERE merge IS NOT NULL UNION ALL SELECT repo_slug, line_id, 'commit', pos, sha FROM members
+    UNION ALL SELECT repo_slug, line_id, 'departure', commit_count, departure FROM lines WHERE departure IS NOT NULL""",
+    _TOP,
+)
+_edged(
+    "g8_commits_until_first_merge",
+    lambda c, e: graph.line_commits_until_first_merge(graph.branch_lines(c, e, _tips(c), "reverse")[1], graph.link_children(c, e), "reverse"),
+    """SELECT repo_slug, line_id, sha, pos FROM (SELECT m.*, max(pos) FILTER (n > 1) OVER (PARTITION BY line_id) AS cut FROM members m
+      LEFT JOIN (SELECT repo_slug, parent_sha AS sha, count(*) AS n FROM edges GROUP BY ALL) USING (repo_slug, sha)) WHERE pos >= coalesce(cut, 0)""",
+    _walk_sql("reverse"),
+)
+_edged(
+    "g11_hidden_run_compression",
+    _lines(lambda lines, members, c, e: graph.hidden_run_compression(lines, members)),
+    """SELECT repo_slug, line_id, sha AS from_sha, to_sha, pos - to_pos - 1 AS hidden FROM (SELECT *, lead(sha) OVER w AS to_sha, lead(pos) OVER w AS to_pos FROM shown WINDOW w AS (PARTITION BY line_id ORDER BY pos DESC)) WHERE to_sha IS NOT NULL
+    UNION ALL SELECT l.repo_slug, l.line_id, departure, arg_max(m.sha, m.pos), 0 FROM lines l JOIN members m USING (line_id) WHERE departure IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT l.repo_slug, l.line_id, arg_min(m.sha, m.pos), merge, 0 FROM lines l JOIN members m USING (line_id) WHERE merge IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT repo_slug, line_id, departure, merge, 0 FROM lines WHERE commit_count = 0 AND merge IS NOT NULL AND departure IS NOT NULL""",
+    _TOP + """,
+full_lines AS (SELECT * FROM lines WHERE commit_count > 0),
+marked AS (SELECT repo_slug, merge AS sha FROM full_lines WHERE merge IS NOT NULL UNION SELECT repo_slug, departure FROM full_lines WHERE departure IS NOT NULL),
+shown AS (SELECT m.* FROM members m JOIN full_lines l USING (line_id) WHERE m.pos IN (0, l.commit_count - 1) OR EXISTS (SELECT 1 FROM marked k WHERE k.repo_slug = m.repo_slug AND k.sha = m.sha))""",
+)
+_edged(
+    "o5_longest_branch_lines",
+    _lines(lambda lines, members, c, e: graph.longest_branch_lines(lines).drop("key")),
+    "SELECT * EXCLUDE (key), commit_count + 2 AS line_size FROM (SELECT *, row_number() OVER (PARTITION BY repo_slug ORDER BY commit_count DESC, line_id)::INT AS rank FROM lines) WHERE rank <= 6",
+    _TOP,
+)
 
 # builders and readers, through tables and files that Spark makes from the orders
 _WEEK = """period_week, CAST(epoch(monday) AS BIGINT) AS week_monday_unix, CAST(epoch(monday) AS BIGINT) + 604800 AS week_end_unix"""
@@ -668,7 +760,25 @@ _orders(
 _orders("f21_value_json", lambda c: c.select("sha", s.value_json(F.struct("author_ref", "committed_at")).alias("value_json")), """SELECT sha, '{"author_ref":"' || author_ref || '","committed_at":' || committed_at || '}' AS value_json FROM commits""")
 _events("v5_tpad_pivot", lambda c: _near(series.tpad_pivot(c, [f"repo{i}" for i in range(4)], WEEKS_BACK), *(f"repo{i}" for i in range(4))),
     "SELECT week_monday, " + ", ".join(f"round(coalesce(max(value) FILTER (repo_slug = 'repo{i}'), 0), 6) AS repo{i}" for i in range(4)) + f" FROM ({_PER_DEV}) GROUP BY ALL")
-_edged("k12_branch_cycle_csv", lambda c, e: sinks.branch_cycle_csv(graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c)))))
+_NAMES = {"commits": "COMMITS", "cycle": "CYCLETIME", "close": "QA", "work": "WORKTIME"}
+
+
+def _branch_report(c: DataFrame, e: DataFrame) -> DataFrame:
+    """The report's files, read back."""
+    path = graph.new_path(c.sparkSession)
+    sinks.write_branch_cycle_csv(graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c))), path)
+    measures = ", ".join(f"`{n} {_NAMES[k]}` double" for n, _, k in _MEASURES)
+    return _two_places(c.sparkSession.read.csv(path, header=True, schema=f"`INTERVAL START` string, BRANCHES long, COMMITS long, {measures}, repo_slug string"))
+
+
+_edged(
+    "k12_branch_cycle_csv",
+    _branch_report,
+    """SELECT repo_slug, strftime(make_timestamp(interval_start * 1000000), '%a %b %d %H:%M:%S %Y') AS "INTERVAL START", branches AS "BRANCHES", total_commits AS "COMMITS", """
+    + ", ".join(f'round({n}_{c}, 1) AS "{n} {_NAMES[c]}"' for n, _, c in _MEASURES)
+    + " FROM summary",
+    _TOP + _PHASES + _BUCKETS,
+)
 
 
 def queries() -> dict[str, Query]:
