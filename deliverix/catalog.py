@@ -253,13 +253,11 @@ _MEASURES = [(name, f.format(c), c) for name, f in (("p50", "median({})"), ("p75
 _BUCKETS = f""",
 spans AS (SELECT *, row_number() OVER (PARTITION BY repo_slug ORDER BY {", ".join(f"{c} NULLS FIRST" for c in _FIVE.split(", "))}, branch_line_id) - 1 AS rn, count(*) OVER (PARTITION BY repo_slug) AS n
   FROM ({_MATERIAL}) WHERE commit_count > 0 AND ramp_seconds <> 0),
-days AS (SELECT repo_slug, rn // greatest(1, n // 12) AS bucket, start_at, commit_count, commit_count::DOUBLE AS commits, floor(round(ramp_seconds / 86400, 2) / 2) AS half,
-  coalesce(round(total_seconds / 86400, 2), 0) - half AS cycle, round(close_seconds / 86400, 2) AS close, half + coalesce(round(work_seconds / 86400, 2), 0) AS work FROM spans),
+days AS (SELECT repo_slug, rn // greatest(1, n // 12) AS bucket, start_at, commit_count, commit_count * 100 AS commits, floor(round(ramp_seconds / 864) / 200)::BIGINT * 100 AS half,
+  coalesce(round(total_seconds / 864), 0)::BIGINT - half AS cycle, round(close_seconds / 864)::BIGINT AS close, half + coalesce(round(work_seconds / 864), 0)::BIGINT AS work FROM spans),
 summary AS (SELECT repo_slug, bucket, min(start_at) AS interval_start, count(*) AS branches, sum(commit_count)::BIGINT AS total_commits,
-  {", ".join(f"round({f}, 2) AS {name}_{c}" for name, f, c in _MEASURES)} FROM days GROUP BY ALL)"""
-_two_places = lambda df: df.withColumns({n: F.round(F.col(n), 1) for n, kind in df.dtypes if kind == "double"})  # noqa: E731  a tie at the second place may fall to either side
-_even_places = f"repo_slug, bucket, interval_start, branches, total_commits, {', '.join(f'round({n}_{c}, 1) AS {n}_{c}' for n, _, c in _MEASURES)}"
-_edged("a14_branch_cycle_summary", lambda c, e: _two_places(graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c)))), f"SELECT {_even_places} FROM summary", _TOP + _PHASES + _BUCKETS)
+  {", ".join(f"round({f}) / 100 AS {name}_{c}" for name, f, c in _MEASURES)} FROM days GROUP BY ALL)"""
+_edged("a14_branch_cycle_summary", lambda c, e: graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c))), "SELECT * FROM summary", _TOP + _PHASES + _BUCKETS)
 
 
 def _lines(f: Callable[..., DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
@@ -768,14 +766,14 @@ def _branch_report(c: DataFrame, e: DataFrame) -> DataFrame:
     path = graph.new_path(c.sparkSession)
     sinks.write_branch_cycle_csv(graph.branch_cycle_summary(graph.materialize_branch_lines(c, e, _tips(c))), path)
     measures = ", ".join(f"`{n} {_NAMES[k]}` double" for n, _, k in _MEASURES)
-    return _two_places(c.sparkSession.read.csv(path, header=True, schema=f"`INTERVAL START` string, BRANCHES long, COMMITS long, {measures}, repo_slug string"))
+    return c.sparkSession.read.csv(path, header=True, schema=f"`INTERVAL START` string, BRANCHES long, COMMITS long, {measures}, repo_slug string")
 
 
 _edged(
     "k12_branch_cycle_csv",
     _branch_report,
     """SELECT repo_slug, strftime(make_timestamp(interval_start * 1000000), '%a %b %d %H:%M:%S %Y') AS "INTERVAL START", branches AS "BRANCHES", total_commits AS "COMMITS", """
-    + ", ".join(f'round({n}_{c}, 1) AS "{n} {_NAMES[c]}"' for n, _, c in _MEASURES)
+    + ", ".join(f'{n}_{c} AS "{n} {_NAMES[c]}"' for n, _, c in _MEASURES)
     + " FROM summary",
     _TOP + _PHASES + _BUCKETS,
 )

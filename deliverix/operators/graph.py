@@ -373,9 +373,10 @@ def branch_cycle_summary(phases: DataFrame, bucket_size: int | None = None) -> D
     numbered = number_rows(spans, ["repo_slug"], F.coalesce(F.floor(F.col("start_at") / 86400), F.lit(-(1 << 40))), [F.col(c) for c in order], "_rn")
     step = F.lit(bucket_size) if bucket_size else F.greatest(F.lit(1), F.floor(F.count("*") / 12))
     rows = numbered.join(spans.groupBy("repo_slug").agg(step.alias("_step")), "repo_slug").withColumn("bucket", F.floor(F.col("_rn") / F.col("_step")))
-    day = lambda c: F.round(F.col(c) / 86400, 2)
-    half = F.floor(day("ramp_seconds") / 2)
-    rows = rows.withColumns({"commits": F.col("commit_count").cast("double"), "cycle": F.coalesce(day("total_seconds"), F.lit(0.0)) - half, "close": day("close_seconds"), "work": half + F.coalesce(day("work_seconds"), F.lit(0.0))})
+    day = lambda c: F.round(F.col(c) / 864).cast("long")  # noqa: E731  hundredths, in which medians and percentiles are exact
+    half = F.floor(day("ramp_seconds") / 200) * 100
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumns({"commits": F.col("commit_count") * 100, "cycle": F.coalesce(day("total_seconds"), zero) - half, "close": day("close_seconds"), "work": half + F.coalesce(day("work_seconds"), zero)})
     measures = [("p50", F.median), ("p75", lambda c: F.percentile(c, 0.75)), ("avg", F.avg), ("std", F.stddev_samp)]
-    out = [F.round(f(c), 2).alias(f"{name}_{c}") for name, f in measures for c in ("commits", "cycle", "close", "work")]
+    out = [(F.round(f(c)) / 100).alias(f"{name}_{c}") for name, f in measures for c in ("commits", "cycle", "close", "work")]
     return rows.groupBy("repo_slug", "bucket").agg(F.min("start_at").alias("interval_start"), F.count("*").alias("branches"), F.sum("commit_count").alias("total_commits"), *out)
