@@ -14,6 +14,7 @@ from deliverix.operators import activity, deltas, graph, metrics, reconcile, rol
 from deliverix.plans import registry, views
 from deliverix.plans.views import DELTAS_SQL, EDGES_SQL, EVENTS_SQL, ORDERS_SQL
 from deliverix.sources import export, readers, sinks
+from deliverix.sources.snapshots import read_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -446,12 +447,59 @@ _edged(
 _edged("s12_from_devlake", _devlake, "SELECT c.*, (SELECT count(*) FROM edges e WHERE e.repo_slug = c.repo_slug) AS edges FROM (SELECT repo_slug, count(*) AS commits, CAST(sum(committed_at) AS BIGINT) AS seconds FROM commits WHERE repo_slug IN ('repo0', 'repo3') GROUP BY ALL) c")
 _orders("s13_first_repo_id", readers.first_repo_id, "SELECT min(repo_slug) AS repo_slug FROM commits")
 _orders("s14_list_repo_ids", readers.list_repo_ids, "SELECT DISTINCT repo_slug FROM commits")
-_edged(
-    "r13_validate_interchange",
-    lambda c, e: reconcile.validate_interchange(graph.with_parents(c, e), e.filter("parent_ord = 0")),
-    "SELECT 'edges match parent_count' AS rule, repo_slug, sha FROM parented JOIN (SELECT repo_slug, child_sha AS sha FROM edges WHERE parent_ord = 1) USING (repo_slug, sha)",
-    "," + _PARENTS,
-)
+
+
+def _interchange(c: DataFrame, e: DataFrame) -> DataFrame:
+    """Commits and edges in which each rule is broken by the orders of one remainder of their numbers; the column of the type's scope is absent from a second table."""
+    k = F.col("o_orderkey") % 1000
+    at = lambda n, bad, name: F.when(k == n, bad).otherwise(F.col(name)).alias(name)
+    whole = export.build_commits_export(_log(c), _messages(c), e).join(c.select("repo_slug", "sha", "o_orderkey"), ["repo_slug", "sha"])
+    broken = {
+        "parent_shas": F.when(k.isin(1, 2), F.concat(F.lit("other"), F.lit(" x").cast("string"))).otherwise(F.col("parent_shas")),
+        "parent_count": F.when(k == 3, -1).otherwise(F.col("parent_count")), "author_ref": F.when(k != 4, F.col("author_ref")), "subject_has_keywords": F.when(k == 5, 2).otherwise(F.col("subject_has_keywords")),
+        "body_has_keywords": F.when(k == 6, -1).otherwise(F.col("body_has_keywords")), "pii_protection_profile": F.when(k == 7, "plain").otherwise(F.col("pii_protection_profile")),
+        "conventional_type_scope": F.when(k == 32, "title").when(k != 33, F.col("conventional_type_scope")), "conventional_type": F.when(k == 32, "feat").otherwise(F.col("conventional_type")),
+    }
+    commits = whole.withColumns(broken)
+    commits = commits.filter(k != 34).unionAll(commits.filter(k == 35)).drop("o_orderkey")
+    keyed = e.join(c.select("repo_slug", F.col("sha").alias("child_sha"), "o_orderkey"), ["repo_slug", "child_sha"])
+    edges = keyed.select("repo_slug", "child_sha", "parent_sha", F.when(k == 36, F.col("parent_ord") + 5).otherwise(F.col("parent_ord")).alias("parent_ord"), "o_orderkey")
+    swapped = edges.withColumn("parent_ord", F.when(k.isin(65, 95), F.lit(1) - F.col("parent_ord")).otherwise(F.col("parent_ord")))
+    edges = swapped.unionAll(swapped.filter(k == 37)).drop("o_orderkey")
+    found = reconcile.validate_interchange(commits, edges)
+    absent = reconcile.validate_interchange(commits.drop("conventional_type_scope", "log_ordinal").limit(0), edges.limit(0))
+    return found.unionAll(absent).groupBy("rule", "repo_slug").agg(F.count("*").alias("violations"), F.min("sha").alias("first"))
+
+
+_RULES = """,
+keyed AS (SELECT p.*, o_orderkey % 1000 AS k, nullif(regexp_extract(subject, '^(feat|chore):', 1), '') AS kind FROM parented p),
+sent AS (SELECT e.repo_slug, e.child_sha AS sha, e.parent_sha, CASE WHEN k = 36 THEN parent_ord + 5 WHEN k IN (65, 95) THEN 1 - parent_ord ELSE parent_ord END AS parent_ord, k FROM edges e JOIN keyed c ON c.repo_slug = e.repo_slug AND c.sha = e.child_sha),
+sent_twice AS (SELECT * FROM sent UNION ALL SELECT * FROM sent WHERE k = 37),
+exported AS (
+  SELECT repo_slug, sha, k, CASE WHEN k IN (1, 2) THEN 'other x' ELSE parent_shas END AS parent_shas, CASE WHEN k = 3 THEN -1 ELSE parent_count END AS parent_count, CASE WHEN k = 32 THEN 'feat' ELSE kind END AS kind,
+    CASE WHEN k = 32 THEN 'title' WHEN k <> 33 AND kind IS NOT NULL THEN 'subject' END AS scope
+  FROM keyed WHERE k <> 34 UNION ALL BY NAME SELECT repo_slug, sha, k, parent_shas, parent_count, kind, CASE WHEN kind IS NOT NULL THEN 'subject' END AS scope FROM keyed WHERE k = 35
+),
+per AS (SELECT repo_slug, sha, count(*) AS n, min(parent_ord) AS lo, max(parent_ord) AS hi, string_agg(parent_ord || ':' || parent_sha, ' ' ORDER BY parent_ord, parent_sha) AS listed FROM sent_twice GROUP BY ALL),
+told AS (SELECT x.*, coalesce(p.n, 0) AS n, coalesce(p.listed, '') AS listed,
+  coalesce(array_to_string(list_transform(list_filter(string_split(x.parent_shas, ' '), lambda y: y <> ''), lambda y, i: (i - 1) || ':' || y), ' '), '') AS wanted FROM exported x LEFT JOIN per p USING (repo_slug, sha)),
+violations AS (
+  SELECT 'parent_count >= 0' AS rule, repo_slug, sha FROM exported WHERE k = 3
+  UNION ALL SELECT 'not null: author_ref', repo_slug, sha FROM exported WHERE k = 4
+  UNION ALL SELECT '0 or 1: subject_has_keywords', repo_slug, sha FROM exported WHERE k = 5
+  UNION ALL SELECT '0 or 1: body_has_keywords', repo_slug, sha FROM exported WHERE k = 6
+  UNION ALL SELECT 'known profile', repo_slug, sha FROM exported WHERE k = 7
+  UNION ALL SELECT 'known scope', repo_slug, sha FROM exported WHERE scope = 'title'
+  UNION ALL SELECT 'type and scope together', repo_slug, sha FROM exported WHERE (kind IS NULL) <> (scope IS NULL)
+  UNION ALL SELECT 'unique commit', repo_slug, sha FROM exported GROUP BY ALL HAVING count(*) > 1
+  UNION ALL SELECT 'unique edge', repo_slug, sha FROM sent_twice GROUP BY repo_slug, sha, parent_ord HAVING count(*) > 1
+  UNION ALL SELECT 'parents in order from 0', repo_slug, sha FROM per WHERE lo <> 0 OR hi <> n - 1
+  UNION ALL SELECT 'edge of a known commit', repo_slug, sha FROM per ANTI JOIN exported USING (repo_slug, sha)
+  UNION ALL SELECT 'edges match parent_count', repo_slug, sha FROM told WHERE n <> parent_count
+  UNION ALL SELECT 'edges match parent_shas', repo_slug, sha FROM told WHERE listed <> wanted
+  UNION ALL SELECT 'column: ' || c, NULL, NULL FROM (VALUES ('conventional_type_scope'), ('log_ordinal')) v(c)
+)"""
+_edged("r13_validate_interchange", _interchange, "SELECT rule, repo_slug, count(*) AS violations, min(sha) AS first FROM violations GROUP BY ALL", "," + _PARENTS + _RULES)
 
 # shas, names and labels
 _SHAS = "shas AS (SELECT repo_slug, md5(sha) AS sha, log_ordinal FROM commits)"
@@ -469,6 +517,14 @@ _orders(
     "SELECT repo_slug, sha[:4] AS prefix, arg_min(sha, log_ordinal) AS object_id FROM shas GROUP BY ALL",
     ", " + _SHAS,
 )
+_any_prefix = lambda c: _shas(c).select("repo_slug", F.explode(F.array(*(F.left("sha", F.lit(n)) for n in (1, 2, 3, 5, 32)), F.concat(F.lit("x"), F.left("sha", F.lit(2))), F.concat("sha", F.lit("0")))).alias("prefix")).distinct()
+_orders(
+    "j10_resolve_any_prefix",
+    lambda c: export.resolve_sha_prefix(_any_prefix(c), _shas(c).select("repo_slug", F.col("sha").alias("object_id"), F.col("log_ordinal").alias("ordinal"))),
+    """SELECT p.repo_slug, p.prefix, h.object_id FROM (SELECT DISTINCT repo_slug, unnest([sha[:1], sha[:2], sha[:3], sha[:5], sha, 'x' || sha[:2], sha || '0']) AS prefix FROM shas) p
+    LEFT JOIN (SELECT repo_slug, sha[:n] AS prefix, arg_min(sha, log_ordinal) AS object_id FROM shas, (VALUES (1), (2), (3), (5), (32)) v(n) GROUP BY ALL) h USING (repo_slug, prefix)""",
+    ", " + _SHAS,
+)
 _add(
     "f13_repo_names",
     lambda spark, d: spark.read.parquet(f"{d}/customer.parquet").select(
@@ -614,16 +670,37 @@ _events("v11_commit_trend_rows", series.commit_trend_rows, "SELECT week AS date,
 
 
 # writers, read back
+#: Names that paths would have to escape.
+_ODD_NAMES = {"repo0": "c++", "repo1": "é", "repo2": "a,b", "repo3": "x:y/z"}
+
+
 def _metric_table(c: DataFrame) -> DataFrame:
+    """A second snapshot replaces the first, one without rows empties it, and others stay."""
+    spark, path = c.sparkSession, graph.new_path(c.sparkSession)
+    odd = F.create_map(*(F.lit(x) for pair in _ODD_NAMES.items() for x in pair))
+    found = sinks.with_lineage(deltas.cycle_stats_by_month(c), "all", AS_OF).withColumn("repo_slug", odd[F.col("repo_slug")])
+    sinks.write_metric_table(found.withColumn("sample_count", F.lit(-1).cast("long")).unionByName(found.withColumn("dataset_id", F.lit("old"))), path)
+    sinks.write_metric_table(found.filter("repo_slug != 'é'"), path, [("é", "all"), *((n, "old") for n in _ODD_NAMES.values() if n != "a,b")])
+    return read_rows(spark, path).select("repo_slug", "dataset_id", "period_month", "sample_count", "sum_minutes", "p75_minutes", "computed_at")
+
+
+def _replaced_export(c: DataFrame, e: DataFrame) -> DataFrame:
+    """Interchange rows of all repositories; then one is written again with fewer, and one is emptied."""
     path = graph.new_path(c.sparkSession)
-    found = sinks.with_lineage(deltas.cycle_stats_by_month(c), "all", AS_OF)
-    gone = found.limit(3).withColumn("repo_slug", F.lit("gone"))
-    sinks.write_metric_table(found.unionByName(gone), path)
-    sinks.write_metric_table(found, path, [("gone", "all")])  # a second snapshot replaces the first, and one without rows empties it
-    return c.sparkSession.read.parquet(path).select("repo_slug", "dataset_id", "period_month", "sample_count", "sum_minutes", "p75_minutes", "computed_at")
+    rows = export.build_commits_export(_log(c), _messages(c), e)
+    sinks.write_commits_export(rows, path)
+    sinks.write_commits_export(rows.filter("repo_slug = 'repo1' and log_ordinal % 2 = 0"), path, ["repo2"])
+    return read_rows(c.sparkSession, path).select("repo_slug", "sha", "parent_shas", "committed_at", "log_ordinal")
 
 
-_orders("k1_write_metric_table", _metric_table, f"SELECT repo_slug, 'all' AS dataset_id, period_month, sample_count, sum_minutes, p75_minutes, {AS_OF}::BIGINT AS computed_at FROM cycle", f", {DELTAS_SQL}, {_MONTHLY}")
+_edged("e1_replace_repository", _replaced_export, "SELECT repo_slug, sha, parent_shas, committed_at, log_ordinal FROM parented WHERE repo_slug IN ('repo0', 'repo3') OR repo_slug = 'repo1' AND log_ordinal % 2 = 0", "," + _PARENTS)
+_orders(
+    "k1_write_metric_table",
+    _metric_table,
+    f"""SELECT n.name AS repo_slug, d AS dataset_id, period_month, sample_count, sum_minutes, p75_minutes, {AS_OF}::BIGINT AS computed_at
+    FROM cycle JOIN (VALUES {", ".join(str(x) for x in _ODD_NAMES.items())}) n(repo_slug, name) USING (repo_slug), (VALUES ('all'), ('old')) v(d) WHERE CASE d WHEN 'all' THEN n.name <> 'é' ELSE n.name = 'a,b' END""",
+    f", {DELTAS_SQL}, {_MONTHLY}",
+)
 
 
 def _csv_back(write: Callable[[DataFrame, str], None], schema: str) -> Callable[[DataFrame], DataFrame]:
@@ -658,7 +735,7 @@ def _aggregate_back(c: DataFrame) -> DataFrame:
     sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="b1"), path)
     for _ in range(2):  # a batch that is written again replaces itself
         sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="default"), path)
-    found = sinks.read_multi_repo_aggregate(c.sparkSession.read.parquet(path), "default", "all")
+    found = sinks.read_multi_repo_aggregate(read_rows(c.sparkSession, path), "default", "all")
     return _near(found, "value_real").select("batch_id", "cohort_id", "metric_name", "period_key", "value_real")
 
 

@@ -68,8 +68,17 @@ REQUIRED = (
 )
 
 
+def _ordered(ord_: Column, sha: Column) -> Column:
+    """A parent with its place; the exclusive or of all a commit's parents is its digest."""
+    return F.xxhash64(ord_.cast("int"), sha)
+
+
 def validate_interchange(commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rule, repo_slug, sha) for every violation; columns that the table doesn't have are not looked at, but required ones count as missing."""
+    """(rule, repo_slug, sha) for every violation; an absent column is one row without repository and sha, and its rules are not looked at.
+
+    A commit's parents are compared by a digest of (place, sha) of each, made of the edges and of parent_shas, so that their order counts and
+    no list is gathered. A parent may be missing from the snapshot.
+    """
     has = set(commits.columns)
     rules: dict[str, Column] = {f"not null: {c}": F.col(c).isNull() for c in REQUIRED if c in has}
     if "parent_count" in has:
@@ -81,15 +90,35 @@ def validate_interchange(commits: DataFrame, edges: DataFrame) -> DataFrame:
         rules["known profile"] = ~F.col("pii_protection_profile").isin(*PROFILES)
     if "conventional_type_scope" in has:
         rules["known scope"] = ~F.col("conventional_type_scope").isin(*SCOPES)
-        rules["type and scope together"] = F.col("conventional_type").isNull() != F.col("conventional_type_scope").isNull()
+        if "conventional_type" in has:
+            rules["type and scope together"] = F.col("conventional_type").isNull() != F.col("conventional_type_scope").isNull()
+    missing = [("column: " + c,) for c in (*REQUIRED, "conventional_type", "conventional_type_scope") if c not in has]
+    missing += [("column: edges." + c,) for c in ("repo_slug", "child_sha", "parent_sha", "parent_ord") if c not in edges.columns]
+    nobody = [F.lit(None).cast("string").alias(c) for c in ("repo_slug", "sha")]
+    absent = commits.sparkSession.createDataFrame(missing, "rule string").select("rule", *nobody)
+    if not {"repo_slug", "sha"} <= has:
+        return absent
     broken = F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())), lambda x: x.isNotNull())
-    parts = [commits.select(F.explode(broken).alias("rule"), "repo_slug", "sha")]
-    parts.append(commits.groupBy("repo_slug", "sha").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("unique commit").alias("rule"), "repo_slug", "sha"))
-    e = edges.groupBy("repo_slug", F.col("child_sha").alias("sha"), "parent_ord").agg(F.count("*").alias("n"))
-    parts.append(e.filter("n > 1").select(F.lit("unique edge").alias("rule"), "repo_slug", "sha"))
-    per = edges.groupBy("repo_slug", F.col("child_sha").alias("sha")).agg(F.count("*").alias("edges"))
-    if "parent_count" in has:
-        counted = commits.select("repo_slug", "sha", "parent_count").join(per, ["repo_slug", "sha"], "left")
-        parts.append(counted.filter(F.coalesce("edges", F.lit(0)) != F.col("parent_count")).select(F.lit("edges match parent_count").alias("rule"), "repo_slug", "sha"))
-    parts.append(per.join(commits, ["repo_slug", "sha"], "left_anti").select(F.lit("edge of a known commit").alias("rule"), "repo_slug", "sha"))
+    parts = [absent, commits.select(F.explode(broken).alias("rule"), "repo_slug", "sha")]
+    found = lambda df, bad, rule: parts.append(df.filter(bad).select(F.lit(rule).alias("rule"), "repo_slug", "sha"))
+    found(commits.groupBy("repo_slug", "sha").agg(F.count("*").alias("n")), "n > 1", "unique commit")
+    if not {"repo_slug", "child_sha", "parent_sha", "parent_ord"} <= set(edges.columns):
+        return reduce(DataFrame.unionAll, parts)
+    named = edges.withColumnRenamed("child_sha", "sha")
+    found(named.groupBy("repo_slug", "sha", "parent_ord").agg(F.count("*").alias("n")), "n > 1", "unique edge")
+    per = named.groupBy("repo_slug", "sha").agg(
+        F.count("*").alias("edges"), F.min("parent_ord").alias("lo"), F.max("parent_ord").alias("hi"), F.bit_xor(_ordered(F.col("parent_ord"), F.col("parent_sha"))).alias("digest")
+    )
+    found(per, (F.col("lo") != 0) | (F.col("hi") != F.col("edges") - 1), "parents in order from 0")
+    found(per.join(commits, ["repo_slug", "sha"], "left_anti"), F.lit(True), "edge of a known commit")
+    own = [c for c in ("parent_count", "parent_shas") if c in has]
+    if own:
+        counted = commits.select("repo_slug", "sha", *own).join(per, ["repo_slug", "sha"], "left")
+        n = F.coalesce("edges", F.lit(0))
+        if "parent_count" in has:
+            found(counted, n != F.col("parent_count"), "edges match parent_count")
+        if "parent_shas" in has:
+            listed = F.filter(F.split("parent_shas", " +"), lambda x: x != "")
+            digest = F.aggregate(F.transform(listed, lambda x, i: _ordered(i, x)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+            found(counted, (F.size(listed) != n) | (digest != F.coalesce("digest", F.lit(0))), "edges match parent_shas")
     return reduce(DataFrame.unionAll, parts)

@@ -53,9 +53,17 @@ def short_sha(shas: DataFrame, least: int = 4) -> DataFrame:
 
 
 def resolve_sha_prefix(prefixes: DataFrame, objects: DataFrame) -> DataFrame:
-    """prefixes(repo_slug, prefix) with the object that is it, else the first in the list that starts with it, else null."""
-    p = prefixes.withColumn("_head", F.left("prefix", F.lit(4)))
-    o = objects.withColumn("_head", F.left("object_id", F.lit(4)))
-    hits = p.join(o, ["repo_slug", "_head"]).filter(F.startswith("object_id", "prefix"))
-    best = hits.groupBy("repo_slug", "prefix").agg(F.min_by("object_id", F.struct((F.col("object_id") != F.col("prefix")).cast("int").alias("a"), F.col("ordinal").alias("b"))).alias("object_id"))
-    return prefixes.join(best, ["repo_slug", "prefix"], "left")
+    """prefixes(repo_slug, prefix), of any length, with the object that is it, else the first in the list that starts with it, else null.
+
+    Objects are brought down to the first of the list for each head of a length that occurs among the prefixes (at most as many as an id
+    has characters). That is partial in the tasks that read them, so that short prefixes, which many objects have, are no hot keys.
+    """
+    longest = objects.agg(F.max(F.length("object_id"))).first()[0] or 0
+    size = F.least(F.length("prefix"), F.lit(longest + 1))  # longer ones are no object's
+    lengths = [r[0] for r in prefixes.select(size).distinct().collect() if r[0] is not None and r[0] <= longest]
+    if not lengths:
+        return prefixes.withColumn("object_id", F.lit(None).cast("string"))
+    cut = F.explode(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("object_id")))
+    place = F.struct((F.length("object_id") != F.col("n")).alias("longer"), F.col("ordinal"), F.col("object_id"))
+    heads = objects.select("repo_slug", "object_id", "ordinal", cut.alias("n")).groupBy("repo_slug", F.left("object_id", F.col("n")).alias("prefix")).agg(F.min(place).alias("_first"))
+    return prefixes.join(heads, ["repo_slug", "prefix"], "left").select(*prefixes.columns, F.col("_first.object_id").alias("object_id"))

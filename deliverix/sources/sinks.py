@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deliverix.sources.snapshots import replace_rows
+
 # The names of the report columns below.
 #: Columns that every metric table has besides its own.
 LINEAGE = ("source_commits_schema_version", "computed_at", "tenant_id", "metrics_schema_version")
@@ -21,20 +22,19 @@ def with_lineage(df: DataFrame, dataset_id: str, computed_at: int, source_versio
 
 
 def write_metric_table(df: DataFrame, path: str, snapshots: Sequence[tuple[str, str]] = ()) -> None:
-    """Replaces the snapshots (repo_slug, dataset_id) that df has; those named in snapshots that df has no rows of are emptied. No others change."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_slug", "dataset_id").parquet(path)
-    if snapshots:
-        asked = df.sparkSession.createDataFrame(list(snapshots), "repo_slug string, dataset_id string")
-        gone = asked.join(df.select("repo_slug", "dataset_id").distinct(), ["repo_slug", "dataset_id"], "left_anti").collect()  # of the given list
-        files = df.sparkSession._jvm.org.apache.hadoop.fs
-        for x in gone:
-            where = files.Path("/".join([path, f"repo_slug={quote(x.repo_slug, safe=' @')}", f"dataset_id={quote(x.dataset_id, safe=' @')}"]))
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    """Replaces the snapshots (repo_slug, dataset_id) that df has; those named in snapshots that df has no rows of are emptied. No others change. Read by snapshots.read_rows."""
+    named = df.sparkSession.createDataFrame(list(snapshots), "repo_slug string, dataset_id string") if snapshots else None
+    replace_rows(df, path, ["repo_slug", "dataset_id"], named)
+
+
+def write_commits_export(df: DataFrame, path: str, repos: Sequence[str] = ()) -> None:
+    """Replaces the rows (commits, or edges) of the repositories that df has, and empties those named that it doesn't have. Read by snapshots.read_rows."""
+    replace_rows(df, path, ["repo_slug"], df.sparkSession.createDataFrame([(r,) for r in repos], "repo_slug string") if repos else None)
 
 
 def write_multi_repo_aggregate(df: DataFrame, path: str) -> None:
     """Replaces the batches and cohorts that df has, so that a batch may be written again."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "cohort_id").parquet(path)
+    replace_rows(df, path, ["batch_id", "cohort_id"])
 
 
 def read_multi_repo_aggregate(df: DataFrame, batch_id: str, cohort_id: str) -> DataFrame:

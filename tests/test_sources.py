@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deliverix.operators import graph, reconcile
-from deliverix.sources import export, readers, sinks
+from deliverix.sources import export, readers, sinks, snapshots
 
 
 def put(folder, name, text):
@@ -37,7 +37,7 @@ def test_log_messages_edges_refs(spark, top):
     assert got[b].parent_shas == "" and got[b].author_ref == "x@y" and got[b].schema_version == 3
     assert reconcile.validate_interchange(out, e).count() == 0
     bad = out.withColumn("subject_has_keywords", F.lit(2)).withColumn("pii_protection_profile", F.lit("?"))
-    assert {r.rule for r in reconcile.validate_interchange(bad.unionAll(bad), e.filter("parent_ord = 1")).collect()} == {"0 or 1: subject_has_keywords", "known profile", "unique commit", "edges match parent_count"}
+    assert {r.rule for r in reconcile.validate_interchange(bad.unionAll(bad), e.filter("parent_ord = 1")).collect()} == {"0 or 1: subject_has_keywords", "known profile", "unique commit", "edges match parent_count", "edges match parent_shas", "parents in order from 0"}
     lake = export.build_lake_commits(log, m)
     assert {r.message for r in lake.collect()} == {"raw", None}
 
@@ -62,9 +62,14 @@ def test_short_and_resolved_shas(spark):
     shas = spark.createDataFrame([("r", "abcdef1234"), ("r", "abcdef5678"), ("r", "ffff000000")], "repo_slug string, sha string")
     assert {r.sha: r.length for r in export.short_sha(shas).collect()} == {"abcdef1234": 7, "abcdef5678": 7, "ffff000000": 4}
     objects = shas.select("repo_slug", F.col("sha").alias("object_id"), F.monotonically_increasing_id().alias("ordinal"))
-    p = spark.createDataFrame([("r", "abcdef5678"), ("r", "abcdef"), ("r", "0000")], "repo_slug string, prefix string")
-    got = {r.prefix: r.object_id for r in export.resolve_sha_prefix(p, objects).collect()}
-    assert got["abcdef5678"] == "abcdef5678" and got["0000"] is None and got["abcdef"].startswith("abcdef")
+    p = spark.createDataFrame([("r", x) for x in ("abcdef5678", "abcdef", "0000", "a", "ab", "abc", "f", "", "abcdef12345", None)] + [("q", "a")], "repo_slug string, prefix string")
+    rows = export.resolve_sha_prefix(p, objects).collect()
+    got = {r.prefix: r.object_id for r in rows if r.repo_slug == "r"}
+    assert len(rows) == 11 and {r.object_id for r in rows if r.repo_slug == "q"} == {None}
+    assert got == {"abcdef5678": "abcdef5678", "0000": None, "f": "ffff000000", "abcdef12345": None, None: None, "": "abcdef1234"} | dict.fromkeys(("abcdef", "a", "ab", "abc"), "abcdef1234")
+    two = spark.createDataFrame([("r", "abcdef12", 5), ("r", "abd00000", 1), ("r", "ab", 9)], "repo_slug string, object_id string, ordinal long")
+    assert {r.prefix: r.object_id for r in export.resolve_sha_prefix(p, two).collect() if r.repo_slug == "r" and r.prefix in ("a", "ab", "abc")} == {"a": "abd00000", "ab": "ab", "abc": "abcdef12"}
+    assert export.resolve_sha_prefix(p, two.limit(0)).filter("object_id is not null").count() == 0 and export.resolve_sha_prefix(p.limit(0), two).count() == 0
 
 
 def test_metric_table_is_replaced_by_snapshot(spark, top):
@@ -72,17 +77,77 @@ def test_metric_table_is_replaced_by_snapshot(spark, top):
     a = sinks.with_lineage(spark.createDataFrame([("r1", "2024-01", 1), ("r2", "2024-01", 2)], schema), "d", 7)
     sinks.write_metric_table(a, f"{top}/m")
     sinks.write_metric_table(a.filter("repo_slug = 'r1'").withColumn("n", F.lit(9).cast("long")), f"{top}/m")
-    got = {r.repo_slug: r.n for r in spark.read.parquet(f"{top}/m").collect()}
+    got = {r.repo_slug: r.n for r in snapshots.read_rows(spark, f"{top}/m").collect()}
     assert got == {"r1": 9, "r2": 2}
     sinks.write_metric_table(a.filter("repo_slug = 'r2'"), f"{top}/m", [("r1", "d"), ("r2", "d"), ("r3", "d")])
-    assert {r.repo_slug: r.n for r in spark.read.parquet(f"{top}/m").collect()} == {"r2": 2}
+    assert {r.repo_slug: r.n for r in snapshots.read_rows(spark, f"{top}/m").collect()} == {"r2": 2}
 
 
 def test_a_batch_replaces_itself(spark, top):
     df = spark.createDataFrame([("b", "c", "m", "2024-01", 1.0)], "batch_id string, cohort_id string, metric_name string, period_key string, value_real double")
     for cohort in ("c", "d", "c"):
         sinks.write_multi_repo_aggregate(df.withColumn("cohort_id", F.lit(cohort)), f"{top}/agg")
-    assert sinks.read_multi_repo_aggregate(spark.read.parquet(f"{top}/agg"), "b", "c").count() == 1 and spark.read.parquet(f"{top}/agg").count() == 2
+    rows = snapshots.read_rows(spark, f"{top}/agg")
+    assert sinks.read_multi_repo_aggregate(rows, "b", "c").count() == 1 and rows.count() == 2
+
+
+NAMES = ["c++", "é", "a,b", "x:y/z", "a=b", " ", "100%", "..", None]
+
+
+def test_readers_see_the_old_or_the_new_rows(spark, top, monkeypatch):
+    """A write that breaks off between its rows and the switch, before it and in it; then the same write whole."""
+    table = lambda n: spark.createDataFrame([(r, i, n) for i, r in enumerate(NAMES)], "repo_slug string, i int, n int")
+    seen = lambda: {r.repo_slug: r.n for r in snapshots.read_rows(spark, f"{top}/t").collect()}
+    with pytest.raises(ValueError, match="no snapshot"):
+        seen()
+    sinks.write_commits_export(table(1), f"{top}/t")
+    assert seen() == dict.fromkeys(NAMES, 1)
+
+    def stop(*_):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "_switch", stop)
+        with pytest.raises(RuntimeError):
+            sinks.write_commits_export(table(2), f"{top}/t")
+    assert seen() == dict.fromkeys(NAMES, 1)
+    with monkeypatch.context() as m:  # a manifest without its marker
+        m.setattr(snapshots, "_switch", lambda df, path, number: df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/manifests/{number:012d}.part") or stop())
+        with pytest.raises(RuntimeError):
+            sinks.write_commits_export(table(3), f"{top}/t")
+    assert seen() == dict.fromkeys(NAMES, 1)
+    sinks.write_commits_export(table(4).filter("i < 3"), f"{top}/t", ["x:y/z", "a=b", "nobody"])
+    want = dict.fromkeys(NAMES[:3], 4) | dict.fromkeys(NAMES[5:], 1)
+    assert seen() == want
+    assert len(snapshots.vacuum(spark, f"{top}/t")) == 2 and seen() == want and snapshots.vacuum(spark, f"{top}/t") == []
+    sinks.write_commits_export(table(5).limit(0), f"{top}/t", [n for n in NAMES if n])
+    assert seen() == {None: 1}
+    snapshots.replace_rows(table(5).limit(0), f"{top}/t", ["repo_slug"], table(5))
+    with pytest.raises(ValueError, match="no rows"):
+        seen()
+    assert snapshots.read_rows(spark, f"{top}/t", table(1).schema).count() == 0
+
+
+def test_two_writers_from_one_manifest(spark, top, monkeypatch):
+    df = spark.createDataFrame([("r", 1)], "repo_slug string, n int")
+    sinks.write_commits_export(df, f"{top}/t")
+    monkeypatch.setattr(snapshots, "_current", lambda *_: 0)  # what the slower one has read
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        sinks.write_commits_export(df, f"{top}/t")
+
+
+def test_rules_of_an_interchange(spark):
+    """Absent columns, parents that are swapped, and gaps in their numbers."""
+    full = spark.createDataFrame([("r", "a", "p q", 2)], "repo_slug string, sha string, parent_shas string, parent_count int")
+    edges = lambda *rows: spark.createDataFrame([("r", "a", p, o) for p, o in rows], "repo_slug string, child_sha string, parent_sha string, parent_ord int")
+    rules = lambda c, e: {r.rule for r in reconcile.validate_interchange(c, e).collect() if not r.rule.startswith("column: ")}
+    assert rules(full, edges(("p", 0), ("q", 1))) == set()
+    assert rules(full, edges(("q", 0), ("p", 1))) == {"edges match parent_shas"}
+    assert rules(full, edges(("p", 0), ("q", 5))) == {"edges match parent_shas", "parents in order from 0"}
+    assert rules(full, edges(("p", 0), ("q", 1), ("q", 1))) == {"unique edge", "edges match parent_count", "edges match parent_shas", "parents in order from 0"}
+    gone = {r.rule for r in reconcile.validate_interchange(full.drop("parent_shas"), edges(("p", 0), ("q", 1))).collect()}
+    assert "column: parent_shas" in gone and "column: log_ordinal" in gone and "column: sha" not in gone and len(gone) == len(reconcile.REQUIRED) + 2 - 3
+    assert {r.rule for r in reconcile.validate_interchange(full.drop("sha"), edges(("p", 0))).collect()} >= {"column: sha"}
 
 
 def test_aggregates_and_author_runs(spark, top):
