@@ -102,6 +102,14 @@ _events(
     FROM local l GROUP BY ALL""",
     "," + _WINDOW,
 )
+_orders(
+    "a6_active_developers_in_a_year",
+    lambda c: activity.active_developers_weekly(c.filter("author_ref != 'dev7' or o_orderkey % 7 = 0"), 52),
+    """SELECT w.repo_slug, w.period_week, 52 AS weeks_back, any_value(w.n) AS commit_count, count(DISTINCT a.author_ref) AS active_developers
+    FROM (SELECT repo_slug, period_week, monday, count(*) AS n FROM thinned GROUP BY ALL) w
+    JOIN (SELECT DISTINCT repo_slug, author_ref, local.at AS seen FROM thinned AS local) a ON a.repo_slug = w.repo_slug AND a.seen >= w.monday - INTERVAL '364 days' AND a.seen <= w.monday + INTERVAL '7 days' GROUP BY ALL""",
+    ", thinned AS (SELECT * FROM local WHERE author_ref <> 'dev7' OR o_orderkey % 7 = 0)",
+)
 _events(
     "a7_throughput_per_active_dev_weekly",
     lambda c: activity.throughput_per_active_dev_weekly(c, WEEKS_BACK),
@@ -783,12 +791,12 @@ def _saved_aggregates(c: DataFrame) -> DataFrame:
     """All five aggregates, written and read back as long rows."""
     folder = graph.new_path(c.sparkSession)
     m = rollup.repo_metrics(c, WEEKS_BACK)
-    weekly = rollup.aggregate_throughput_per_active_dev(m["throughput_per_active_dev"], rollup.window_authors_by_week(c, WEEKS_BACK))
+    weekly = rollup.aggregate_throughput_per_active_dev(m["throughput_per_active_dev"], m["window_authors"])
     parts = {
         "throughput": (rollup.aggregate_throughput(m["throughput"]), "commit_count long"),
         "failure": (rollup.aggregate_failure_rate(m["change_failure"]), "failure_rate double"),
         "cycle": (rollup.aggregate_cycle_time(m["cycle_time"]).select("period_month", "p75_minutes"), "p75_minutes double"),
-        "developers": (rollup.aggregate_active_developers(metrics.authors_by_month(c)), "unique_authors long"),
+        "developers": (rollup.aggregate_active_developers(m["authors_by_month"]), "unique_authors long"),
         "per_developer": (weekly.select("period_week", "commits_per_author"), "commits_per_author double"),
     }
     sinks.save_aggregates({k: df for k, (df, _) in parts.items()}, rollup.summary_report(c), folder)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from deliverix.functions import time as t
 from deliverix.functions.scalars import half_even, minutes_to_days
 from deliverix.operators.ordering import number_rows, with_older
+from deliverix.operators.selection import counts_by_value, joined, percentiles
 
 AUTHOR = ["repo_slug", "author_ref"]
 
@@ -46,18 +47,28 @@ def commit_deltas_by_time(commits: DataFrame, tz: str = "UTC") -> DataFrame:
     return events.select(*AUTHOR, "committed_at", F.col("child_sha").alias("sha"), "cycle_minutes")
 
 
-def _stats(minutes: Column) -> list[Column]:
-    """The measures of a bucket: sum, mean, 75th percentile and sample deviation, the last two as whole numbers."""
-    return [
-        F.count("*").alias("sample_count"), F.sum(minutes).alias("sum_minutes"), F.avg(minutes).alias("avg_minutes"),
-        half_even(F.percentile(minutes, 0.75)).alias("p75_minutes"), half_even(F.stddev_samp(minutes)).alias("std_minutes"),
-    ]
+def _measured(d: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    """Measures of groups: pairs, sum, mean, 75th percentile and sample deviation of cycle_minutes, the last two as whole numbers; and the least of extra.
+
+    All come from counts by value. Minutes have two decimals, so that sums of hundredths, and of their squares, are exact.
+    """
+    names = [f"_x{i}" for i in range(len(extra))]
+    counts = counts_by_value(d, keys, "cycle_minutes", *(F.min(x).alias(n) for n, x in zip(names, extra)))
+    h, n = F.round(F.col("_v") * 100).cast("decimal(12,0)"), F.col("_n").cast("decimal(13,0)")
+    sums = counts.withColumns({"_h": h, "_m": n}).groupBy(*keys).agg(
+        F.sum("_n").alias("sample_count"), F.sum(F.col("_h") * F.col("_m")).alias("_s"), F.sum((F.col("_h") * F.col("_h")).cast("decimal(24,0)") * F.col("_m")).cast("decimal(38,0)").alias("_q"), *(F.min(x).alias(x) for x in names)
+    )
+    total, k = F.col("_s").cast("double") / 100, F.col("sample_count")
+    spread = F.col("_q").cast("double") - F.col("_s").cast("double") * F.col("_s").cast("double") / k
+    std = F.when(k > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (k - 1)) / 100)
+    ranked = percentiles(counts, keys, {"p75": 0.75})
+    return joined(sums, ranked, keys).select(*keys, *names, "sample_count", total.alias("sum_minutes"), (total / k).alias("avg_minutes"), half_even(F.col("p75")).alias("p75_minutes"), half_even(std).alias("std_minutes"))
 
 
 def cycle_stats_by_month(commits: DataFrame, tz: str = "UTC", least: int = 2) -> DataFrame:
     """Measures by repository and month of the newer commit; months with fewer than two pairs are left out."""
     d = commit_deltas(commits, tz).withColumn("period_month", t.period_month(t.to_local(F.col("committed_at"), tz)))
-    return d.groupBy("repo_slug", "period_month").agg(*_stats(F.col("cycle_minutes"))).filter(F.col("sample_count") >= least)
+    return _measured(d, ["repo_slug", "period_month"]).filter(F.col("sample_count") >= least)
 
 
 def cycle_stats_by_bucket(commits: DataFrame, bucket_size: int = 1000, tz: str = "UTC", least: int = 2) -> DataFrame:
@@ -67,8 +78,8 @@ def cycle_stats_by_bucket(commits: DataFrame, bucket_size: int = 1000, tz: str =
     order = [F.col("committed_at"), F.col("author_ord"), F.col("log_ordinal"), F.col("child_sha")]
     rows = number_rows(d, ["repo_slug"], F.floor(F.col("committed_at") / t.DAY), order, "n")
     rows = rows.withColumn("bucket", F.floor(F.col("n") / bucket_size)).withColumn("month", t.period_month(t.to_local(F.col("committed_at"), tz)))
-    found = rows.groupBy("repo_slug", "bucket").agg(F.min_by("month", "n").alias("period_month"), *_stats(F.col("cycle_minutes")))
-    return found.filter(F.col("sample_count") >= least)
+    found = _measured(rows, ["repo_slug", "bucket"], F.struct("n", "month")).filter(F.col("sample_count") >= least)
+    return found.select("repo_slug", "bucket", F.col("_x0.month").alias("period_month"), "sample_count", "sum_minutes", "avg_minutes", "p75_minutes", "std_minutes")
 
 
 def cycle_chart_series(commits: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -6,44 +6,26 @@ together; loops are over rounds, not rows, and each round is a stored table.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from heapq import heappop, heappush
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deliverix.functions.scalars import branch_line_id
 from deliverix.operators.ordering import CHUNK, SECONDS, number_rows
+from deliverix.operators.selection import counts_by_value, joined, percentiles
+from deliverix.operators.steps import new_path, stored  # noqa: F401
 
 STRATEGIES = ("top", "reverse", "narrow", "stop")
 #: Chunks of a skeleton that are one chunk of the next.
 WIDER = 16
 
 
-def new_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; one of our own where none is set and Spark runs on this machine alone."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/deliverix/step-{uuid.uuid4().hex}"
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """A round's table in the shared folder, which cuts the lineage."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def build_parent_edges(lines: DataFrame) -> DataFrame:
     """From commits(repo_slug, sha, parent_shas separated by spaces): an edge for each parent, in order from 0."""
     parents = F.filter(F.split(F.coalesce("parent_shas", F.lit("")), " +"), lambda x: x != "")
@@ -75,20 +57,20 @@ def default_branch(refs: DataFrame) -> DataFrame:
 def _placed(commits: DataFrame) -> DataFrame:
     """repo_slug, sha and chunk of each commit: of its log ordinal, else of its time, the newest having the least."""
     place = [F.floor(F.col("log_ordinal") / CHUNK)] if "log_ordinal" in commits.columns else []
-    return _stored(commits.select("repo_slug", "sha", F.coalesce(*place, -F.floor(F.col("committed_at") / SECONDS)).alias("chunk")).dropDuplicates(["repo_slug", "sha"]))
+    return stored(commits.select("repo_slug", "sha", F.coalesce(*place, -F.floor(F.col("committed_at") / SECONDS)).alias("chunk")).dropDuplicates(["repo_slug", "sha"]))
 
 
 def _links(known: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges between commits of the snapshot, with the chunks of both ends: repo_slug, chunk, sha, parent_sha, parent_ord, to."""
     ends = known.select("repo_slug", F.col("sha").alias("parent_sha"), F.col("chunk").alias("to"))
     links = edges.select("repo_slug", F.col("child_sha").alias("sha"), "parent_sha", "parent_ord").join(ends, ["repo_slug", "parent_sha"]).join(known, ["repo_slug", "sha"])
-    return _stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "parent_ord", "to"))
+    return stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "parent_ord", "to"))
 
 
 def _by_chunk(entries: DataFrame, links: DataFrame, walk: Callable[..., pa.Table], schema: str) -> DataFrame:
     """walk(key, entries, links) for every chunk that has entries, a task each."""
     inner = links.join(entries.select("repo_slug", "chunk").distinct(), ["repo_slug", "chunk"], "left_semi")
-    return _stored(entries.groupBy("repo_slug", "chunk").cogroup(inner.groupBy("repo_slug", "chunk")).applyInArrow(walk, schema))
+    return stored(entries.groupBy("repo_slug", "chunk").cogroup(inner.groupBy("repo_slug", "chunk")).applyInArrow(walk, schema))
 
 
 def _parents(inner: pa.Table) -> dict[str, list[tuple[str, int]]]:
@@ -135,11 +117,11 @@ def _reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
     crossing = links.filter("to != chunk")
     if crossing.isEmpty():
         return _by_chunk(seeds, links, _filled, "repo_slug string, sha string")
-    entries = _stored(seeds.unionByName(crossing.select("repo_slug", F.col("parent_sha").alias("sha"), F.col("to").alias("chunk"))).distinct())
+    entries = stored(seeds.unionByName(crossing.select("repo_slug", F.col("parent_sha").alias("sha"), F.col("to").alias("chunk"))).distinct())
     inner = _by_chunk(entries, links, _skeleton, "repo_slug string, chunk long, sha string, parent_sha string, to long")
     wide = lambda df, *names: df.withColumns({n: F.floor(F.col(n) / WIDER) for n in names})
     reached = _reach(wide(inner, "chunk", "to"), wide(seeds, "chunk"))
-    return _by_chunk(_stored(entries.join(reached, ["repo_slug", "sha"], "left_semi")), links, _filled, "repo_slug string, sha string")
+    return _by_chunk(stored(entries.join(reached, ["repo_slug", "sha"], "left_semi")), links, _filled, "repo_slug string, sha string")
 
 
 def reachable_from(tips: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -151,7 +133,7 @@ def reachable_from(tips: DataFrame, commits: DataFrame, edges: DataFrame) -> Dat
     chunks of the longest history; a repository of one chunk takes one.
     """
     known = _placed(commits)
-    seeds = _stored(tips.select("repo_slug", F.col("tip_sha").alias("sha")).distinct().join(known, ["repo_slug", "sha"]).select("repo_slug", "sha", "chunk"))
+    seeds = stored(tips.select("repo_slug", F.col("tip_sha").alias("sha")).distinct().join(known, ["repo_slug", "sha"]).select("repo_slug", "sha", "chunk"))
     return _reach(_links(known, edges), seeds)
 
 
@@ -226,11 +208,11 @@ def _walk(known: DataFrame, links: DataFrame, roots: DataFrame, strategy: str, w
     lines = roots.select("repo_slug", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("tip_sha").alias("start"), F.array().cast("array<long>").alias("key"))
     tips = known.withColumnRenamed("sha", "start")
     columns = ["repo_slug", "source", "chunk", "sha", "merge", "ord", "start", "key", "at"]
-    entries = _stored(lines.join(tips, ["repo_slug", "start"]).withColumns({"source": F.lit(None).cast("long"), "sha": F.col("start"), "at": F.lit(0).cast("long")}).select(*columns))
+    entries = stored(lines.join(tips, ["repo_slug", "start"]).withColumns({"source": F.lit(None).cast("long"), "sha": F.col("start"), "at": F.lit(0).cast("long")}).select(*columns))
     todo = entries.select("repo_slug", "chunk").distinct()
     rounds: list[DataFrame] = []
     ran: list[DataFrame] = []
-    while not (todo := _stored(todo)).isEmpty():
+    while not (todo := stored(todo)).isEmpty():
         if watch:
             watch(todo.count())
         ran.append(todo.withColumn("round", F.lit(len(ran))))
@@ -241,7 +223,7 @@ def _walk(known: DataFrame, links: DataFrame, roots: DataFrame, strategy: str, w
         now = found.filter("what != 'claim' and to != chunk").select("repo_slug", F.col("chunk").alias("source"), F.col("to").alias("chunk"), *columns[3:])
         signed = now.withColumn("sign", F.lit(1)).unionAll(before.withColumn("sign", F.lit(-1)))
         todo = signed.groupBy(*columns).agg(F.sum("sign").alias("sign")).filter("sign != 0").select("repo_slug", "chunk").distinct()
-        entries = _stored(entries.join(source, ["repo_slug", "source"], "left_anti").select(*columns).unionAll(now))
+        entries = stored(entries.join(source, ["repo_slug", "source"], "left_anti").select(*columns).unionAll(now))
     if not rounds:
         return lines, known.limit(0).select("repo_slug", "sha", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("sha").alias("start"), F.col("chunk").alias("i"))
     last = reduce(DataFrame.unionAll, ran).groupBy("repo_slug", "chunk").agg(F.max("round").alias("round"))
@@ -377,6 +359,11 @@ def branch_cycle_summary(phases: DataFrame, bucket_size: int | None = None) -> D
     half = F.floor(day("ramp_seconds") / 200) * 100
     zero = F.lit(0).cast("long")
     rows = rows.withColumns({"commits": F.col("commit_count") * 100, "cycle": F.coalesce(day("total_seconds"), zero) - half, "close": day("close_seconds"), "work": half + F.coalesce(day("work_seconds"), zero)})
-    measures = [("p50", F.median), ("p75", lambda c: F.percentile(c, 0.75)), ("avg", F.avg), ("std", F.stddev_samp)]
-    out = [(F.round(f(c)) / 100).alias(f"{name}_{c}") for name, f in measures for c in ("commits", "cycle", "close", "work")]
-    return rows.groupBy("repo_slug", "bucket").agg(F.min("start_at").alias("interval_start"), F.count("*").alias("branches"), F.sum("commit_count").alias("total_commits"), *out)
+    names = ("commits", "cycle", "close", "work")
+    keys = ["repo_slug", "bucket"]
+    counts = counts_by_value(rows.select(*keys, *names).unpivot(keys, list(names), "measure", "days"), [*keys, "measure"], "days")
+    ranked = percentiles(counts, [*keys, "measure"], {"p50": 0.5, "p75": 0.75}, 100_000)
+    wide = ranked.groupBy(*keys).agg(*((F.round(F.max(F.when(F.col("measure") == c, F.col(p)))) / 100).alias(f"{p}_{c}") for p in ("p50", "p75") for c in names))
+    means = [(F.round(f(c)) / 100).alias(f"{n}_{c}") for n, f in (("avg", F.avg), ("std", F.stddev_samp)) for c in names]
+    found = rows.groupBy(*keys).agg(F.min("start_at").alias("interval_start"), F.count("*").alias("branches"), F.sum("commit_count").alias("total_commits"), *means)
+    return joined(found, wide, keys).select(*keys, "interval_start", "branches", "total_commits", *(f"{m}_{c}" for m in ("p50", "p75", "avg", "std") for c in names))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deliverix.functions import time as t
 from deliverix.operators import activity, deltas, metrics
+from deliverix.operators.steps import stored
 
 #: Names of the long rows.
 CYCLE = {"sum_minutes": "aggregate_cycle_time.monthly_sum", "avg_minutes": "aggregate_cycle_time.monthly_average", "p75_minutes": "aggregate_cycle_time.monthly_p75", "std_minutes": "aggregate_cycle_time.monthly_std"}
@@ -18,18 +19,27 @@ THROUGHPUT = "aggregate_throughput.monthly_total_commits"
 PER_ACTIVE_DEV = "aggregate_throughput_per_active_dev.weekly_value"
 
 
+def lattice(commits: DataFrame, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """What all metrics come from, stored: the narrow rows of the commits, which read them once, and the author days of those."""
+    wanted = ["repo_slug", "author_ref", "sha", "committed_at", "log_ordinal", "subject_has_keywords", "body_has_keywords"]
+    rows = stored(commits.select(*(c for c in wanted if c in commits.columns)))
+    return rows, stored(metrics.author_days(rows, tz))
+
+
 def repo_metrics(commits: DataFrame, weeks_back: int = 4, tz: str = "UTC") -> dict[str, DataFrame]:
-    """All series by repository, for all repositories at once."""
-    cycle, failure = deltas.cycle_stats_by_month(commits, tz), metrics.change_failure_monthly(commits, tz=tz)
+    """All series by repository, for all repositories at once, from one reading of the commits."""
+    rows, days = lattice(commits, tz)
     return {
-        "cycle_time": cycle,
-        "change_failure": failure,
-        "active_developers": metrics.active_developers_monthly(commits, tz),
-        "throughput": metrics.throughput_monthly(commits, tz),
-        "throughput_per_active_dev": activity.throughput_per_active_dev_weekly(commits, weeks_back, tz),
-        "active_developers_weekly": activity.active_developers_weekly(commits, weeks_back, tz),
-        "author_percentiles": metrics.author_commit_percentiles(commits),
-        "summary": metrics.repo_summary(commits, tz),
+        "cycle_time": stored(deltas.cycle_stats_by_month(rows, tz)),
+        "change_failure": metrics.change_failure_monthly(days, tz=tz),
+        "active_developers": metrics.active_developers_monthly(days, tz),
+        "authors_by_month": metrics.authors_by_month(days, tz),
+        "throughput": metrics.throughput_monthly(days, tz),
+        "throughput_per_active_dev": activity.throughput_per_active_dev_weekly(days, weeks_back, tz),
+        "active_developers_weekly": activity.active_developers_weekly(days, weeks_back, tz),
+        "window_authors": window_authors_by_week(days, weeks_back, tz),
+        "author_percentiles": metrics.author_commit_percentiles(days),
+        "summary": metrics.repo_summary(days, tz),
     }
 
 
@@ -70,8 +80,9 @@ def window_authors_by_week(commits: DataFrame, weeks_back: int = 4, tz: str = "U
 
 def cohort_rows(cycle: DataFrame, failure: DataFrame, authors: DataFrame, throughput: DataFrame, weekly: DataFrame, window: DataFrame, batch_id: str = "default", cohort_id: str = "all") -> DataFrame:
     """The five aggregates as long rows (batch_id, cohort_id, metric_name, period_key, value_real, value_json)."""
-    c = aggregate_cycle_time(cycle)
-    parts = [c.select(F.lit(name).alias("metric_name"), F.col("period_month").alias("period_key"), F.col(k).cast("double").alias("value_real")) for k, name in CYCLE.items()]
+    c = aggregate_cycle_time(cycle).select(F.col("period_month").alias("period_key"), *(F.col(k).cast("double").alias(name) for k, name in CYCLE.items()))
+    names = [f"`{n}`" for n in CYCLE.values()]
+    parts = [c.unpivot(["period_key"], names, "metric_name", "value_real").select("metric_name", "period_key", "value_real")]
     for df, key, value, name in (
         (aggregate_failure_rate(failure), "period_month", "failure_rate", FAILURE),
         (aggregate_active_developers(authors), "period_month", "unique_authors", AUTHORS),
@@ -85,8 +96,7 @@ def cohort_rows(cycle: DataFrame, failure: DataFrame, authors: DataFrame, throug
 
 def cohort_rows_of(commits: DataFrame, weeks_back: int = 4, tz: str = "UTC", batch_id: str = "default", cohort_id: str = "all") -> DataFrame:
     m = repo_metrics(commits, weeks_back, tz)
-    weekly = m["throughput_per_active_dev"]
-    return cohort_rows(m["cycle_time"], m["change_failure"], metrics.authors_by_month(commits, tz), m["throughput"], weekly, window_authors_by_week(commits, weeks_back, tz), batch_id, cohort_id)
+    return cohort_rows(m["cycle_time"], m["change_failure"], m["authors_by_month"], m["throughput"], m["throughput_per_active_dev"], m["window_authors"], batch_id, cohort_id)
 
 
 def summary_report(commits: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from deliverix.operators import activity, deltas, graph, metrics
+from deliverix.operators import activity, deltas, graph, metrics, rollup
 
 #: Fixed value: the order in which all metrics run.
 METRICS: dict[str, Callable[..., DataFrame]] = {
@@ -20,6 +20,8 @@ METRICS: dict[str, Callable[..., DataFrame]] = {
     "throughput_per_active_developer_monthly": lambda c, **o: activity.throughput_per_active_dev_monthly(c, o["weeks_back"], o["tz"]),
     "author_commit_percentiles": lambda c, **o: metrics.author_commit_percentiles(c),
 }
+#: Those that need single commits in order; the others also take author days.
+PAIRED = ("cycle_time_monthly", "cycle_time_delta_events")
 #: Only run when named.
 OPT_IN = ("cycle_time_by_branches",)
 
@@ -37,14 +39,15 @@ def run_metrics(
     commits: DataFrame, names: str | list[str] = "all", edges: DataFrame | None = None, roots: DataFrame | None = None, tz: str = "UTC", weeks_back: int = 4,
     work_style: str = "all-branches", strategy: str = "top", on_metric: Callable[[str, DataFrame], None] | None = None,
 ) -> dict[str, DataFrame]:
-    """The chosen metrics, in the fixed order; commits are cached once where several run. on_metric is told of each."""
+    """The chosen metrics, in the fixed order; where several run, the commits are read once and stored in narrow rows and author days. on_metric is told of each."""
     chosen = choose(names)
+    rows = days = commits
     if len(chosen) > 1:
-        commits = commits.cache()
+        rows, days = rollup.lattice(commits, tz)
     out = {}
     for n in chosen:
         if n in METRICS:
-            out[n] = METRICS[n](commits, tz=tz, weeks_back=weeks_back, work_style=work_style)
+            out[n] = METRICS[n](rows if n in PAIRED else days, tz=tz, weeks_back=weeks_back, work_style=work_style)
         else:
             if edges is None or roots is None:
                 raise ValueError("cycle_time_by_branches needs commit_parent_edges and roots")
