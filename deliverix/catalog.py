@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deliverix.functions import scalars as s
 from deliverix.functions import time as t
 from deliverix.operators import activity, deltas, graph, metrics, reconcile, rollup, series
+from deliverix.operators.steps import stored
 from deliverix.plans import registry, views
 from deliverix.plans.views import DELTAS_SQL, EDGES_SQL, EVENTS_SQL, ORDERS_SQL
 from deliverix.sources import export, readers, sinks
@@ -82,6 +83,37 @@ _orders(
     "," + DELTAS_SQL,
 )
 
+# a zone with clock changes; DuckDB's own zones may be missing, so the rule of those years stands here: the first Sunday of April to the last of October
+_ZONE = "America/Los_Angeles"
+_ZONED = """, edge AS (SELECT DISTINCT year(local.at) AS y FROM local),
+summer AS (SELECT y, make_timestamp(y, 4, 1, 10, 0, 0) + INTERVAL 1 DAY * ((7 - dayofweek(make_date(y, 4, 1))) % 7) AS begins, make_timestamp(y, 10, 31, 9, 0, 0) - INTERVAL 1 DAY * dayofweek(make_date(y, 10, 31)) AS ends FROM edge),
+zoned AS (SELECT l.* EXCLUDE ("at", period_month, period_week, monday), l.at - INTERVAL 1 HOUR * CASE WHEN l.at >= begins AND l.at < ends THEN 7 ELSE 8 END AS wall FROM local l JOIN summer ON y = year(l.at))"""
+_orders(
+    "d6_cycle_stats_in_a_zone",
+    lambda c: deltas.cycle_stats_by_month(c, _ZONE),
+    f"""SELECT repo_slug, period_month, {_STATS} FROM (
+      SELECT repo_slug, strftime(wall, '%Y-%m') AS period_month, round((epoch(wall) - epoch(lag(wall) OVER (PARTITION BY repo_slug, author_ref ORDER BY log_ordinal DESC))) / 60, 2)::DOUBLE AS cycle_minutes FROM zoned)
+    WHERE cycle_minutes IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
+    _ZONED,
+)
+_orders(
+    "a6_active_developers_in_a_zone",
+    lambda c: activity.active_developers_weekly(c, 4, _ZONE),
+    """SELECT w.repo_slug, w.period_week, 4 AS weeks_back, any_value(w.n) AS commit_count, count(DISTINCT a.author_ref) AS active_developers
+    FROM (SELECT repo_slug, strftime(wall, '%G-W%V') AS period_week, date_trunc('week', wall)::TIMESTAMP AS monday, count(*) AS n FROM zoned GROUP BY ALL) w
+    JOIN zoned a ON a.repo_slug = w.repo_slug AND a.wall >= w.monday - INTERVAL '28 days' AND a.wall <= w.monday + INTERVAL '7 days' GROUP BY ALL""",
+    _ZONED,
+)
+_orders(
+    "e4_week_bounds_in_a_zone",
+    lambda c: c.select("repo_slug", "sha", *(v.alias(k) for k, v in t.week_bounds(F.col("committed_at"), _ZONE).items())),
+    """SELECT repo_slug, sha, strftime(wall, '%G-W%V') AS period_week, CAST(epoch(m) AS BIGINT) + 3600 * CASE WHEN m > a.begins - INTERVAL 8 HOUR AND m <= a.ends - INTERVAL 7 HOUR THEN 7 ELSE 8 END AS week_monday_unix,
+      CAST(epoch(n) AS BIGINT) + 3600 * CASE WHEN n > b.begins - INTERVAL 8 HOUR AND n <= b.ends - INTERVAL 7 HOUR THEN 7 ELSE 8 END AS week_end_unix
+    FROM (SELECT *, date_trunc('week', wall)::TIMESTAMP AS m, date_trunc('week', wall)::TIMESTAMP + INTERVAL 7 DAY AS n FROM zoned) z JOIN summers a ON a.y = year(m) JOIN summers b ON b.y = year(n)""",
+    _ZONED + """, summers AS (SELECT y, make_timestamp(y, 4, 1, 10, 0, 0) + INTERVAL 1 DAY * ((7 - dayofweek(make_date(y, 4, 1))) % 7) AS begins, make_timestamp(y, 10, 31, 9, 0, 0) - INTERVAL 1 DAY * dayofweek(make_date(y, 10, 31)) AS ends
+      FROM (SELECT unnest(range(min(y) - 1, max(y) + 2)) AS y FROM edge))""",
+)
+
 # counts and rates
 _COUNTS = "count(*) AS commit_count, count(DISTINCT author_ref) AS unique_authors"
 _orders("a2_throughput_monthly", metrics.throughput_monthly, f"SELECT repo_slug, period_month, {_COUNTS} FROM local GROUP BY ALL")
@@ -207,6 +239,14 @@ _edged(
     """, reach AS (SELECT repo_slug, sha FROM commits WHERE log_ordinal = 1
       UNION SELECT r.repo_slug, e.parent_sha FROM reach r JOIN edges e ON e.repo_slug = r.repo_slug AND e.child_sha = r.sha)""",
 )
+_edged(
+    "p14_no_default_branch",
+    lambda c, e: graph.without_default_branch(
+        c.filter("log_ordinal < 2").select("repo_slug", F.when(F.col("repo_slug") == "repo1", "topic").when(F.col("repo_slug") == "repo2", "refs/heads/master").otherwise("main").alias("ref_name"), F.when(F.col("repo_slug") == "repo3", "gone").otherwise(F.col("sha")).alias("tip_sha")), c
+    ),
+    "SELECT DISTINCT repo_slug FROM commits WHERE repo_slug IN ('repo1', 'repo3')",
+)
+
 
 def _walk_sql(strategy: str) -> str:
     """CTEs lines and members: a walk of one commit a step, with what has been claimed as bits and the lines that wait as a list. Commits are numbered as in the log."""
@@ -559,6 +599,10 @@ _orders("w2_rank_in_period", lambda c: series.period_ranks(metrics.throughput_mo
     """SELECT repo_slug, period_month, commit_count, unique_authors, CAST(row_number() OVER (PARTITION BY repo_slug, period_month[:4] ORDER BY commit_count, period_month) AS INTEGER) AS rank_in_period
     FROM (SELECT repo_slug, period_month, count(*) AS commit_count, count(DISTINCT author_ref) AS unique_authors FROM local GROUP BY ALL)""")
 
+_orders("w2_rank_with_ties", lambda c: series.period_ranks(metrics.throughput_monthly(c), [F.left("period_month", F.lit(4))], "unique_authors"),
+    """SELECT *, CAST(row_number() OVER (PARTITION BY period_month[:4] ORDER BY unique_authors, commit_count, period_month, repo_slug) AS INTEGER) AS rank_in_period
+    FROM (SELECT repo_slug, period_month, count(*) AS commit_count, count(DISTINCT author_ref) AS unique_authors FROM local GROUP BY ALL)""")
+
 # roll-ups
 _MONTHLY = f"cycle AS (SELECT repo_slug, period_month, {_STATS} FROM deltas GROUP BY ALL HAVING count(*) >= 2)"
 _near = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})
@@ -597,7 +641,7 @@ _orders(
 )
 _orders(
     "r10_reconcile",
-    lambda c: reconcile.reconcile_metric("change_failure_monthly", metrics.change_failure_monthly(c), metrics.change_failure_monthly(c.filter("o_orderkey % 50 > 0"), s.SQUASH), ["repo_slug", "period_month"]).groupBy("repo_slug", "problem", "column").agg(F.count("*").alias("n")),
+    lambda c: reconcile.reconcile_metric("change_failure_monthly", stored(metrics.change_failure_monthly(c)), stored(metrics.change_failure_monthly(c.filter("o_orderkey % 50 > 0"), s.SQUASH)), ["repo_slug", "period_month"]).groupBy("repo_slug", "problem", "column").agg(F.count("*").alias("n")),
     """SELECT repo_slug, d.p AS problem, d.c AS "column", count(*) AS n FROM (
       SELECT coalesce(a.repo_slug, b.repo_slug) AS repo_slug, unnest(CASE WHEN b.repo_slug IS NULL THEN [{'p': 'only left', 'c': NULL}] WHEN a.repo_slug IS NULL THEN [{'p': 'only right', 'c': NULL}] ELSE list_filter([
         CASE WHEN a.total_commits <> b.total_commits THEN {'p': 'value mismatch', 'c': 'total_commits'} END, CASE WHEN a.fix_like_commits <> b.fix_like_commits THEN {'p': 'value mismatch', 'c': 'fix_like_commits'} END,

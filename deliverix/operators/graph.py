@@ -137,8 +137,19 @@ def reachable_from(tips: DataFrame, commits: DataFrame, edges: DataFrame) -> Dat
     return _reach(_links(known, edges), seeds)
 
 
-def squash_commits(refs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """The commits of squashed work: those that the default branch reaches."""
+def without_default_branch(refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """repo_slug of the repositories with commits of which no ref is a default branch, or whose default branch is at a commit that isn't in the snapshot; they have no squash results."""
+    tips = default_branch(refs).select("repo_slug", F.col("tip_sha").alias("sha"))
+    known = tips.join(commits.select("repo_slug", "sha"), ["repo_slug", "sha"], "left_semi")
+    return commits.select("repo_slug").distinct().join(known, "repo_slug", "left_anti")
+
+
+def squash_commits(refs: DataFrame, commits: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
+    """The commits of squashed work: those that the default branch reaches. Where strict, a repository without a default branch is an error."""
+    if strict:
+        lost = [r[0] for r in without_default_branch(refs, commits).limit(5).collect()]
+        if lost:
+            raise ValueError(f"no default branch: {', '.join(map(str, lost))}{', ...' if len(lost) == 5 else ''}")
     return commits.join(reachable_from(default_branch(refs), commits, edges), ["repo_slug", "sha"], "left_semi")
 
 

@@ -21,9 +21,41 @@ TOLERANCES = {
 RELATIVE = {"multi_repo_aggregate": 1e-9}
 
 
+#: Ranges of the hash of a key, for each value of the first key column.
+RANGES = 256
+
+
+def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("_range", F.pmod(F.xxhash64(*keys), F.lit(RANGES)))
+
+
+def unequal_ranges(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(first key column, _range) of the ranges of keys whose rows differ in the common columns, by digests that don't depend on the rows' order.
+
+    A digest is the rows' number with an exclusive or and a sum of their hashes; the tables are read once for it, and a row for each range is shuffled.
+    """
+    common = [c for c in left.columns if c in right.columns]
+    h = F.xxhash64(*common)
+    part = lambda df: _ranged(df, keys).groupBy(F.col(keys[0]).alias("_key"), "_range").agg(F.struct(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).alias("digest"))
+    both = part(left).withColumn("_left", F.lit(1)).unionAll(part(right).withColumn("_left", F.lit(0)))
+    sides = both.groupBy("_key", "_range").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    return sides.filter("n < 2 or lo != hi").select(F.col("_key").alias(keys[0]), "_range")
+
+
+def rows_of_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of df whose keys lie in the ranges."""
+    few = ranges.withColumnsRenamed({keys[0]: "_key", "_range": "_of"})
+    return _ranged(df, keys).join(few, F.col(keys[0]).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")), "left_semi").drop("_range")
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerances: dict[str, float] | None = None, relative: float = 0.0) -> DataFrame:
-    """Rows that differ: keys, column, problem ('only left', 'only right', 'value mismatch') and both values as text."""
+    """Rows that differ: keys, column, problem ('only left', 'only right', 'value mismatch') and both values as text.
+
+    Ranges of keys with equal digests are left out of the join. Both tables are read twice, so they should be stored ones.
+    """
     tolerances = tolerances or {}
+    ranges = unequal_ranges(left, right, keys)
+    left, right = (rows_of_ranges(df, ranges, keys) for df in (left, right))
     columns = [c for c in left.columns if c not in keys and c in right.columns]
     a = left.select(*keys, *(F.col(c).alias(f"l_{c}") for c in columns), F.lit(True).alias("_l")).alias("a")
     b = right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in columns), F.lit(True).alias("_r")).alias("b")

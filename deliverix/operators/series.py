@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,6 +104,7 @@ def commit_trend_rows(commits: DataFrame, tz: str = "UTC") -> DataFrame:
     return metrics.commit_runs(commits, tz).select(F.col("week").alias("date"), "commits", F.col("author_ref").alias("author"), "repo_slug")
 
 
-def period_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Adds rank_in_period by value; ties by nothing else, so they share no rank but keep an arbitrary order."""
-    return df.withColumn("rank_in_period", F.row_number().over(W.partitionBy(*keys).orderBy(value)))
+def period_ranks(df: DataFrame, keys: Sequence[str | Column], value: str, ties: Sequence[str] | None = None) -> DataFrame:
+    """Adds rank_in_period by value, ties by the given columns; by all others, in order of their names, where none are given."""
+    others = sorted(c for c in df.columns if c != value) if ties is None else ties
+    return df.withColumn("rank_in_period", F.row_number().over(W.partitionBy(*keys).orderBy(value, *others)))

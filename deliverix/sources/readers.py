@@ -123,8 +123,11 @@ def from_lake(lake: DataFrame, repo: str | None = None) -> DataFrame:
 
 
 def from_devlake(commits: DataFrame, parents: DataFrame, refs: DataFrame, repo_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Commits, edges and refs from a DevLake database's tables; it has no log order, so pairs are made by time."""
+    """Commits, edges and refs from a DevLake database's tables; it has no log order, so pairs are made by time. Without parent_ord (the usual tables have none)
+    nobody knows the first parent: parents are numbered by sha, which does for reachability and counts, and not for branch lines."""
     warnings.warn("no log ordinals: commits are paired by time", stacklevel=2)
+    if "parent_ord" not in parents.columns:
+        warnings.warn("no order of parents: first parents, and so branch lines, are arbitrary", stacklevel=2)
     mine = commits if repo_ids is None else commits.filter(F.col("_raw_data_params").isin(*repo_ids))
     c = mine.select(F.col("_raw_data_params").alias("repo_slug"), "sha", F.col("author_email").alias("author_ref"), F.unix_timestamp("committed_date").alias("committed_at"), "message", F.lit(None).cast("long").alias("log_ordinal"))
     order = F.col("parent_ord") if "parent_ord" in parents.columns else F.row_number().over(_by_child()) - 1
