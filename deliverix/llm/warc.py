@@ -1,13 +1,13 @@
 """WARC archives: written with an index of every record, read back by coalesced byte ranges.
 
-Tasks write a file each: one gzip member for each record, the page's html as payload. Of pages with equal
-payloads the one with the largest id is the response, the others are revisits that name it and hold no
-block. The index (file, offset, length, url, digest, record type) is a stored table, and only files that it
+Tasks write a file each: a gzip member for each record, warcinfo first. A block is an HTTP response, with the page's html as
+payload. Of pages with equal payloads the one with the largest id is the response; the others are revisits that name its address and hold the HTTP
+head alone. Record ids are made of the file and the place in it, so that no two are the same; page ids are fields of their own. The index (file, offset, length, url, digest, record type) is a stored table, and only files that it
 names count, so a task that is run again leaves at most a file that nobody reads. Selected index rows are
 dealt out by slices of files to as many readers as the records' bytes need; each sorts its rows by file and offset,
 joins ranges that are close, and parses the records from each range.
 
-Defined results: null html is an empty payload; a null url is an empty one; a page without id is a response
+Defined results: null html is an empty payload; a null url is an empty one (urn:empty in the record, which may not be without); a page without id is a response
 unless a page with an id has its payload, and then a revisit; rows that repeat the response's id are responses
 too; an empty table gives no records. Other columns are not read.
 """
@@ -36,6 +36,8 @@ GAP, RANGE = 64_000, 4_000_000
 SLICE, TASK_BYTES, TASKS = 8_000_000, 64_000_000, 16
 #: Fixed value: the date of every record, so that a record is the same whenever it is written.
 DATE = "2000-01-01T00:00:00Z"
+#: Stands for an empty address.
+EMPTY = "urn:empty"
 #: Fixed value: the profile of revisits by payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -47,46 +49,63 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member."""
-    name = lambda i: f"<urn:page:{'' if i is None else i}>"
-    head = [
-        "WARC/1.1",
+def _member(fields: list[str], block: bytes) -> bytes:
+    """A record as a gzip member."""
+    head = ["WARC/1.1", *fields, f"WARC-Date: {DATE}", f"WARC-Block-Digest: sha1:{digest_of(block)}", f"Content-Length: {len(block)}"]
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+
+
+def record_id(path: str, offset: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{offset}')}>"
+
+
+def info(path: str) -> bytes:
+    """The first record of a file."""
+    name = path.rsplit("/", 1)[-1]
+    fields = ["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(path, 0)}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _member(fields, b"software: deliverix\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(path: str, offset: int, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str) -> bytes:
+    """The record of a page at its place in a file."""
+    fields = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {name(page_id)}",
-        f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Record-ID: {record_id(path, offset)}",
+        f"WARC-Warcinfo-ID: {record_id(path, 0)}",
+        f"WARC-Target-URI: {url or EMPTY}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        "Content-Type: application/http; msgtype=response",
         f"X-Payload-Length: {len(payload)}",
     ]
+    if page_id is not None:
+        fields.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + z.flush()
+        fields += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {refers_url or EMPTY}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers_to}"]
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _member(fields, head if refers_to is not None else head + payload)
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields and block of a record."""
+    """Fields and payload of a page's record."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
     fields = dict(x.split(": ", 1) for x in lines)
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def with_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and refers_to of every page. A payload with copies is keyed by its digest and length."""
+    """page_id, url, html, refers_to and refers_url of every page. A payload with copies is keyed by its digest and length."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("size"))
-    copies = rows.filter(F.col("size") >= LEAST_BYTES).groupBy("sha", "size").agg(F.max("page_id").alias("lead"), F.count("*").alias("n"))
-    several = stored(copies.filter("n > 1").select("sha", "size", "lead"), "warc-leads")
+    copies = rows.filter(F.col("size") >= LEAST_BYTES).groupBy("sha", "size").agg(F.max(F.struct("page_id", "url")).alias("lead"), F.count("*").alias("n"))
+    several = stored(copies.filter("n > 1").select("sha", "size", "lead.page_id", "lead.url").toDF("sha", "size", "lead", "lead_url"), "warc-leads")
     joined = rows.join(several, ["sha", "size"], "left")  # both sides are plain shuffles, so AQE splits the rows of a copied payload
     refers = F.when(F.col("lead").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead"))
-    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "html", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("lead_url")).alias("refers_url"))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -101,13 +120,15 @@ def write_archives(pages: DataFrame) -> DataFrame:
         out, at = None, 0
         for b in batches:
             rows = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns)):
+            for page_id, url, html, refers_to, refers_url in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     store.create_dir(top, recursive=True)
                     out = store.open_output_stream(path, compression=None)
+                    at = out.write(info(path))
                 payload = html.encode()
                 digest = digest_of(payload)
-                data = record(page_id, " ".join((url or "").split()), payload, digest, refers_to)
+                line = lambda x: " ".join((x or "").split())
+                data = record(path, at, page_id, line(url), payload, digest, refers_to, line(refers_url))
                 out.write(data)
                 rows.append((page_id, url, digest, "response" if refers_to is None else "revisit", refers_to, folder, path, at, len(data)))
                 at += len(data)
@@ -147,12 +168,12 @@ def read_records(selected: DataFrame) -> DataFrame:
                 out = []
                 for offset, length in records:
                     fields, block = parse(data[offset - start : offset - start + length])
-                    number = lambda k: int(x) if (x := fields.get(k, "").removeprefix("<urn:page:").removesuffix(">")) else None  # noqa: B023, E731
+                    number = lambda k: int(x) if (x := fields.get(k)) else None  # noqa: B023, E731
                     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                     if kind == "response" and digest_of(block) != digest:
                         raise ValueError(f"damaged record at {path}:{offset}")
                     whole = block if kind == "response" else None
-                    out.append((number("WARC-Record-ID"), int(fields["X-Payload-Length"]), digest, kind, number("WARC-Refers-To"), fields["WARC-Target-URI"], whole))
+                    out.append((number("X-Page-ID"), int(fields["X-Payload-Length"]), digest, kind, number("X-Refers-To-Page"), fields["WARC-Target-URI"].removeprefix(EMPTY), whole))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 

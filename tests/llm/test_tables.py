@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import http.client
+import io
 import zlib
 
 import numpy as np
@@ -66,6 +68,58 @@ def test_warc(spark):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def read_by_the_rules(path):
+    """Fields and block of each record of a file, by the rules of the format alone."""
+    data = open(path, "rb").read()
+    while data:
+        z = zlib.decompressobj(31)
+        raw = z.decompress(data) + z.flush()
+        assert z.eof  # a whole member, which is one record
+        data = z.unused_data
+        head, block = raw.split(b"\r\n\r\n", 1)
+        version, *lines = head.decode().split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+        size = int(fields["content-length"])
+        assert version == "WARC/1.1" and block[size:] == b"\r\n\r\n"
+        assert {"warc-type", "warc-record-id", "warc-date"} <= set(fields)
+        assert fields["warc-block-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block[:size]).digest()).decode()
+        yield fields, block[:size]
+
+
+class _Socket:
+    def __init__(self, data):
+        self.data = data
+
+    def makefile(self, *_):
+        return io.BytesIO(self.data)
+
+
+def test_warc_by_a_second_reader(spark):
+    """HTTP responses, payload digests, revisits and ids, as any reader of the format sees them."""
+    rows = [(1, "http://a/1", "<p>a</p>"), (2, "http://a/2 x", "<p>a</p>"), (3, "http://a/3", "é\r\n\r\nx"), (4, None, ""), (5, "http://a/5", None), (None, "http://a/n", "alone"), (None, "http://a/n", "alone"), (3, "http://a/3", "é\r\n\r\nx")]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    seen, ids = [], []
+    for path in sorted({r.path for r in index.collect()}):
+        records = list(read_by_the_rules(path))
+        assert records[0][0]["warc-type"] == "warcinfo" and records[0][0]["content-type"] == "application/warc-fields"
+        for fields, block in records[1:]:
+            assert fields["content-type"] == "application/http; msgtype=response" and fields["warc-warcinfo-id"] == records[0][0]["warc-record-id"]
+            response = http.client.HTTPResponse(_Socket(block))
+            response.begin()
+            assert response.status == 200 and response.getheader("Content-Type") == "text/html; charset=utf-8"
+            body = response.read() if fields["warc-type"] == "response" else None
+            if body is not None:
+                assert fields["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+            seen.append((fields["warc-type"], fields["warc-target-uri"], body and body.decode(), fields.get("warc-refers-to-target-uri")))
+        ids += [f["warc-record-id"] for f, _ in records]
+    assert len(ids) == len(set(ids))
+    want = [("revisit", "http://a/1", None, "http://a/2 x"), ("response", "http://a/2 x", "<p>a</p>", None), ("response", "http://a/3", "é\r\n\r\nx", None), ("response", "http://a/3", "é\r\n\r\nx", None)]
+    want += [("revisit", "urn:empty", None, "http://a/5"), ("response", "http://a/5", b"", None), *[("response", "http://a/n", "alone", None)] * 2]
+    assert sorted(map(str, seen)) == sorted(map(str, want))
+    got = warc.read_records(index).filter("page_id = 4 or page_id = 3").collect()
+    assert {(x.page_id, x.url, x.payload and x.payload.decode()) for x in got} == {(4, "", None), (3, "http://a/3", "é\r\n\r\nx")}
+
+
 def test_warc_of_one_payload_on_many_pages(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "SLICE", 2000)
     rows = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, F.lit("<p>same</p>")).otherwise(F.col("id").cast("string")).alias("html"))
