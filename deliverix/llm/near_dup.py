@@ -43,15 +43,8 @@ LEAF, DEPTH = 200, 5
 MOST_NODES = TREES * 2 ** (DEPTH - 2)
 #: Estimated similarity from which a pair is confirmed (that of pairs at 0.75 has a standard error of 0.023).
 CANDIDATE = 0.65
-#: Spark's own Bloom filter before a join of texts: on the first key alone, of 4 MB however many keys there are.
-FILTERED = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(1 << 60),
-    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 25),
-    "spark.sql.optimizer.runtimeFilter.number.threshold": "1",
-}
+#: Bits of a Bloom filter for each wanted text (about one in fifty others passes), and at most in all (128 MB; beyond that more others pass).
+FILTER_BITS, MOST_BITS = 8, 1 << 30
 
 _BASE = "doc_id long, n_shingles long, th long, digest binary, sig binary, sketch binary"
 
@@ -253,11 +246,19 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def filter_of(wanted: int) -> dict[str, str]:
+    """Settings for Spark's own Bloom filter before a join of texts, made for so many wanted ones."""
+    items = max(wanted, 1000)
+    bits = min(max(FILTER_BITS * items, 1 << 16), MOST_BITS)
+    runtime = "spark.sql.optimizer.runtime.bloomFilter"
+    sized = {"expectedNumItems": items, "maxNumItems": items, "numBits": bits, "maxNumBits": bits, "applicationSideScanSizeThreshold": 0, "creationSideThreshold": 1 << 60}
+    return {f"{runtime}.{k}": str(v) for k, v in sized.items()} | {f"{runtime}.enabled": "true", "spark.sql.optimizer.runtimeFilter.number.threshold": "1"}
+
+
 def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
     """(cls, text) of the classes in pairs: the text of the row that stands for the class. repeated has the (doc_id, th) of several rows, of which one is taken.
 
-    Few rows of docs are wanted, so a Bloom filter of their text hashes keeps most texts out of the shuffle. Its size is
-    fixed: with more rows than it was made for it lets more texts through, and the join decides.
+    Few rows of docs are wanted, so a Bloom filter of their text hashes, sized by their number, keeps most texts out of the shuffle; the join decides.
     """
     same = lambda x, y: (x["th"] == y["th"]) & x["doc_id"].eqNullSafe(y["doc_id"])
     ends = pairs.select(F.col("a").alias("cls")).distinct().unionAll(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
@@ -268,7 +269,7 @@ def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: Da
     found = of(wanted.filter("rows = 1"))
     if not repeated.isEmpty():
         found = found.unionAll(of(wanted.filter("rows > 1")).dropDuplicates(["cls"]))
-    with settings(docs.sparkSession, FILTERED):
+    with settings(docs.sparkSession, filter_of(wanted.count())):
         return stored(found, "texts")
 
 

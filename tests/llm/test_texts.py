@@ -306,7 +306,7 @@ def test_texts_of_wanted_classes_pass_the_filter(spark):
     wanted = rows.filter("doc_id is null or doc_id < 10")
     pairs = wanted.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     repeated = docs.withColumn("th", F.xxhash64("text")).groupBy("doc_id", "th").agg(F.count("*").alias("rows")).filter("rows > 1")
-    before = {k: spark.conf.get(k, None) for k in near_dup.FILTERED}
+    before = {k: spark.conf.get(k, None) for k in near_dup.filter_of(5)}
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -314,4 +314,10 @@ def test_texts_of_wanted_classes_pass_the_filter(spark):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.select("cls", "text").collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert {k: spark.conf.get(k, None) for k in near_dup.FILTERED} == before
+    assert {k: spark.conf.get(k, None) for k in near_dup.filter_of(5)} == before
+
+
+def test_the_filter_grows_with_what_is_wanted():
+    bits = lambda n: int(near_dup.filter_of(n)["spark.sql.optimizer.runtime.bloomFilter.numBits"])
+    assert bits(10) == 1 << 16 and bits(10**6) == 8 * 10**6 and bits(10**12) == near_dup.MOST_BITS
+    assert all(f[f"spark.sql.optimizer.runtime.bloomFilter.max{k}"] == f[f"spark.sql.optimizer.runtime.bloomFilter.{v}"] for f in (near_dup.filter_of(10**7),) for k, v in (("NumItems", "expectedNumItems"), ("NumBits", "numBits")))
