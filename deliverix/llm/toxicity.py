@@ -115,24 +115,45 @@ class PositiveUnlabelled:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def non_negative_fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 5e-5) -> tuple[np.ndarray, float]:
-    """Weights and offset that minimise prior * R_p+ + max(0, R_u- - prior * R_p-), sigmoid loss, by Adam; where the second term is negative, steps undo it."""
+class Rows:
+    """Rows of zeros and ones by the places of their ones."""
+
+    def __init__(self, lists: list[list[int]], size: int) -> None:
+        self.m, self.size = len(lists), size
+        self.row = np.repeat(np.arange(self.m), [len(x) for x in lists])
+        self.at = np.fromiter((k for x in lists for k in x), np.int64, len(self.row))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.at], minlength=self.m)
+
+    def summed(self, s: np.ndarray) -> np.ndarray:
+        """The sum of s over the rows that have a one, for each place."""
+        return np.bincount(self.at, weights=s[self.row], minlength=self.size)
+
+
+def non_negative_fit(p: Rows, u: Rows, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 5e-5) -> tuple[np.ndarray, float]:
+    """Weights and offset that minimise prior * R_p+ + max(0, R_u- - prior * R_p-), sigmoid loss, by Adam; where the second term is negative, steps undo it.
+
+    The two kinds of steps take turns about the end, so steps get smaller and the weights of the later half are averaged: what is
+    left of rounding and of the order of rows stays far below any score's digits that matter.
+    """
     loss = lambda z: 1 / (1 + np.exp(np.clip(z, -40, 40)))
-    w = np.zeros(x_p.shape[1] + 1, np.float32)
-    x_p, x_u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (x_p, x_u))
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    w, m, v, mean = (np.zeros(p.size + 1) for _ in range(4))
+    later = steps - steps // 2
     for t in range(1, steps + 1):
-        lp, lu = loss(x_p @ w), loss(x_u @ w)
+        lp, lu = loss(p.times(w[:-1]) + w[-1]), loss(u.times(w[:-1]) + w[-1])
         # d loss(z)/dz = -loss (1 - loss); the loss of -z is 1 - loss(z)
-        slope_p, slope_u = (lp * (1 - lp)).astype(np.float32), (lu * (1 - lu)).astype(np.float32)
-        pos = -(x_p.T @ slope_p) / len(x_p)
-        neg_p, neg_u = -pos, (x_u.T @ slope_u) / len(x_u)
+        slope_p, slope_u = lp * (1 - lp), lu * (1 - lu)
+        pos = -np.append(p.summed(slope_p), slope_p.sum()) / p.m
+        neg_p, neg_u = -pos, np.append(u.summed(slope_u), slope_u.sum()) / u.m
         rest = (1 - lu).mean() - prior * (1 - lp).mean()
         g = prior * pos + neg_u - prior * neg_p if rest >= 0 else -(neg_u - prior * neg_p)
-        g = (g + decay * np.append(w[:-1], 0)).astype(np.float32)
+        g = g + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return w[:-1].astype(float), float(w[-1])
+        w = w - rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if t > steps - later:
+            mean += w / later
+    return mean[:-1], float(mean[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
@@ -173,12 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled | None:
     x = {0: [], 1: []}
     for r in rows.mapInArrow(narrow, "positive int, at array<int>").collect():
         x[r.positive].append(r["at"])
-    matrix = {}
-    for k, lists in x.items():
-        matrix[k] = np.zeros((len(lists), len(features)), np.float32)
-        for i, at in enumerate(sorted(lists)):  # sums of floats depend on the order
-            matrix[k][i, at] = 1
-    weights, offset = non_negative_fit(matrix[1], matrix[0], float(share))
+    weights, offset = non_negative_fit(*(Rows(sorted(x[k]), len(features)) for k in (1, 0)), float(share))  # sums depend on the order, a little
     return PositiveUnlabelled(features, weights, offset)
 
 

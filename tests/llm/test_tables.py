@@ -39,6 +39,10 @@ def odd_dir(odd, tmp_path_factory):
     return where
 
 
+def rows_of(x):
+    return toxicity.Rows([np.flatnonzero(r).tolist() for r in x], x.shape[1])
+
+
 def tasks_with_rows(df):
     return df.select(F.spark_partition_id().alias("p")).distinct().count()
 
@@ -407,10 +411,10 @@ def test_non_negative_risk_falls_along_its_gradient():
     for prior in (0.2, 0.99):
         w = np.zeros(5)
         g = np.array([(risk(w + 1e-5 * e, prior) - risk(w - 1e-5 * e, prior)) / 2e-5 for e in np.eye(5)])
-        got, offset = toxicity.non_negative_fit(x_p, x_u, prior, steps=1, rate=1e-3, decay=0.0)
+        got, offset = toxicity.non_negative_fit(rows_of(x_p), rows_of(x_u), prior, steps=1, rate=1e-3, decay=0.0)
         assert (np.sign(np.append(got, offset)) == -np.sign(g))[np.abs(g) > 1e-4].all()
     before = risk(np.zeros(5), 0.2)
-    w, b = toxicity.non_negative_fit(x_p, x_u, 0.2, decay=0.0)
+    w, b = toxicity.non_negative_fit(rows_of(x_p), rows_of(x_u), 0.2, decay=0.0)
     assert risk(np.append(w, b), 0.2) <= before
 
 
@@ -427,7 +431,7 @@ def test_non_negative_risk():
     r = np.random.default_rng(0)
     x_p = (r.random((300, 5)) < [0.9, 0.1, 0.1, 0.1, 0.1]).astype(np.float32)
     clean = (r.random((900, 5)) < [0.02, 0.1, 0.1, 0.1, 0.1]).astype(np.float32)
-    w, b = toxicity.non_negative_fit(x_p, np.vstack([x_p[:100], clean]), 0.1)
+    w, b = toxicity.non_negative_fit(rows_of(x_p), rows_of(np.vstack([x_p[:100], clean])), 0.1)
     assert w[0] + b > 0 > b and w[0] > 3 * np.abs(w[1:]).max()
 
 
