@@ -30,6 +30,7 @@ def stats(rows, order):
     return [(r.period_month, r.sum_minutes, round(r.avg_minutes, 2), r.p75_minutes, r.std_minutes) for r in sorted(rows.collect(), key=lambda r: r[order])]
 
 
+# Day offsets of commits, and the expected months, buckets and rates of these histories.
 def test_monthly_golden(spark):
     h = history(spark, [10, 11, 12, 13, 34, 35, 41, 49, 60, 75, 80, 85], 1)
     assert stats(deltas.cycle_stats_by_month(h), "period_month") == [("2023-09", 4320, 1440, 1440, 0), ("2023-10", 67680, 13536, 15840, 10708), ("2023-11", 36000, 12000, 14400, 8314)]
@@ -55,6 +56,7 @@ def test_failure_golden(spark):
     assert {r.period_month: r.failure_rate for r in got} == {"2023-09": 40.0, "2023-10": 75.0, "2023-11": 33.3}
 
 
+# End of the fixed values.
 def epoch(*when, tz=LA):
     return int(dt.datetime(*when, tzinfo=ZoneInfo(tz)).timestamp())
 
@@ -185,16 +187,21 @@ def test_work_style(spark):
     assert [tuple(r) for r in df.select(s.fix_like_message(F.col("m")), s.fix_like_message(F.col("m"), s.SQUASH)).collect()] == [(True, False), (True, True), (False, False)]
 
 
-def test_two_repo_rollup(spark):
-    cycle = spark.createDataFrame([("a", "2024-01", 10.0, 2.0, 30, 4), ("b", "2024-01", 30.0, 4.0, 50, 6)], "repo_slug string, period_month string, sum_minutes double, avg_minutes double, p75_minutes long, std_minutes long")
-    failure = spark.createDataFrame([("a", "2024-01", 0.2), ("b", "2024-01", 0.4)], "repo_slug string, period_month string, failure_rate double")
-    authors = spark.createDataFrame([("a", "2024-01", x) for x in "xyz"] + [("b", "2024-01", x) for x in "zw"], "repo_slug string, period_month string, author_ref string")
-    through = spark.createDataFrame([("a", "2024-01", 5), ("b", "2024-01", 7)], "repo_slug string, period_month string, commit_count long")
-    weekly = spark.createDataFrame([("a", "2024-W01", 60), ("b", "2024-W01", 40)], "repo_slug string, period_week string, commit_count long")
-    window = spark.createDataFrame([("a", "2024-W01", "x"), ("b", "2024-W01", "x"), ("b", "2024-W01", "y"), ("b", "2024-W02", "q")], "repo_slug string, period_week string, author_ref string")
-    got = {r.metric_name.split(".")[1]: r.value_real for r in rollup.cohort_rows(cycle, failure, authors, through, weekly, window).collect()}
-    assert got.pop("monthly_rate") == pytest.approx(0.3)
-    assert got == {"monthly_sum": 20, "monthly_average": 3, "monthly_p75": 40, "monthly_std": 5, "monthly_unique_count": 4, "monthly_total_commits": 12, "weekly_value": 50}
+def test_rollup_of_three_repositories(spark):
+    """Means give each repository the same weight, whatever its size; counts add up; people who are in several count once."""
+    figures = {"p": (7.0, 3.5, 4, 1), "q": (120.0, 40.0, 61, 13), "s": (26.0, 6.5, 7, 4)}
+    cycle = spark.createDataFrame([(r, "1999-12", *v) for r, v in figures.items()] + [("q", "2000-01", 9.0, 9.0, 9, 0)], "repo_slug string, period_month string, sum_minutes double, avg_minutes double, p75_minutes long, std_minutes long")
+    failure = spark.createDataFrame([("p", "1999-12", 0.0), ("q", "1999-12", 12.5), ("s", "1999-12", 4.0)], "repo_slug string, period_month string, failure_rate double")
+    people = {"p": "kl", "q": "lmno", "s": "k"}
+    authors = spark.createDataFrame([(r, "1999-12", x) for r, xs in people.items() for x in xs], "repo_slug string, period_month string, author_ref string")
+    through = spark.createDataFrame([("p", "1999-12", 11), ("q", "1999-12", 830), ("s", "1999-12", 2)], "repo_slug string, period_month string, commit_count long")
+    weekly = spark.createDataFrame([("p", "1999-W50", 9), ("q", "1999-W50", 33), ("s", "1999-W51", 5)], "repo_slug string, period_week string, commit_count long")
+    window = spark.createDataFrame([("p", "1999-W50", "k"), ("q", "1999-W50", "k"), ("q", "1999-W50", "m"), ("q", "1999-W50", "n"), ("s", "1999-W50", "o"), ("p", "1999-W51", "k")], "repo_slug string, period_week string, author_ref string")
+    got = {(r.metric_name.split(".")[1], r.period_key): r.value_real for r in rollup.cohort_rows(cycle, failure, authors, through, weekly, window).collect()}
+    months = {"monthly_sum": 51.0, "monthly_average": 50 / 3, "monthly_p75": 24.0, "monthly_std": 6.0, "monthly_rate": 5.5, "monthly_unique_count": 5.0, "monthly_total_commits": 843.0}
+    want = {(k, "1999-12"): v for k, v in months.items()} | {(k, "2000-01"): v for k, v in (("monthly_sum", 9.0), ("monthly_average", 9.0), ("monthly_p75", 9.0), ("monthly_std", 0.0))}
+    want |= {("weekly_value", "1999-W50"): 14.0, ("weekly_value", "1999-W51"): 0.0}  # o has no commits' repository in W50, nobody of s is in W51
+    assert got == pytest.approx(want)
 
 
 def test_reconcile(spark):
