@@ -174,8 +174,12 @@ def scan(text: bytes) -> tuple:
     last = spaced.count(" ", 0, max(ends)) if ends else None
     expressions: list[str] = []
     free: list[bool] = []
-    for end, _ in tags.iter(text.translate(_LOWER).decode("latin-1")):
-        line = re.split(rb"[\r\n]|\*/|-->", text[end + 1 :].split(b"\n", 1)[0])[0]
+    marks = [end + 1 for end, _ in tags.iter(text.translate(_LOWER).decode("latin-1"))]
+    for at, after in zip(marks, [*marks[1:], len(text)]):
+        stop = text.find(b"\n", at, after)
+        line, *more = re.split(rb"[\r\n]|\*/|-->", text[at : after if stop < 0 else stop], maxsplit=1)
+        if not more and stop < 0 and after < len(text):
+            continue  # what has another tag in it is no expression, so no byte is looked at more than twice
         expression = line.decode("utf-8", "replace").strip().rstrip(".,;\"'` ")
         if found := evaluate(expression):
             labels |= found[0]

@@ -132,6 +132,17 @@ def test_tags_and_notices(spark):
         assert 0 <= got[i].score <= 1 and (got[i].score > 0) == bool(labels)
 
 
+def test_very_many_tags():
+    """A text of tags alone, on lines of their own and on one: each byte is read a bounded number of times."""
+    import time
+
+    tag = b"SPDX-License-Identifier: MIT"
+    assert licenses.scan(tag + b" */ " + tag + b"\n")[7] == ["MIT", "MIT"] and licenses.scan(tag + b" " + tag)[7] == ["MIT"]
+    began = time.process_time()
+    assert len(licenses.scan((tag + b"\n") * 40_000)[7]) == 40_000 and licenses.scan((tag + b" ") * 40_000)[7] == ["MIT"]
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("text", ["", "AND MIT", "MIT OR", "(MIT", "MIT)", "()", "see LICENSE file", "MIT?", "some-thing", "MIT see below"])
 def test_broken_expressions(text):
     assert licenses.evaluate(text) is None
