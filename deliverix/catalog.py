@@ -460,6 +460,25 @@ def _object_file(spark: SparkSession, d: str) -> DataFrame:
 _add("s5_read_object_ids", _object_file, f"WITH {ORDERS_SQL} SELECT repo_slug, author_ref AS object_id, min(log_ordinal) AS ordinal FROM commits GROUP BY ALL")
 
 
+def _config_files(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations of 200 customers each; a third of them have one entry without a place, which spoils the file."""
+    c = spark.read.parquet(f"{d}/customer.parquet").withColumn("part", F.floor(F.col("c_custkey") / 200))
+    place = F.when((F.col("part") % 3 != 1) | (F.col("c_custkey") % 200 != 7), F.concat(F.lit("/srv/"), "c_name"))
+    entry = F.struct(F.col("c_name").alias("name"), place.alias("path_or_url"), F.when(F.col("c_custkey") % 2 == 0, "main").alias("branch"))
+    path = graph.new_path(spark)
+    files = c.groupBy("part").agg(F.to_json(F.struct(F.collect_list(entry).alias("repositories"))).alias("value"))
+    files.repartition("part").write.partitionBy("part").text(path)
+    return readers.read_repo_config(spark, path)
+
+
+_add(
+    "s6_read_repo_config",
+    _config_files,
+    """SELECT c_name AS name, '/srv/' || c_name AS path_or_url, CASE WHEN c_custkey % 2 = 0 THEN 'main' END AS branch, CAST(NULL AS VARCHAR) AS description
+    FROM customer QUALIFY count(*) FILTER (c_custkey // 200 % 3 = 1 AND c_custkey % 200 = 7) OVER (PARTITION BY c_custkey // 200) = 0""",
+)
+
+
 def _export_scan(spark: SparkSession, d: str) -> DataFrame:
     path = graph.new_path(spark)
     views.commits_orders(spark, d).select("repo_slug", "sha", "committed_at").write.partitionBy("repo_slug").parquet(path)
