@@ -200,9 +200,11 @@ _events("a15_commit_runs", metrics.commit_runs, "SELECT * FROM runs", "," + _RUN
 
 # merges and edges
 def _edged(name: str, f: Callable[[DataFrame, DataFrame], DataFrame], sql: str | None = None, ctes: str = "") -> None:
+    """A query on commits and edges, both stored: they come from row numbers, and what follows reads them several times."""
+
     def query(spark: SparkSession, d: str) -> DataFrame:
-        commits = views.commits_orders(spark, d)
-        return f(commits, views.edges_orders(commits))
+        commits = stored(views.commits_orders(spark, d))
+        return f(commits, stored(views.edges_orders(commits)))
 
     _add(name, query, sql and f"WITH RECURSIVE {ORDERS_SQL}, {EDGES_SQL}{ctes} {sql}")
 
@@ -527,12 +529,12 @@ def _interchange(c: DataFrame, e: DataFrame) -> DataFrame:
         "body_has_keywords": F.when(k == 6, -1).otherwise(F.col("body_has_keywords")), "pii_protection_profile": F.when(k == 7, "plain").otherwise(F.col("pii_protection_profile")),
         "conventional_type_scope": F.when(k == 32, "title").when(k != 33, F.col("conventional_type_scope")), "conventional_type": F.when(k == 32, "feat").otherwise(F.col("conventional_type")),
     }
-    commits = whole.withColumns(broken)
-    commits = commits.filter(k != 34).unionAll(commits.filter(k == 35)).drop("o_orderkey")
+    times = lambda once, twice: F.explode(F.when(twice, F.array(F.lit(1), F.lit(2))).when(once, F.array(F.lit(1))))
+    commits = stored(whole.withColumns(broken).withColumn("_time", times(k != 34, k == 35)).drop("o_orderkey", "_time"))
     keyed = e.join(c.select("repo_slug", F.col("sha").alias("child_sha"), "o_orderkey"), ["repo_slug", "child_sha"])
     edges = keyed.select("repo_slug", "child_sha", "parent_sha", F.when(k == 36, F.col("parent_ord") + 5).otherwise(F.col("parent_ord")).alias("parent_ord"), "o_orderkey")
     swapped = edges.withColumn("parent_ord", F.when(k.isin(65, 95), F.lit(1) - F.col("parent_ord")).otherwise(F.col("parent_ord")))
-    edges = swapped.unionAll(swapped.filter(k == 37)).drop("o_orderkey")
+    edges = swapped.withColumn("_time", times(F.lit(True), k == 37)).drop("o_orderkey", "_time")
     found = reconcile.validate_interchange(commits, edges)
     absent = reconcile.validate_interchange(commits.drop("conventional_type_scope", "log_ordinal").limit(0), edges.limit(0))
     return found.unionAll(absent).groupBy("rule", "repo_slug").agg(F.count("*").alias("violations"), F.min("sha").alias("first"))

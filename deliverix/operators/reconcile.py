@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deliverix.operators.steps import stored
+
 #: Absolute tolerances by metric and column; columns not named compare exactly.
 TOLERANCES = {
     "cycle_time_monthly": {"sum_minutes": 2.0, "avg_minutes": 2.0, "p75_minutes": 2.0, "std_minutes": 2.0},
@@ -109,7 +111,8 @@ def validate_interchange(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """(rule, repo_slug, sha) for every violation; an absent column is one row without repository and sha, and its rules are not looked at.
 
     A commit's parents are compared by a digest of (place, sha) of each, made of the edges and of parent_shas, so that their order counts and
-    no list is gathered. A parent may be missing from the snapshot.
+    no list is gathered. A parent may be missing from the snapshot. Edges are read once, commits twice (their keys alone the second time), so
+    commits that cost much should be stored ones.
     """
     has = set(commits.columns)
     rules: dict[str, Column] = {f"not null: {c}": F.col(c).isNull() for c in REQUIRED if c in has}
@@ -130,27 +133,33 @@ def validate_interchange(commits: DataFrame, edges: DataFrame) -> DataFrame:
     absent = commits.sparkSession.createDataFrame(missing, "rule string").select("rule", *nobody)
     if not {"repo_slug", "sha"} <= has:
         return absent
-    broken = F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())), lambda x: x.isNotNull())
-    parts = [absent, commits.select(F.explode(broken).alias("rule"), "repo_slug", "sha")]
-    found = lambda df, bad, rule: parts.append(df.filter(bad).select(F.lit(rule).alias("rule"), "repo_slug", "sha"))
-    found(commits.groupBy("repo_slug", "sha").agg(F.count("*").alias("n")), "n > 1", "unique commit")
+    named_rules = lambda rules: F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())), lambda x: x.isNotNull())
+    exploded = lambda df, broken: df.select(F.explode(broken).alias("rule"), "repo_slug", "sha")
+    several = commits.groupBy("repo_slug", "sha").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("unique commit").alias("rule"), "repo_slug", "sha")
+    parts = [absent, several]
     if not {"repo_slug", "child_sha", "parent_sha", "parent_ord"} <= set(edges.columns):
-        return reduce(DataFrame.unionAll, parts)
-    named = edges.withColumnRenamed("child_sha", "sha")
-    found(named.groupBy("repo_slug", "sha", "parent_ord").agg(F.count("*").alias("n")), "n > 1", "unique edge")
-    per = named.groupBy("repo_slug", "sha").agg(
-        F.count("*").alias("edges"), F.min("parent_ord").alias("lo"), F.max("parent_ord").alias("hi"), F.bit_xor(_ordered(F.col("parent_ord"), F.col("parent_sha"))).alias("digest")
+        return reduce(DataFrame.unionAll, [*parts, exploded(commits, named_rules(rules))])
+    by_place = (
+        edges.select("repo_slug", F.col("child_sha").alias("sha"), "parent_ord", _ordered(F.col("parent_ord"), F.col("parent_sha")).alias("digest")).repartition("repo_slug", "sha")
+        .groupBy("repo_slug", "sha", "parent_ord").agg(F.count("*").alias("n"), F.bit_xor("digest").alias("digest"))
+    )
+    per = stored(
+        by_place.groupBy("repo_slug", "sha").agg(
+            F.sum("n").alias("edges"), F.min("parent_ord").alias("lo"), F.max("parent_ord").alias("hi"), F.bit_xor("digest").alias("digest"), F.count_if(F.col("n") > 1).cast("int").alias("twice")
+        )
     )
-    found(per, (F.col("lo") != 0) | (F.col("hi") != F.col("edges") - 1), "parents in order from 0")
-    found(per.join(commits, ["repo_slug", "sha"], "left_anti"), F.lit(True), "edge of a known commit")
-    own = [c for c in ("parent_count", "parent_shas") if c in has]
-    if own:
-        counted = commits.select("repo_slug", "sha", *own).join(per, ["repo_slug", "sha"], "left")
-        n = F.coalesce("edges", F.lit(0))
-        if "parent_count" in has:
-            found(counted, n != F.col("parent_count"), "edges match parent_count")
-        if "parent_shas" in has:
-            listed = F.filter(F.split("parent_shas", " +"), lambda x: x != "")
-            digest = F.aggregate(F.transform(listed, lambda x, i: _ordered(i, x)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-            found(counted, (F.size(listed) != n) | (digest != F.coalesce("digest", F.lit(0))), "edges match parent_shas")
+    disordered = F.when((F.col("lo") != 0) | (F.col("hi") != F.col("edges") - 1), F.array(F.lit("parents in order from 0"))).otherwise(F.array().cast("array<string>"))
+    parts.append(exploded(per.filter((F.col("twice") > 0) | (F.col("lo") != 0) | (F.col("hi") != F.col("edges") - 1)), F.concat(F.array_repeat(F.lit("unique edge"), F.col("twice")), disordered)))
+    own, n, matches = {"broken": named_rules(rules)}, F.coalesce("edges", F.lit(0)), {}
+    if "parent_count" in has:
+        own["parent_count"] = F.col("parent_count")
+        matches["edges match parent_count"] = n != F.col("parent_count")
+    if "parent_shas" in has:
+        listed = F.filter(F.split("parent_shas", " +"), lambda x: x != "")
+        own["listed"] = F.size(listed)
+        own["listed_digest"] = F.aggregate(F.transform(listed, lambda x, i: _ordered(i, x)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+        matches["edges match parent_shas"] = (F.col("listed") != n) | (F.col("listed_digest") != F.coalesce("digest", F.lit(0)))
+    sides = commits.select("repo_slug", "sha", *(v.alias(k) for k, v in own.items()), F.lit(True).alias("_known")).join(per.select("repo_slug", "sha", "edges", "digest"), ["repo_slug", "sha"], "full_outer")
+    told = F.concat("broken", named_rules(matches)) if matches else F.col("broken")
+    parts.append(exploded(sides, F.when(F.col("_known"), told).otherwise(F.array(F.lit("edge of a known commit")))))
     return reduce(DataFrame.unionAll, parts)

@@ -159,3 +159,20 @@ def test_repositories_without_a_default_branch(spark):
     assert {r.repo_slug for r in graph.squash_commits(refs, c, edges).collect()} == {"repo0", "repo1", "repo3"}
     with pytest.raises(ValueError, match="no default branch: repo2"):
         graph.squash_commits(refs, c, edges, strict=True)
+
+
+def test_interchange_is_checked_in_few_passes(spark, tmp_path):
+    """Edges are read once, before the result is, and the commits twice; every rule is in the result all the same, as often as it is broken."""
+    c = spark.createDataFrame([("r", "a", "b", 1), ("r", "b", "", 0), ("r", "b", "", 0), ("r", "c", "b a", 3)], "repo_slug string, sha string, parent_shas string, parent_count int")
+    e = spark.createDataFrame([("r", "a", "b", 0), ("r", "c", "b", 0), ("r", "c", "b", 0), ("r", "c", "a", 1), ("r", "c", "a", 1), ("r", "z", "a", 1), (None, "a", "b", 0)], "repo_slug string, child_sha string, parent_sha string, parent_ord int")
+    for name, df in (("commits", c), ("edges", e)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    found = reconcile.validate_interchange(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("commits", "edges")))
+    files = found._jdf.queryExecution().executedPlan().toString()
+    assert files.count("FileScan parquet") == 4  # the commits and a stored row for each commit with edges, twice each
+    assert not any("/edges/" in f for f in found.inputFiles()) and any("/commits/" in f for f in found.inputFiles())
+    got = sorted((x.rule, str(x.repo_slug), x.sha) for x in found.filter("rule not like 'column: %'").collect())
+    assert got == sorted([
+        ("unique commit", "r", "b"), ("unique edge", "r", "c"), ("unique edge", "r", "c"), ("parents in order from 0", "r", "c"), ("parents in order from 0", "r", "z"),
+        ("edge of a known commit", "r", "z"), ("edge of a known commit", "None", "a"), ("edges match parent_count", "r", "c"), ("edges match parent_shas", "r", "c"),
+    ])
