@@ -61,10 +61,10 @@ def _placed(commits: DataFrame) -> DataFrame:
 
 
 def _links(known: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges between commits of the snapshot, with the chunks of both ends: repo_slug, chunk, sha, parent_sha, parent_ord, to."""
+    """The edges between commits of the snapshot, with the chunks of both ends: repo_slug, chunk, sha, parent_sha, parent_ord, to. A folder for each chunk number."""
     ends = known.select("repo_slug", F.col("sha").alias("parent_sha"), F.col("chunk").alias("to"))
     links = edges.select("repo_slug", F.col("child_sha").alias("sha"), "parent_sha", "parent_ord").join(ends, ["repo_slug", "parent_sha"]).join(known, ["repo_slug", "sha"])
-    return stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "parent_ord", "to"))
+    return stored(links.select("repo_slug", "chunk", "sha", "parent_sha", "parent_ord", "to").repartition("repo_slug", "chunk"), "chunk")
 
 
 def _by_chunk(entries: DataFrame, links: DataFrame, walk: Callable[..., pa.Table], schema: str) -> DataFrame:
@@ -154,7 +154,7 @@ def squash_commits(refs: DataFrame, commits: DataFrame, edges: DataFrame, strict
 
 
 _LINE = "merge string, ord int, start string, key array<long>"
-_FOUND = f"repo_slug string, chunk long, what string, sha string, {_LINE}, at long, to long"
+_FOUND = f"repo_slug string, chunk long, what string, sha string, {_LINE}, at long, to long, next string"
 
 
 def _claimer(strategy: str) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
@@ -184,23 +184,23 @@ def _claimer(strategy: str) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
             _, order, at, _, line, sha = heappop(waiting)
             while sha not in owner:
                 owner[sha] = line
-                out.append(("claim", sha, *line, None, at, own))
+                after = first.get(sha)
+                out.append(("claim", sha, *line, None, at, own, after and after[0]))
                 for ord_, parent, to in further.get(sha, ()):
                     below, sub = (*order, sign * at, ord_), (sha, ord_, parent)
-                    out.append(("line", parent, *sub, below, 0, to))
+                    out.append(("line", parent, *sub, below, 0, to, None))
                     if to == own:
                         wait(sub, below, 0, parent)
-                after = first.get(sha)
                 if after is None:
                     break
                 sha, at = after[0], at + 1
                 if after[1] != own:
-                    out.append(("on", sha, *line, order, at, after[1]))
+                    out.append(("on", sha, *line, order, at, after[1], None))
                     break
         n = len(out)
-        columns = zip(*out) if out else [()] * 8
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-        names = ["what", "sha", "merge", "ord", "start", "key", "at", "to"]
+        columns = zip(*out) if out else [()] * 9
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string()]
+        names = ["what", "sha", "merge", "ord", "start", "key", "at", "to", "next"]
         found = {k: pa.array(c, kind) for k, c, kind in zip(names, columns, kinds)}
         table = pa.table({"repo_slug": pa.array([repo] * n, pa.string()), "chunk": pa.array([own] * n, pa.int64())} | found)
         return table
@@ -209,10 +209,10 @@ def _claimer(strategy: str) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
 
 
 def _walk(known: DataFrame, links: DataFrame, roots: DataFrame, strategy: str, watch: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Lines (merge, ord, start, key) and claims (sha, merge, ord, start, i).
+    """Lines (merge, ord, start, key) and claims (sha, merge, ord, start, i, next), next being the commit's first parent.
 
     Chunks of the log are walked, a task each, from the lines that enter them. A line that goes on in another chunk, or starts there, is an entry of that.
-    A round walks the chunks whose entries have changed, and no others, until none has. What a chunk finds follows from lines with lesser keys alone
+    A round walks the chunks whose entries have changed, and reads the edges of no others, until none has. What a chunk finds follows from lines with lesser keys alone
     (or from newer parts of the same line), so that there is one end, and it is that of the walk of one line after the other; how deeply
     lines are nested adds no rounds, but for lines that pass to and fro between chunks.
     """
@@ -224,10 +224,11 @@ def _walk(known: DataFrame, links: DataFrame, roots: DataFrame, strategy: str, w
     rounds: list[DataFrame] = []
     ran: list[DataFrame] = []
     while not (todo := stored(todo)).isEmpty():
+        chunks = [r[0] for r in todo.filter("chunk is not null").select("chunk").distinct().collect()]  # as many as the longest log has
         if watch:
             watch(todo.count())
         ran.append(todo.withColumn("round", F.lit(len(ran))))
-        found = _by_chunk(entries.join(todo, ["repo_slug", "chunk"], "left_semi"), links, _claimer(strategy), _FOUND)
+        found = _by_chunk(entries.join(todo, ["repo_slug", "chunk"], "left_semi"), links.filter(F.col("chunk").isin(chunks)), _claimer(strategy), _FOUND)
         rounds.append(found.withColumn("round", F.lit(len(rounds))))
         source = todo.withColumnRenamed("chunk", "source")
         before = entries.join(source, ["repo_slug", "source"], "left_semi").select(*columns)
@@ -236,11 +237,11 @@ def _walk(known: DataFrame, links: DataFrame, roots: DataFrame, strategy: str, w
         todo = signed.groupBy(*columns).agg(F.sum("sign").alias("sign")).filter("sign != 0").select("repo_slug", "chunk").distinct()
         entries = stored(entries.join(source, ["repo_slug", "source"], "left_anti").select(*columns).unionAll(now))
     if not rounds:
-        return lines, known.limit(0).select("repo_slug", "sha", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("sha").alias("start"), F.col("chunk").alias("i"))
+        return lines, known.limit(0).select("repo_slug", "sha", F.lit("").alias("merge"), F.lit(0).alias("ord"), F.col("sha").alias("start"), F.col("chunk").alias("i"), F.col("sha").alias("next"))
     last = reduce(DataFrame.unionAll, ran).groupBy("repo_slug", "chunk").agg(F.max("round").alias("round"))
     every = reduce(DataFrame.unionAll, rounds).join(last, ["repo_slug", "chunk", "round"], "left_semi")
     lines = lines.unionAll(every.filter("what = 'line'").select("repo_slug", "merge", "ord", "start", "key"))
-    return lines, every.filter("what = 'claim'").select("repo_slug", "sha", "merge", "ord", "start", F.col("at").alias("i"))
+    return lines, every.filter("what = 'claim'").select("repo_slug", "sha", "merge", "ord", "start", F.col("at").alias("i"), "next")
 
 
 def branch_lines(commits: DataFrame, edges: DataFrame, roots: DataFrame, strategy: str = "top", watch: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -250,23 +251,19 @@ def branch_lines(commits: DataFrame, edges: DataFrame, roots: DataFrame, strateg
     parents as far as nobody has claimed them; its departure is the first commit that was. Returns
     lines (repo_slug, line_id, merge, start, departure, commit_count, key) and commits (repo_slug, line_id,
     sha, pos), pos 0 being the newest. Line order is that of the key: arrays for top and reverse, level first for narrow. A key has the
-    place of the merge in its line (negative for reverse) and the parent's number, for each level. watch is told how many chunks each round walks.
+    place of the merge in its line (negative for reverse) and the parent's number, for each level. Both are stored. watch is told how many chunks each round walks.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     placed = _placed(commits)
     found, claims = _walk(placed, _links(placed, edges), roots, strategy, watch)
     keys = ["repo_slug", "merge", "ord", "start"]
-    first = edges.filter("parent_ord = 0").select("repo_slug", F.col("child_sha").alias("_last"), F.col("parent_sha").alias("departure"))
-    known = commits.select("repo_slug", F.col("sha").alias("departure"))
-    ends = claims.groupBy(*keys).agg(F.count("*").alias("commit_count"), F.max_by("sha", "i").alias("_last"))
-    departures = ends.join(first, ["repo_slug", "_last"], "left").join(known.withColumn("_known", F.lit(1)), ["repo_slug", "departure"], "left")
-    ends = departures.select(*keys, "commit_count", F.when(F.col("_known") == 1, F.col("departure")).alias("departure"))
+    ends = claims.groupBy(*keys).agg(F.count("*").alias("commit_count"), F.max_by("next", "i").alias("departure"))
     lines = found.join(ends, keys, "left").fillna({"commit_count": 0})
     line_id = F.sha2(F.concat_ws("\n", F.lit(strategy), "repo_slug", "merge", F.col("ord").cast("string"), "start"), 256)
     lines = lines.withColumn("line_id", line_id)
-    members = claims.withColumn("line_id", line_id).select("repo_slug", "line_id", "sha", F.col("i").alias("pos"))
-    return lines.select("repo_slug", "line_id", F.nullif("merge", F.lit("")).alias("merge"), "start", "departure", "commit_count", "key"), members
+    members = stored(claims.withColumn("line_id", line_id).select("repo_slug", "line_id", "sha", F.col("i").alias("pos")))
+    return stored(lines.select("repo_slug", "line_id", F.nullif("merge", F.lit("")).alias("merge"), "start", "departure", "commit_count", "key")), members
 
 
 def branch_phases(lines: DataFrame, members: DataFrame, commits: DataFrame) -> DataFrame:

@@ -23,10 +23,11 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, part: str | None = None) -> DataFrame:
+    """df as a table; where part is given, in a folder for each value of that column, so that a filter on it reads no more than it needs."""
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(part) if part else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def drop_steps(spark: SparkSession) -> int:

@@ -199,3 +199,24 @@ def test_hidden_runs(spark):
     members = spark.createDataFrame([("r", "L", f"c{5 - i}", i) for i in range(6)], "repo_slug string, line_id string, sha string, pos long")
     got = {(x.from_sha, x.to_sha, x.hidden) for x in graph.hidden_run_compression(lines, members).collect()}
     assert got == {("c0", "c5", 4), ("d", "c0", 0), ("c5", "m", 0)}
+
+
+def test_a_round_reads_the_edges_of_its_chunks_alone(spark, monkeypatch):
+    """100 commits in ten chunks: ten rounds, each of which reads a folder of one chunk; departures come from the walk, and lines and members are stored."""
+    monkeypatch.setattr(graph, "CHUNK", 10)
+    commits = spark.createDataFrame([("r", str(i), i, 99 - i) for i in range(100)], COMMITS)
+    rows = [("r", str(i), str(i - 1), 0) for i in range(1, 100)] + [("r", str(i), str(i - 2), 1) for i in range(2, 100, 9)] + [("r", "0", "gone", 0)]
+    read, by_chunk = [], graph._by_chunk
+
+    def watched(entries, links, *more):
+        assert "PartitionFilters: []" not in links._jdf.queryExecution().executedPlan().toString()
+        read.append({r[0] for r in links.select("chunk").distinct().collect()})
+        return by_chunk(entries, links, *more)
+
+    monkeypatch.setattr(graph, "_by_chunk", watched)
+    lines, members = graph.branch_lines(commits, spark.createDataFrame(rows, EDGES), spark.createDataFrame([("r", "99")], "repo_slug string, tip_sha string"))
+    assert read == [{i} for i in range(10)]
+    for df in (lines, members):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((x.merge or "", x.start, x.departure, x.commit_count) for x in lines.collect()) == sorted([("", "99", None, 100)] + [(str(i), str(i - 2), None, 0) for i in range(2, 100, 9)])
+    assert members.count() == 100
