@@ -805,9 +805,9 @@ _orders("k10_write_canonical_csv", lambda c: _canonical_back(deltas.cycle_stats_
 
 def _aggregate_back(c: DataFrame) -> DataFrame:
     path = graph.new_path(c.sparkSession)
-    sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="b1"), path)
-    for _ in range(2):  # a batch that is written again replaces itself
-        sinks.write_multi_repo_aggregate(rollup.cohort_rows_of(c, WEEKS_BACK, batch_id="default"), path)
+    rows = stored(rollup.cohort_rows_of(c, WEEKS_BACK))
+    for batch in ("b1", "default", "default"):  # a batch that is written again replaces itself
+        sinks.write_multi_repo_aggregate(rows.withColumn("batch_id", F.lit(batch)), path)
     found = sinks.read_multi_repo_aggregate(read_rows(c.sparkSession, path), "default", "all")
     return _near(found, "value_real").select("batch_id", "cohort_id", "metric_name", "period_key", "value_real")
 

@@ -216,3 +216,13 @@ def test_trend(spark):
     df = spark.createDataFrame([("r", f"2024-0{i}", float(2 * i)) for i in range(1, 5)] + [("one", "2024-01", 5.0)], "repo_slug string, period_month string, v double")
     got = {(r.repo_slug, r.period_month): r.trend for r in series.trendline(df, "v", "period_month").collect()}
     assert got[("r", "2024-03")] == pytest.approx(6) and got[("one", "2024-01")] is None
+
+
+def test_an_aggregate_is_worked_out_once_for_its_batches(spark, monkeypatch):
+    from deliverix import catalog
+    from deliverix.operators import rollup
+
+    made, rows_of = [], rollup.cohort_rows_of
+    monkeypatch.setattr(rollup, "cohort_rows_of", lambda *a, **k: (made.append(1), rows_of(*a, **k))[1])
+    got = catalog.queries()["k2_write_multi_repo_aggregate"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and {x.batch_id for x in got.collect()} == {"default"} and got.count() > 0
