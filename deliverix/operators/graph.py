@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deliverix.functions.scalars import branch_line_id
-from deliverix.operators.ordering import CHUNK, SECONDS, number_rows
+from deliverix.operators.ordering import CHUNK, SECONDS, number_rows, with_older
 from deliverix.operators.selection import counts_by_value, joined, percentiles
 from deliverix.operators.steps import new_path, stored  # noqa: F401
 
@@ -330,18 +330,21 @@ def line_commits_until_first_merge(members: DataFrame, children: DataFrame, stra
     return j.join(cut, ["repo_slug", "line_id"], "left").filter(F.col("pos") >= F.coalesce("cut", F.lit(0))).select("repo_slug", "line_id", "sha", "pos")
 
 
-def hidden_run_compression(lines: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges (from_sha, to_sha, hidden) of each line from old to new: its ends and commits that are merges or departures of non-empty lines stay, runs of others become counts."""
+def hidden_run_compression(lines: DataFrame, members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (from_sha, to_sha, hidden) of each line from old to new: its ends and commits that are merges or departures of non-empty lines stay, runs of others become counts.
+
+    Commits are joined by sha, and next to each other in chunks of places, so that no task holds a long line. Lines and members are read several times.
+    """
     full = lines.filter("commit_count > 0")
-    shown = full.select("repo_slug", F.col("merge").alias("sha")).unionAll(full.select("repo_slug", F.col("departure").alias("sha"))).filter("sha is not null").distinct().withColumn("_shown", F.lit(True))
-    m = members.join(lines.select("repo_slug", "line_id", "commit_count"), ["repo_slug", "line_id"]).join(shown, ["repo_slug", "sha"], "left")
-    kept = m.filter((F.col("pos") == 0) | (F.col("pos") == F.col("commit_count") - 1) | F.coalesce("_shown", F.lit(False)))
-    w = W.partitionBy("repo_slug", "line_id").orderBy(F.desc("pos"))
-    pairs = kept.withColumn("to_sha", F.lead("sha").over(w)).withColumn("_to", F.lead("pos").over(w)).filter("to_sha is not null")
-    inner = pairs.select("repo_slug", "line_id", F.col("sha").alias("from_sha"), "to_sha", (F.col("pos") - F.col("_to") - 1).alias("hidden"))
-    oldest = kept.filter(F.col("pos") == F.col("commit_count") - 1).select("repo_slug", "line_id", "sha")
+    shown = full.select("repo_slug", F.col("merge").alias("sha")).unionAll(full.select("repo_slug", F.col("departure").alias("sha"))).filter("sha is not null")
+    columns = ["repo_slug", "line_id", "sha", "pos"]
+    newest = members.filter("pos = 0").select(*columns)
+    oldest = stored(members.groupBy("repo_slug", "line_id").agg(F.max_by("sha", "pos").alias("sha"), F.max("pos").alias("pos")))
+    seen = members.join(shown, ["repo_slug", "sha"], "left_semi").select(*columns)
+    kept = newest.unionAll(oldest.select(*columns)).unionAll(seen).distinct()
+    older = with_older(kept.withColumns({"log_ordinal": -F.col("pos"), "committed_at": F.lit(0)}), ["repo_slug", "line_id"], ["sha", "pos"], chunk)
+    inner = older.filter("older is not null").select("repo_slug", "line_id", F.col("sha").alias("from_sha"), F.col("older.sha").alias("to_sha"), (F.col("pos") - F.col("older.pos") - 1).alias("hidden"))
     leave = lines.filter("departure is not null and commit_count > 0").join(oldest, ["repo_slug", "line_id"]).select("repo_slug", "line_id", F.col("departure").alias("from_sha"), F.col("sha").alias("to_sha"), F.lit(0).cast("long").alias("hidden"))
-    newest = kept.filter("pos = 0").select("repo_slug", "line_id", "sha")
     come = lines.filter("merge is not null and commit_count > 0").join(newest, ["repo_slug", "line_id"]).select("repo_slug", "line_id", F.col("sha").alias("from_sha"), F.col("merge").alias("to_sha"), F.lit(0).cast("long").alias("hidden"))
     empty = lines.filter("commit_count = 0 and merge is not null and departure is not null").select("repo_slug", "line_id", F.col("departure").alias("from_sha"), F.col("merge").alias("to_sha"), F.lit(0).cast("long").alias("hidden"))
     return inner.select("repo_slug", "line_id", "from_sha", "to_sha", F.col("hidden").cast("long").alias("hidden")).unionAll(leave).unionAll(come).unionAll(empty)

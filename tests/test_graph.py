@@ -220,3 +220,22 @@ def test_a_round_reads_the_edges_of_its_chunks_alone(spark, monkeypatch):
         assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted((x.merge or "", x.start, x.departure, x.commit_count) for x in lines.collect()) == sorted([("", "99", None, 100)] + [(str(i), str(i - 2), None, 0) for i in range(2, 100, 9)])
     assert members.count() == 100
+
+
+@pytest.mark.parametrize("chunk", [1, 3])
+def test_hidden_runs_over_chunks(graphs, chunk):
+    """A long line is cut into chunks of places; what is next to each other at their borders is found all the same."""
+    _, commits, edges, roots = graphs
+    lines, members = graph.branch_lines(commits, edges, roots)
+    shown = {(x.repo_slug, s) for x in lines.filter("commit_count > 0").collect() for s in (x.merge, x.departure) if s}
+    want, own = [], {}
+    for m in sorted(members.collect(), key=lambda m: -m.pos):
+        own.setdefault((m.repo_slug, m.line_id), []).append(m)
+    for x in lines.collect():
+        rows = own.get((x.repo_slug, x.line_id), [])
+        kept = [m for m in rows if m.pos in (0, len(rows) - 1) or (x.repo_slug, m.sha) in shown]
+        want += [(x.line_id, a.sha, b.sha, a.pos - b.pos - 1) for a, b in zip(kept, kept[1:])]
+        ends = [s for s in ([x.departure] + ([rows[0].sha, rows[-1].sha] if rows else []) + [x.merge])]
+        want += [(x.line_id, a, b, 0) for a, b in ([(ends[0], ends[1]), (ends[-2], ends[-1])] if rows else [tuple(ends)]) if a and b]
+    got = [(x.line_id, x.from_sha, x.to_sha, x.hidden) for x in graph.hidden_run_compression(lines, members, chunk).collect()]
+    assert sorted(got) == sorted(want)
