@@ -359,10 +359,10 @@ def branch_label(shas: DataFrame, refs: DataFrame) -> DataFrame:
 def branch_cycle_summary(phases: DataFrame, bucket_size: int | None = None) -> DataFrame:
     """Buckets of lines in order of their phases, with median, inclusive 75th percentile, mean and deviation of commits, cycle, close and work days.
 
-    Lines without commits or without ramp are left out. Half of the ramp, in whole days, counts as work; the rest is taken off the total.
+    The phases are read once, and their rows are stored with and without their buckets. Lines without commits or without ramp are left out. Half of the ramp, in whole days, counts as work; the rest is taken off the total.
     """
-    spans = phases.filter((F.col("commit_count") > 0) & (F.col("ramp_seconds") != 0))
     order = ["start_at", "ramp_seconds", "work_seconds", "close_seconds", "total_seconds", "branch_line_id"]
+    spans = stored(phases.filter((F.col("commit_count") > 0) & (F.col("ramp_seconds") != 0)).select("repo_slug", "commit_count", *order))
     numbered = number_rows(spans, ["repo_slug"], F.coalesce(F.floor(F.col("start_at") / 86400), F.lit(-(1 << 40))), [F.col(c) for c in order], "_rn")
     step = F.lit(bucket_size) if bucket_size else F.greatest(F.lit(1), F.floor(F.count("*") / 12))
     rows = numbered.join(spans.groupBy("repo_slug").agg(step.alias("_step")), "repo_slug").withColumn("bucket", F.floor(F.col("_rn") / F.col("_step")))
@@ -372,7 +372,8 @@ def branch_cycle_summary(phases: DataFrame, bucket_size: int | None = None) -> D
     rows = rows.withColumns({"commits": F.col("commit_count") * 100, "cycle": F.coalesce(day("total_seconds"), zero) - half, "close": day("close_seconds"), "work": half + F.coalesce(day("work_seconds"), zero)})
     names = ("commits", "cycle", "close", "work")
     keys = ["repo_slug", "bucket"]
-    counts = counts_by_value(rows.select(*keys, *names).unpivot(keys, list(names), "measure", "days"), [*keys, "measure"], "days")
+    rows = stored(rows.select(*keys, "start_at", "commit_count", *names))
+    counts = stored(counts_by_value(rows.select(*keys, *names).unpivot(keys, list(names), "measure", "days"), [*keys, "measure"], "days"))
     ranked = percentiles(counts, [*keys, "measure"], {"p50": 0.5, "p75": 0.75}, 100_000)
     wide = ranked.groupBy(*keys).agg(*((F.round(F.max(F.when(F.col("measure") == c, F.col(p)))) / 100).alias(f"{p}_{c}") for p in ("p50", "p75") for c in names))
     means = [(F.round(f(c)) / 100).alias(f"{n}_{c}") for n, f in (("avg", F.avg), ("std", F.stddev_samp)) for c in names]

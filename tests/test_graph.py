@@ -239,3 +239,12 @@ def test_hidden_runs_over_chunks(graphs, chunk):
         want += [(x.line_id, a, b, 0) for a, b in ([(ends[0], ends[1]), (ends[-2], ends[-1])] if rows else [tuple(ends)]) if a and b]
     got = [(x.line_id, x.from_sha, x.to_sha, x.hidden) for x in graph.hidden_run_compression(lines, members, chunk).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_a_summary_reads_the_phases_once(spark, tmp_path):
+    names = "repo_slug string, branch_line_id string, commit_count long, start_at long, ramp_seconds long, work_seconds long, close_seconds long, total_seconds long"
+    rows = [("r", f"l{i}", 1 + i % 3, 1000 * i, 86400 * (i % 5), 900 * i, 70 * i, 86400 * i) for i in range(40)]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/phases")
+    found = graph.branch_cycle_summary(spark.read.parquet(f"{tmp_path}/phases"), 4)
+    assert found.inputFiles() and not any("/phases/" in f for f in found.inputFiles())
+    assert [x.branches for x in found.orderBy("bucket").collect()] == [4] * 8
