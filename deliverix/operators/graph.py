@@ -271,8 +271,8 @@ def branch_phases(lines: DataFrame, members: DataFrame, commits: DataFrame) -> D
     when = commits.select("repo_slug", "sha", F.col("committed_at").alias("t"))
     at = lambda name: when.select("repo_slug", F.col("sha").alias(name), F.col("t").alias(f"{name}_at"))
     ends = lines.select("repo_slug", "line_id", "merge", "departure").join(at("merge"), ["repo_slug", "merge"], "left").join(at("departure"), ["repo_slug", "departure"], "left")
-    own = members.join(ends.select("repo_slug", "line_id", "merge", "departure"), ["repo_slug", "line_id"])
-    own = own.filter(~F.col("sha").eqNullSafe(F.col("merge")) & ~F.col("sha").eqNullSafe(F.col("departure")))
+    borders = lines.select("repo_slug", "line_id", F.explode(F.array("merge", "departure")).alias("sha")).filter("sha is not null")
+    own = members.join(borders, ["repo_slug", "line_id", "sha"], "left_anti")  # by commit, as a line may have very many
     spans = own.join(when, ["repo_slug", "sha"]).groupBy("repo_slug", "line_id").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("t").alias("k"))
     j = ends.join(spans, ["repo_slug", "line_id"], "left")
     return phases_of(j, F.col("departure_at"), F.col("first"), F.col("last"), F.coalesce("k", F.lit(0)), F.col("merge_at")).drop("merge_at", "departure_at", "first", "last", "k")

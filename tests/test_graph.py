@@ -248,3 +248,21 @@ def test_a_summary_reads_the_phases_once(spark, tmp_path):
     found = graph.branch_cycle_summary(spark.read.parquet(f"{tmp_path}/phases"), 4)
     assert found.inputFiles() and not any("/phases/" in f for f in found.inputFiles())
     assert [x.branches for x in found.orderBy("bucket").collect()] == [4] * 8
+
+
+def test_phases_join_commits_by_sha(graphs, spark):
+    """No join gathers the commits of a line, which may be half of a repository's; a line's own merge and departure are no commits of it."""
+    _, commits, edges, roots = graphs
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.branch_phases(*graph.branch_lines(commits, edges, roots), commits)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_line = [x for x in plan.splitlines() if "MergeJoin [repo_slug" in x and x.split("MergeJoin [")[1].split("]")[0].split("#")[1].endswith("line_id") and x.split("MergeJoin [")[1].split("]")[0].count("#") == 2]
+    assert len(by_line) == 1  # the lines with the spans, a row for each line
+    lines = spark.createDataFrame([("r", "l", "m", "d")], "repo_slug string, line_id string, merge string, departure string")
+    members = spark.createDataFrame([("r", "l", s, i) for i, s in enumerate("mabd")], "repo_slug string, line_id string, sha string, pos long")
+    times = spark.createDataFrame([("r", "m", 90), ("r", "a", 60), ("r", "b", 40), ("r", "d", 10)], "repo_slug string, sha string, committed_at long")
+    x = graph.branch_phases(lines, members, times).first()
+    assert (x.start_at, x.ramp_seconds, x.work_seconds, x.close_seconds, x.total_seconds) == (10, 30, 20, 30, 80)
